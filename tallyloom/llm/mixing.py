@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tallyloom.llm.joins import bounded_join
 from tallyloom.llm.staging import staged
 from tallyloom.llm.textcols import boxed, unboxed, word_count
 
@@ -76,7 +77,8 @@ def _order_key() -> Column:
 
 
 def _ranked(rows: DataFrame, per_source: DataFrame) -> DataFrame:
-    joined = rows.join(per_source.withColumnRenamed("mix_source", "of_source"), F.col("mix_source").eqNullSafe(F.col("of_source")))
+    sources = per_source.withColumnRenamed("mix_source", "of_source")
+    joined = bounded_join(rows, sources, F.col("mix_source").eqNullSafe(F.col("of_source")), "inner")
     q = _order_key()
     return joined.drop("of_source").withColumn("mix_q", q).withColumn("mix_bucket", F.floor(q / (1.0 + q) * BUCKETS).cast("int"))
 
@@ -126,6 +128,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_copi
         .agg(F.min(F.struct("off", "mix_q", "mix_id", "mix_size")).alias("closing"))
     )
     bounds = bounds.join(closing.withColumnRenamed("mix_source", "of_source"), F.col("mix_source").eqNullSafe(F.col("of_source")), "left").drop("of_source")
+    bounds = staged(bounds, "mix-closing")
     mine = F.struct("mix_q", "mix_id", "mix_size")
     closes = F.coalesce(mine == F.struct("closing.mix_q", "closing.mix_id", "closing.mix_size"), F.lit(False)) & F.col("closing").isNotNull()
     extra = F.when((F.col("mix_size") > 0) & (_in_head() | closes), 1).otherwise(0)
