@@ -6,7 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import chat, oracles
+from tallyloom.llm.ann import nearest
 from tallyloom.llm.mixing import mix_sources
+from tallyloom.llm.neardup import near_duplicates
+from tallyloom.llm.packing import pack_documents
+from tallyloom.llm.quality import quality_rules
 from tallyloom.llm.secrets import BASE, scan_secrets
 
 
@@ -14,6 +18,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules, score and verdict of every document."""
+    judged = quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document: base counts, the digest of the base spans, and all spans."""
     seen = scan_secrets(_table(spark, sf_dir, "documents"))
@@ -58,10 +68,31 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents at a similarity of 0.85 or more on three-word shingles."""
+    return near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of every document in sequences of 4096 tokens."""
+    pieces = pack_documents(_table(spark, sf_dir, "documents"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every query."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_secret_scan": op2_secret_scan,
     "op3_chat_format": op3_chat_format,
     "op5_source_mix": op5_source_mix,
+    "op7_near_duplicates": op7_near_duplicates,
+    "op8_packing": op8_packing,
+    "op9_nearest": op9_nearest,
 }
 ORACLES = {
     "op2_secret_scan": oracles.OP2,
