@@ -19,11 +19,12 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.textcols import boxed, let, running_max, running_sums, unboxed
 
-# The three base kinds, with the group and the least length that a match must have.
+# The kinds, with the group and the least length that a match must have. Where a run of characters is the
+# whole match, its least length is in the pattern: the runs found are the same, and the short ones are never listed.
 BASE = (
     ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
-    ("access", r"AKIA[A-Z0-9]+", 0, 20),
-    ("hex", r"[0-9a-f]+", 0, 24),
+    ("access", r"AKIA[A-Z0-9]{16,}", 0, 20),
+    ("hex", r"[0-9a-f]{24,}", 0, 24),
 )
 WEAK = (
     ("identifier", r"""(?i:(user|username|login|account|client_id|access_key_id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]+)""", 2, 3),
