@@ -98,3 +98,31 @@ FROM d LEFT JOIN z USING (rid)
 
 
 OP2 = _op2()
+
+
+def _op4() -> str:
+    from tallyloom.llm.licenses import CONTAINMENT, SHINGLE, TEMPLATES
+
+    rows = ", ".join(f"('{n}', '{t}')" for n, t in TEMPLATES.items())
+    words = r"list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '')"
+    words = words.replace("{{", "{").replace("}}", "}")
+    runs = f"unnest(list_transform(range(0, greatest(len(w) - {SHINGLE}, 0) + 1), lambda i: array_to_string(w[i + 1:i + {SHINGLE}], ' '))) AS g, unnest(range(0, greatest(len(w) - {SHINGLE}, 0) + 1)) AS p"
+    return rf"""
+WITH t AS (SELECT name, {words} AS w FROM (VALUES {rows}) AS v(name, text)),
+tg AS (SELECT DISTINCT name, g FROM (SELECT name, {runs} FROM t)),
+ts AS (SELECT name, count(*) AS m, greatest(1, count(*) // 2) AS step FROM tg GROUP BY name),
+d AS (SELECT row_number() OVER () AS rid, doc_id, {words} AS w FROM documents),
+dg AS (SELECT rid, {runs} FROM d WHERE len(w) > 0),
+hit AS (SELECT dg.rid, dg.p, dg.g, ts.* FROM dg JOIN tg USING (g) JOIN ts ON ts.name = tg.name),
+win AS (
+  SELECT rid, name, m, step, g, unnest(range(greatest(ceil((p - m - step + 1) / step), 0)::BIGINT, p // step + 1)) AS k FROM hit
+),
+con AS (SELECT rid, name, k * step AS start, count(DISTINCT g) / m AS c FROM win GROUP BY rid, name, k, step, m),
+best AS (SELECT rid, name, max(c) AS c, arg_min(start, (-c, start)) AS start FROM con WHERE c >= {CONTAINMENT} GROUP BY rid, name),
+s AS (SELECT rid, count(*) AS n, string_agg(name || '@' || start, ',' ORDER BY name) AS l, min(c) AS c FROM best GROUP BY rid)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_licenses, coalesce(s.l, '') AS licenses, round(s.c, 6) AS least_containment
+FROM d LEFT JOIN s USING (rid)
+"""
+
+
+OP4 = _op4()

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm import chat, oracles
 from tallyloom.llm.ann import nearest
+from tallyloom.llm.licenses import scan_licenses
 from tallyloom.llm.mixing import mix_sources
 from tallyloom.llm.neardup import near_duplicates
 from tallyloom.llm.packing import pack_documents
 from tallyloom.llm.quality import quality_rules
 from tallyloom.llm.secrets import BASE, scan_secrets
+from tallyloom.llm.staging import staged
+from tallyloom.llm.tokencounts import count_tokens, new_rollup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +59,14 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License templates found in every document, with the place of the best window."""
+    seen = scan_licenses(_table(spark, sf_dir, "documents"))
+    listed = F.array_join(F.transform("licenses", lambda m: F.concat_ws("@", m["license"], m["start"])), ",")
+    least = F.array_min(F.transform("licenses", lambda m: m["containment"]))
+    return seen.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), listed.alias("licenses"), F.round(least, 6).alias("least_containment"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of every document."""
     mixed = mix_sources(_table(spark, sf_dir, "documents"))
@@ -68,6 +79,34 @@ def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after four batches over all documents, two of them committed twice.
+
+    Estimates by length come first, exact counts beside them under their own version, then the end token revises the
+    exact counts, and at last documents without tokens are deleted from both.
+    """
+    docs = _table(spark, sf_dir, "documents")
+    exact = count_tokens(docs).withColumn("version", F.lit("word_bpe_49k"))
+    length = F.ceil(F.coalesce(F.length("text"), F.lit(0)) / 4).cast("long")
+    estimates = docs.select("doc_id", "source", "lang", length.alias("tokens"), F.lit("chars_4").alias("version"))
+    counts = staged(exact.unionByName(estimates), "token-counts")
+
+    def change(rows: DataFrame, kind: str, tokens: str = "tokens", old: str = "0") -> DataFrame:
+        return rows.select(F.lit(kind).alias("kind"), "source", "lang", "version", F.expr(tokens).alias("tokens"), F.expr(old).cast("long").alias("old_tokens"))
+
+    rough, fine = counts.filter("version = 'chars_4'"), counts.filter("version = 'word_bpe_49k'")
+    rollup = new_rollup(spark)
+    batches = [
+        ("1-estimates", change(rough, "insert")),
+        ("2-exact", change(fine, "insert")),
+        ("3-end-token", change(fine, "revise", "tokens + 1", "tokens")),
+        ("4-empty", change(rough.filter("tokens = 0"), "delete").union(change(fine.filter("tokens = 0"), "delete", "tokens + 1"))),
+    ]
+    for batch, changes in [*batches, batches[1], batches[2]]:
+        rollup.commit(batch, changes)
+    return rollup.totals()
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents at a similarity of 0.85 or more on three-word shingles."""
     return near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
@@ -89,7 +128,9 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_secret_scan": op2_secret_scan,
     "op3_chat_format": op3_chat_format,
+    "op4_license_scan": op4_license_scan,
     "op5_source_mix": op5_source_mix,
+    "op6_token_rollup": op6_token_rollup,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_packing": op8_packing,
     "op9_nearest": op9_nearest,
@@ -97,5 +138,6 @@ QUERIES = {
 ORACLES = {
     "op2_secret_scan": oracles.OP2,
     "op3_chat_format": oracles.OP3,
+    "op4_license_scan": oracles.OP4,
     "op5_source_mix": oracles.OP5,
 }
