@@ -11,6 +11,7 @@ from tallyloom.llm.licenses import scan_licenses
 from tallyloom.llm.mixing import mix_sources
 from tallyloom.llm.neardup import near_duplicates
 from tallyloom.llm.packing import pack_documents
+from tallyloom.llm.passages import repeated_passages
 from tallyloom.llm.quality import quality_rules
 from tallyloom.llm.secrets import BASE, scan_secrets
 from tallyloom.llm.staging import staged
@@ -124,6 +125,11 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
 
 
+def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of fifty words or more that an earlier document holds too."""
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_secret_scan": op2_secret_scan,
@@ -134,6 +140,7 @@ QUERIES = {
     "op7_near_duplicates": op7_near_duplicates,
     "op8_packing": op8_packing,
     "op9_nearest": op9_nearest,
+    "op10_passages": op10_passages,
 }
 ORACLES = {
     "op2_secret_scan": oracles.OP2,
