@@ -153,3 +153,10 @@ def _in_head() -> Column:
         | (F.col("mix_bucket") < F.col("edge_bucket"))
         | ((F.col("mix_bucket") == F.col("edge_bucket")) & F.col("cut").isNotNull() & (here <= F.col("cut")))
     )
+
+
+def mixed_documents(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_copies: int = MAX_COPIES, seed: str = SEED) -> DataFrame:
+    """The mix itself: every row of docs as often as it is taken."""
+    row = docs.select(boxed(docs), "doc_id", "text", "source")
+    taken = mix_sources(row, weights, share, max_copies, seed).filter("mix_copies > 0")
+    return taken.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*unboxed(docs))

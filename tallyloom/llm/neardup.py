@@ -29,11 +29,13 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.llm.graph import components
 from tallyloom.llm.joins import bounded_join
 from tallyloom.llm.staging import staged
+from tallyloom.llm.textcols import boxed, unboxed
 from tallyloom.llm.words import mixed, shingle_set
 
 BANDS, ROWS = 24, 6
@@ -199,3 +201,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     out = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(placed, ["set_a", "set_b"], "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def deduplicate(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs that stay when one document of each component is kept; rows that share a doc_id are one."""
+    judged = staged(near_duplicates(docs, shingle, percent).select("doc_id", "kept"), "judged")
+    dropped = judged.filter(~F.col("kept")).select("doc_id").distinct()
+    rest = bounded_join(docs, dropped, "doc_id", "left_anti").select(*docs.columns)
+    again = staged(judged.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "again")
+    if again.isEmpty():
+        return rest
+    once = bounded_join(rest, again, "doc_id", "left_anti").select(*docs.columns)
+    first = W.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
+    more = bounded_join(rest, again, "doc_id", "left_semi").select(boxed(docs), "doc_id", "text")
+    more = more.withColumn("nth_", F.row_number().over(first)).filter("nth_ = 1").select(*unboxed(docs))
+    return once.unionByName(more)
