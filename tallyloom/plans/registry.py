@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from tallyloom.plans import catalog, ingest, lookup, resolution, text, timeline, vectors, windows
+from tallyloom.plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "catalog", "ingest", "lookup", "resolution", "text", "timeline", "vectors", "windows"]
