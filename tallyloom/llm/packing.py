@@ -163,8 +163,8 @@ def _packed(path: str, limits: Limits, end_id: int, chunk: int):
             return made.astype({"doc_id": "Int64"})
 
         for pdf in batches:
-            for doc_id, text, loss_from in zip(pdf["doc_id"], pdf["text"], pdf["loss_from"], strict=True):
-                ids = tokenizer.encode(text, end)
+            encoded = tokenizer.encode_all(pdf["text"], end)
+            for doc_id, ids, loss_from in zip(pdf["doc_id"], encoded, pdf["loss_from"], strict=True):
                 held[count] = (None if pd.isna(doc_id) else int(doc_id), ids)
                 rows += packer.add(count, len(ids) // 4, 0 if pd.isna(loss_from) else int(loss_from))
                 count += 1

@@ -7,12 +7,16 @@ Words are cut at ASCII white space; what other white space a word holds is the t
 from __future__ import annotations
 
 import os
+from collections.abc import Iterator
 
 import numpy as np
 
 TOKENIZER = "word_bpe_49k.json"
-#: Bytes of words and ids that a worker remembers; beyond them the memory starts anew, which changes no result.
-REMEMBERED_BYTES = 48_000_000
+#: Words that a worker remembers in each of two generations. When the younger is full, it becomes the older, and what is
+#: met again moves up, so common words stay; this changes no result.
+REMEMBERED = 400_000
+#: Texts whose new words are learned together, and words in one call's text.
+TEXTS, CALL = 64, 256
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -30,28 +34,51 @@ class WordTokenizer:
 
         self.path = path
         self._tokenizer = Tokenizer.from_file(path)
-        self._known: dict[bytes, bytes] = {}
-        self._bytes = 0
-
-    def _learn(self, words: list[bytes]) -> dict[bytes, bytes]:
-        found = {}
-        for at in range(0, len(words), 4096):
-            part = words[at : at + 4096]
-            for word, e in zip(part, self._tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                found[word] = np.array(e.ids, "<u4").tobytes()
-        return found
-
-    def encode(self, text: str | None, end: bytes = b"") -> bytes:
-        words = (text or "").encode().split()
-        if new := [w for w in set(words) if w not in self._known]:
-            if self._bytes > REMEMBERED_BYTES:
-                self._known.clear()
-                self._bytes = 0
-                new = list(set(words))
-            found = self._learn(new)
-            self._known.update(found)
-            self._bytes += sum(len(k) + len(v) + 200 for k, v in found.items())
-        return b"".join(map(self._known.__getitem__, words)) + end
+        special = self._tokenizer.get_added_tokens_decoder()
+        self._marks = [t.content for t in special.values()]
+        self._mark, self._mark_id = next(((t.content, i) for i, t in special.items() if t.special and not (t.lstrip or t.rstrip)), (None, None))
+        self._young: dict[bytes, bytes] = {}
+        self._old: dict[bytes, bytes] = {}
+
+    def _one_by_one(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _learn(self, words: list[bytes]) -> None:
+        """Many words go through the tokenizer as one text, parted by a special token that is none of them."""
+        texts = [w.decode() for w in words]
+        apart = [i for i, t in enumerate(texts) if self._mark is None or any(m in t for m in self._marks)]
+        self._young.update(zip([words[i] for i in apart], self._one_by_one([texts[i] for i in apart]), strict=True))
+        left = set(apart)
+        rest = [i for i in range(len(words)) if i not in left]
+        calls = [rest[at : at + CALL] for at in range(0, len(rest), CALL)]
+        encoded = self._tokenizer.encode_batch_fast([self._mark.join(texts[i] for i in c) for c in calls], add_special_tokens=False) if calls else []
+        for call, e in zip(calls, encoded, strict=True):
+            ids = np.array(e.ids, "<u4")
+            cuts = np.flatnonzero(ids == self._mark_id)
+            raw = ids.tobytes()
+            starts, ends = np.concatenate([[0], cuts + 1]) * 4, np.append(cuts, len(ids)) * 4
+            self._young.update((words[i], raw[a:b]) for i, a, b in zip(call, starts.tolist(), ends.tolist(), strict=True))
+
+    def _remember(self, words: set[bytes]) -> None:
+        """After it, all the words are in the younger generation."""
+        if len(self._young) + len(words) > REMEMBERED:
+            self._old, self._young = self._young, {}
+        new = [w for w in words if w not in self._young]
+        if self._old:
+            self._young.update((w, self._old[w]) for w in new if w in self._old)
+            new = [w for w in new if w not in self._young]
+        if new:
+            self._learn(new)
+
+    def encode_all(self, texts, end: bytes = b"") -> Iterator[bytes]:
+        """The ids of each text, with end after them; a null text has none of its own."""
+        texts = list(texts)
+        for at in range(0, len(texts), TEXTS):
+            split = [(t or "").encode().split() for t in texts[at : at + TEXTS]]
+            self._remember(set().union(*split))
+            ids = self._young.__getitem__
+            for words in split:
+                yield b"".join(map(ids, words)) + end
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}
