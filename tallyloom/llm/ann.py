@@ -97,7 +97,7 @@ class SubstringIndex:
 
 
 def _answers(model, k: int, radius: int):
-    def run(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(queries) and len(rows):
             ids = rows["vec_id"].to_numpy()
@@ -121,7 +121,7 @@ def _answers(model, k: int, radius: int):
                 out += [(query_id, ids[found[b]], score[b]) for b in best]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    return lambda key, queries, rows: run(queries, rows)
+    return run
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, radius: int = RADIUS, fit_rows: int = FIT_ROWS) -> DataFrame:

@@ -18,9 +18,10 @@ With 24 bands of 6 samples a pair of similarity 0.85 misses all bands with proba
 sketch passes pairs estimated at 0.68, over 5 standard deviations under 0.85.
 
 Defined cases: a null text or one without words has the empty set and is linked with nothing; a text shorter than a
-shingle is one shingle; rows that share a doc_id are one document; rows with a null doc_id link like others but give no
-component id (it stays null where all ids are null, and such rows are kept); an empty table gives an empty result;
-other columns take no part.
+shingle is one shingle; repeated rows have one set and one component (doc_id is taken to tell documents apart: texts
+that share their least doc_id count as linked); rows with a null doc_id link like others but give no component id (it
+stays null where all ids are null, and such rows are kept); an empty table gives an empty result; other columns take no
+part.
 """
 
 from __future__ import annotations
@@ -155,7 +156,7 @@ def confirm_links(nodes: np.ndarray, block: np.ndarray, sketch: np.ndarray, sets
 
 
 def _confirm(percent: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node")
         sets = [np.frombuffer(s, np.uint64) for s in pdf["shingles"]]
         sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(len(pdf), -1)

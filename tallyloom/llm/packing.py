@@ -11,8 +11,8 @@ Tasks pack their own rows, so nothing is shuffled and a sequence never spans tas
 short sequences as a length has bits. Ids of sequences are the task's number and a count. A task that is run again packs
 alike if its rows come in the same order: pack what is read from files. A task holds CHUNK tokens at a time.
 
-Defined cases: a null text is empty and has the end token alone; loss-bearing tokens are those from ``loss_from`` on (a
-column; null or absent: all); repeated rows and null ids are packed like others; an empty table gives an empty result;
+Defined cases: a null text is empty and has the end token alone; loss-bearing tokens are those from the example's
+``loss_from`` on (null or none named: all); repeated rows and null ids are packed like others; an empty table gives an empty result;
 other columns take no part.
 """
 
@@ -180,9 +180,12 @@ def _packed(path: str, limits: Limits, end_id: int, chunk: int):
     return run
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, limits: Limits = Limits(), end_id: int = 2, chunk: int = CHUNK) -> DataFrame:
-    """Pieces: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset, loss_tokens."""
-    loss_from = F.col("loss_from").cast("long") if "loss_from" in docs.columns else F.lit(0).cast("long")
+def pack_documents(docs: DataFrame, path: str | None = None, limits: Limits = Limits(), end_id: int = 2, chunk: int = CHUNK, loss_from: str | None = None) -> DataFrame:
+    """Pieces: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset, loss_tokens.
+
+    loss_from: the column with the first loss-bearing token of each example, if not all are.
+    """
+    first_loss = F.col(loss_from).cast("long") if loss_from else F.lit(0).cast("long")
     schema = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, loss_tokens long"
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text"), loss_from.alias("loss_from"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text"), first_loss.alias("loss_from"))
     return rows.mapInPandas(_packed(path or tokenizer_path(), limits, end_id, chunk), schema)
