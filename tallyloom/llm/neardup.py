@@ -37,7 +37,7 @@ from tallyloom.llm.graph import components
 from tallyloom.llm.joins import bounded_join
 from tallyloom.llm.staging import staged
 from tallyloom.llm.textcols import boxed, unboxed
-from tallyloom.llm.words import mixed, shingle_set
+from tallyloom.llm.words import mixed, shingle_set, slices
 
 BANDS, ROWS = 24, 6
 SAMPLES = BANDS * ROWS
@@ -97,7 +97,7 @@ def sketches(samples: np.ndarray) -> np.ndarray:
 
 def _signatures(shingle: int):
     def run(batches):
-        for pdf in batches:
+        for pdf in slices(batches):
             sets = [shingle_set(t, shingle) for t in pdf["text"]]
             full = [i for i, s in enumerate(sets) if len(s)]
             out = pdf[["doc_id", "text_key"]].copy()
@@ -123,7 +123,7 @@ def _signatures(shingle: int):
 
 def _sets(shingle: int):
     def run(batches):
-        for pdf in batches:
+        for pdf in slices(batches):
             yield pd.DataFrame({"node": pdf["node"], "shingles": [shingle_set(t, shingle).tobytes() for t in pdf["text"]]})
 
     return run

@@ -26,9 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.tokens import tokenizer_path, word_tokenizer
+from tallyloom.llm.words import slices
 
 #: Tokens that a task gathers before it packs them.
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 SEQUENCES_PER_TASK = 2**33
 
 
@@ -162,7 +163,7 @@ def _packed(path: str, limits: Limits, end_id: int, chunk: int):
             made = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "loss_tokens"])
             return made.astype({"doc_id": "Int64"})
 
-        for pdf in batches:
+        for pdf in slices(batches):
             encoded = tokenizer.encode_all(pdf["text"], end)
             for doc_id, ids, loss_from in zip(pdf["doc_id"], encoded, pdf["loss_from"], strict=True):
                 held[count] = (None if pd.isna(doc_id) else int(doc_id), ids)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.joins import bounded_join
 from tallyloom.llm.textcols import boxed, unboxed
-from tallyloom.llm.words import ngram_hashes, word_hashes
+from tallyloom.llm.words import ngram_hashes, slices, word_hashes
 
 BUCKETS = 2**16
 TRUSTED_ROWS = 200_000
@@ -44,7 +44,7 @@ def features(words: np.ndarray) -> np.ndarray:
 
 def _counted(batches):
     corpus, trusted = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-    for pdf in batches:
+    for pdf in slices(batches):
         for text, good in zip(pdf["text"], pdf["trusted"], strict=True):
             found = np.bincount(features(word_hashes(text)), minlength=BUCKETS)
             corpus += found

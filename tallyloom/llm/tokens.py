@@ -14,7 +14,9 @@ import numpy as np
 TOKENIZER = "word_bpe_49k.json"
 #: Words that a worker remembers in each of two generations. When the younger is full, it becomes the older, and what is
 #: met again moves up, so common words stay; this changes no result.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
+#: Marks that end words; after an ASCII letter or digit they are tokens of their own.
+MARKS = b".,;:!?%*$#&|"
 #: Texts whose new words are learned together, and words in one call's text.
 TEXTS, CALL = 64, 256
 
@@ -46,7 +48,7 @@ class WordTokenizer:
     def _learn(self, words: list[bytes]) -> None:
         """Many words go through the tokenizer as one text, parted by a special token that is none of them."""
         texts = [w.decode() for w in words]
-        apart = [i for i, t in enumerate(texts) if self._mark is None or any(m in t for m in self._marks)]
+        apart = [i for i, t in enumerate(texts) if self._mark is None or not t or any(m in t for m in self._marks)]
         self._young.update(zip([words[i] for i in apart], self._one_by_one([texts[i] for i in apart]), strict=True))
         left = set(apart)
         rest = [i for i in range(len(words)) if i not in left]
@@ -59,16 +61,32 @@ class WordTokenizer:
             starts, ends = np.concatenate([[0], cuts + 1]) * 4, np.append(cuts, len(ids)) * 4
             self._young.update((words[i], raw[a:b]) for i, a, b in zip(call, starts.tolist(), ends.tolist(), strict=True))
 
-    def _remember(self, words: set[bytes]) -> None:
-        """After it, all the words are in the younger generation."""
-        if len(self._young) + len(words) > REMEMBERED:
-            self._old, self._young = self._young, {}
+    def _known(self, words) -> list[bytes]:
+        """Brings words of the older generation into the younger; the words that neither has."""
         new = [w for w in words if w not in self._young]
         if self._old:
             self._young.update((w, self._old[w]) for w in new if w in self._old)
             new = [w for w in new if w not in self._young]
+        return new
+
+    def _remember(self, words: set[bytes]) -> None:
+        """After it, all the words are in the younger generation."""
+        if len(self._young) + len(words) > REMEMBERED:
+            self._old, self._young = self._young, {}
+        parts = {}
+        for word in self._known(words):
+            stem = word.rstrip(MARKS)
+            if stem.isalnum():  # of ASCII alone, so that case makes no difference
+                parts[word] = (stem.lower(), word[len(stem) :])
+            elif stem[-1:].isalnum() and b"<" not in stem:
+                parts[word] = (stem, word[len(stem) :])
+            else:
+                parts[word] = (word, b"")
+        new = self._known({p for pair in parts.values() for p in pair})
         if new:
             self._learn(new)
+        ids = self._young
+        ids.update([(word, ids[stem] + ids[marks]) for word, (stem, marks) in parts.items()])
 
     def encode_all(self, texts, end: bytes = b"") -> Iterator[bytes]:
         """The ids of each text, with end after them; a null text has none of its own."""

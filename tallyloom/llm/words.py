@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 #: Words remembered by a worker; beyond it the memory starts anew, which changes no result.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 _MUL1, _MUL2, _MUL3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
 
@@ -23,6 +24,15 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
+def slices(batches, rows: int = 512):
+    """The rows of pandas batches in smaller frames, so that what is made of them stays small; memory goes back at the end."""
+    for pdf in batches:
+        for at in range(0, len(pdf), rows):
+            yield pdf.iloc[at : at + rows]
+        del pdf
+    pa.default_memory_pool().release_unused()
+
+
 def word_hashes(text: str | None, lower: bool = False) -> np.ndarray:
     """64-bit hashes of the words, in order. Words are runs of anything but ASCII white space; lower touches A-Z only."""
     raw = (text or "").encode()
