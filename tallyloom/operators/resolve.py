@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.operators.catalog import best_per
+from tallyloom.operators.lineage import checkpointed
 
 
 def absorb(rows: DataFrame, base: str, work: str) -> DataFrame:
@@ -27,13 +28,16 @@ def clusters(edges: DataFrame, rounds: int = 50) -> DataFrame:
     Each round takes the least label around a node and then that label's label, so paths halve; every round is
     checkpointed, and the loop ends when no label changes.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("cluster")).checkpoint()
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    both = checkpointed(both)
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("cluster"))
+    labels = checkpointed(labels)
     for _ in range(rounds):
         around = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("cluster").alias("near"))
         near = labels.join(around, "node").select("node", F.col("cluster").alias("was"), F.least("cluster", "near").alias("to"))
         jump = labels.select(F.col("node").alias("to"), F.col("cluster").alias("further"))
-        after = near.join(jump, "to", "left").select("node", "was", F.least("to", F.coalesce("further", "to")).alias("cluster")).checkpoint()
+        after = near.join(jump, "to", "left").select("node", "was", F.least("to", F.coalesce("further", "to")).alias("cluster"))
+        after = checkpointed(after)
         labels = after.select("node", "cluster")
         if after.filter("cluster <> was").isEmpty():
             break
