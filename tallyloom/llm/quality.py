@@ -45,11 +45,11 @@ def features(words: np.ndarray) -> np.ndarray:
 def _counted(batches):
     corpus, trusted = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
     for pdf in slices(batches):
-        for text, good in zip(pdf["text"], pdf["trusted"], strict=True):
-            found = np.bincount(features(word_hashes(text)), minlength=BUCKETS)
-            corpus += found
-            if good:
-                trusted += found
+        found = [features(word_hashes(t)) for t in pdf["text"]]
+        corpus += np.bincount(np.concatenate(found), minlength=BUCKETS)
+        good = [f for f, g in zip(found, pdf["trusted"], strict=True) if g]
+        if good:
+            trusted += np.bincount(np.concatenate(good), minlength=BUCKETS)
     used = np.flatnonzero(corpus)
     yield pd.DataFrame({"bucket": used, "corpus": corpus[used], "trusted": trusted[used]})
 
