@@ -65,3 +65,49 @@ def month_window(year: int, month: int) -> tuple[Column, Column]:
 def week_start(day: Column) -> Column:
     """Sunday on or before a day."""
     return F.date_sub(day, F.dayofweek(day) - 1)
+
+
+def release_date(text: Column) -> Column:
+    """An ISO date, or an English month with an optional day ("Aug 2025", "14 August 2025"); the day is 1 where none is given."""
+    iso = F.try_to_date(F.regexp_extract(text, r"(\d{4}-\d{2}-\d{2})", 1), "yyyy-MM-dd")
+    found = lambda i: F.regexp_extract(F.lower(text), r"(?:(\d{1,2})\s+)?\b(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\.?\s+(\d{4})", i)
+    month = F.floor((F.instr(F.lit("janfebmaraprmayjunjulaugsepoctnovdec"), found(2)) - 1) / 3) + 1
+    named = F.when(found(3) != "", safe_date(found(3).try_cast("int"), month.cast("int"), F.coalesce(found(1).try_cast("int"), F.lit(1))))
+    return F.coalesce(iso, named)
+
+
+def last_moment(day: Column) -> Column:
+    """23:59:59 of a day."""
+    return F.to_timestamp_ntz(F.concat(day.cast("string"), F.lit(" 23:59:59")))
+
+
+def expiry_by_post(posted: Column, month: Column, day: Column) -> Column:
+    """The end of a day whose year isn't written: the next year where its month lies more than one before the post's."""
+    return last_moment(year_by_half(posted, month, day, 1))
+
+
+def mentioned_dates(text: Column) -> Column:
+    """Distinct real dates in yyyy-mm-dd, yyyy.mm.dd or yyyy/mm/dd form, sorted."""
+    found = F.regexp_extract_all(text, F.lit(r"(?<!\d)(20\d\d[-./]\d{1,2}[-./]\d{1,2})(?!\d)"), 1)
+    parts = F.transform(found, lambda s: F.transform(F.split(s, "[-./]"), lambda p: p.try_cast("int")))
+    days = F.transform(parts, lambda p: safe_date(p[0], p[1], p[2]))
+    return F.array_sort(F.array_distinct(F.filter(days, lambda d: d.isNotNull())))
+
+
+def trusted_announcement(announced: Column, listed: Column) -> Column:
+    """Null where an announced moment is of the year 9999 or on a day that is merely one of the listing's."""
+    return F.when((F.year(announced) == 9999) | F.coalesce(F.array_contains(listed, F.to_date(announced)), F.lit(False)), None).otherwise(announced)
+
+
+def time_known(announced: Column) -> Column:
+    """Noon sharp stands for an unknown time."""
+    return ~((F.hour(announced) == 12) & (F.minute(announced) == 0))
+
+
+def local_time(utc: Column, zone: str = "Asia/Seoul") -> Column:
+    return F.from_utc_timestamp(utc, zone)
+
+
+def human_date(moment: Column) -> Column:
+    """Such as "Aug 14 (Thu) 8:00 PM"."""
+    return F.date_format(moment, "MMM d (EEE) h:mm a")

@@ -184,3 +184,71 @@ def tokens_similar(least: int, rigid: frozenset[str] = frozenset()):
         return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
 
     return similar
+
+
+def code_after(text: Column, markers: list[str]) -> Column:
+    """The first code of letters and digits after one of the markers."""
+    return F.nullif(F.regexp_extract(text, rf"(?:{'|'.join(markers)})\s*[:：]?\s*([A-Za-z0-9]{{4,30}})", 1), F.lit(""))
+
+
+def text_between(text: Column, start: str, end: str) -> Column:
+    """What stands between two markers, trimmed."""
+    return F.nullif(F.trim(F.regexp_extract(text, rf"(?s){start}\s*[:：]?(.*?)(?:{end}|$)", 1)), F.lit(""))
+
+
+def code_candidates(text: Column) -> Column:
+    """Single tokens of a text, and runs of two or three upper-case words glued together, in first-seen order."""
+    words = F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+"), F.lit(0))
+
+    def glued(n: int) -> Column:
+        whole = F.transform(words, lambda w, i: F.slice(words, i + 1, F.lit(n)))
+        upper = F.filter(whole, lambda ws: (F.size(ws) == n) & F.forall(ws, lambda w: w.rlike("^[A-Z0-9]*[A-Z][A-Z0-9]*$")))
+        return F.transform(upper, lambda ws: F.array_join(ws, ""))
+
+    return F.array_distinct(F.concat(words, glued(2), glued(3)))
+
+
+def artist_name(title: Column, keywords: list[str], most: int = 4) -> Column:
+    """The title's words before a keyword or a year, at most four."""
+    words = F.filter(F.split(F.trim(title), r"\s+"), lambda w: w != "")
+    stop = F.transform(words, lambda w, i: F.when(F.lower(w).isin([k.lower() for k in keywords]) | w.rlike(r"^(19|20)\d\d\D*$"), i))
+    cut = F.coalesce(F.array_min(stop), F.size(words))
+    return F.array_join(F.slice(words, F.lit(1), F.least(cut, F.lit(most))), " ")
+
+
+def reward_text(rewards: Column, most: int = 6) -> Column:
+    """An array of (name, count) as one line: "name xcount", the first six."""
+    one = lambda r: F.concat(r["name"], F.when(r["count"].isNotNull(), F.concat(F.lit(" x"), r["count"].cast("string"))).otherwise(""))
+    return F.array_join(F.transform(F.slice(rewards, 1, most), one), ", ")
+
+
+def summary_line(parts: dict[str, Column]) -> Column:
+    """Labels with the values that are there, parted by dots."""
+    return F.concat_ws(" · ", *[F.when(v.isNotNull() & (v.cast("string") != ""), F.concat(F.lit(f"{k} "), v.cast("string"))) for k, v in parts.items()])
+
+
+def translated(value: Column, table: dict[str, str]) -> Column:
+    """By a closed vocabulary; what isn't in it passes."""
+    entries = F.create_map(*[F.lit(x) for pair in table.items() for x in pair])
+    return F.coalesce(F.try_element_at(entries, value), value)
+
+
+def filled(template: str, values: dict[str, Column]) -> Column:
+    """A template with {name} places filled."""
+    out = F.lit(template)
+    for name, value in values.items():
+        out = F.replace(out, F.lit(f"{{{name}}}"), F.coalesce(value.cast("string"), F.lit("")))
+    return out
+
+
+def truncated(text: Column, n: int, ellipsis: bool = False) -> Column:
+    """The first n characters; with an ellipsis, which counts as one of them, where something is cut."""
+    return F.when(F.length(text) > n, F.concat(F.left(text, F.lit(n - 1)), F.lit("…"))).otherwise(text) if ellipsis else F.left(text, F.lit(n))
+
+
+def alias_code(text: Column, aliases: dict[str, list[str]]) -> Column:
+    """The code itself, or the first code one of whose aliases occurs in the text or holds it."""
+    t = F.lower(F.trim(text))
+    tests = [F.when(t == c.lower(), F.lit(c)) for c in aliases]
+    tests += [F.when(reduce(lambda a, b: a | b, [F.contains(t, F.lit(x.lower())) | (F.contains(F.lit(x.lower()), t) & (t != "")) for x in names]), F.lit(c)) for c, names in aliases.items()]
+    return F.coalesce(*tests)

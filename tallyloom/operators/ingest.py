@@ -117,3 +117,34 @@ def merge_topics(old: Column, new: Column) -> Column:
 def merge_maps(left: Column, right: Column) -> Column:
     """Entries of both; the right one's value wins."""
     return F.map_from_entries(F.concat(F.map_entries(F.map_filter(left, lambda k, _: ~F.array_contains(F.map_keys(right), k))), F.map_entries(right)))
+
+
+def not_yet_told(rows: DataFrame, told: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys no notice has gone out for."""
+    return rows.join(told.select(*keys).distinct(), keys, "left_anti")
+
+
+def owned_overwrite(old: Column, new: Column, owner: Column, source: Column, came: Column) -> Column:
+    """Only the owning source may overwrite or clear a field; others fill it where it is empty and unowned."""
+    return F.when(came & (owner == source), new).when(owner.isNull(), F.coalesce(old, new)).otherwise(old)
+
+
+def attach_duplicates(old: DataFrame, new: DataFrame, same: list[str], key: str, tokens: str, links: str) -> tuple[DataFrame, DataFrame]:
+    """old with empty links filled from duplicates in new, and the rows of new that duplicate nothing.
+
+    A duplicate has the same values in ``same`` (a day) and a token in common; tokens are exploded into the join's key.
+    The least key that shares a token is the one that keeps the duplicate's links.
+    """
+    mine = old.select(F.col(key).alias("old_key"), *same, F.explode(tokens).alias("token_"))
+    other = new.select(F.col(key).alias("new_key"), links, *same, F.explode(tokens).alias("token_"))
+    pairs = mine.join(other, [*same, "token_"]).groupBy("new_key").agg(F.min("old_key").alias(key), F.first(links).alias("links_"))
+    best = pairs.groupBy(key).agg(F.min_by("links_", "new_key").alias("links_"))
+    filled = old.join(best, key, "left").withColumn(links, F.when(F.col(links).isNull() | (F.size(links) == 0), F.coalesce("links_", links)).otherwise(F.col(links))).drop("links_")
+    return filled, new.join(pairs.select(F.col("new_key").alias(key)), key, "left_anti")
+
+
+def delete_missing_of_seen(old: DataFrame, arrived: DataFrame, group: str, keys: list[str]) -> DataFrame:
+    """old without keys that didn't arrive, but only in groups of which something arrived."""
+    seen = old.join(arrived.select(group).distinct(), group, "left_semi").join(arrived.select(*keys).distinct(), keys, "left_semi")
+    unseen = old.join(arrived.select(group).distinct(), group, "left_anti")
+    return unseen.unionByName(seen)

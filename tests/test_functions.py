@@ -70,3 +70,29 @@ def test_vectors(spark):
     assert one(spark, V.hamming_hex(F.lit("f" * 16), F.lit("0" * 16))) == 64 and one(spark, V.hamming_hex(F.lit("00000000000000ff"), F.lit("0" * 16))) == 8
     assert one(spark, V.hamming_hex(F.lit("zz"), F.lit("0" * 16))) == 64
     assert one(spark, V.converted(F.lit(10.0), F.lit(None).cast("double"))) is None and one(spark, V.converted(F.lit(10.0), F.lit(None).cast("double"), "one")) == 10.0
+
+
+def test_codes_and_names(spark):
+    assert one(spark, T.code_after(F.lit("Coupon code: ABC123 now"), ["coupon code", "Coupon code"])) == "ABC123"
+    assert one(spark, T.text_between(F.lit("Reward: gold x2 Period: May"), "Reward", "Period")) == "gold x2"
+    assert one(spark, T.code_candidates(F.lit("use NEW YEAR 2024 ok"))) == ["use", "NEW", "YEAR", "2024", "ok", "NEWYEAR"]
+    assert one(spark, T.artist_name(F.lit("Some Big Band LIVE 2024"), ["live"])) == "Some Big Band" and one(spark, T.artist_name(F.lit("a b c d e"), ["live"])) == "a b c d"
+    rewards = F.array(F.struct(F.lit("gold").alias("name"), F.lit(2).alias("count")), F.struct(F.lit("key").alias("name"), F.lit(None).cast("int").alias("count")))
+    assert one(spark, T.reward_text(rewards)) == "gold x2, key"
+    assert one(spark, T.summary_line({"hp": F.lit(5), "none": F.lit(None).cast("string"), "role": F.lit("tank")})) == "hp 5 · role tank"
+    assert one(spark, T.translated(F.lit("fire"), {"fire": "red"})) == "red" and one(spark, T.translated(F.lit("x"), {"fire": "red"})) == "x"
+    assert one(spark, T.filled("/i/{id}.png?v={v}", {"id": F.lit(7), "v": F.lit(None).cast("string")})) == "/i/7.png?v="
+    assert one(spark, T.truncated(F.lit("abcdef"), 4, True)) == "abc…" and one(spark, T.truncated(F.lit("abcdef"), 4)) == "abcd"
+    assert one(spark, T.alias_code(F.lit("Blue Archive news"), {"ba": ["blue archive"], "gi": ["genshin"]})) == "ba"
+
+
+def test_more_dates(spark):
+    ts = lambda s: F.to_timestamp_ntz(F.lit(s))
+    assert one(spark, D.release_date(F.lit("Release: 14 August 2025"))) == dt.date(2025, 8, 14)
+    assert one(spark, D.release_date(F.lit("Sep 2025"))) == dt.date(2025, 9, 1) and one(spark, D.release_date(F.lit("soon"))) is None
+    assert one(spark, D.expiry_by_post(F.lit("2024-12-20").cast("date"), F.lit(1), F.lit(3))) == dt.datetime(2025, 1, 3, 23, 59, 59)
+    assert one(spark, D.mentioned_dates(F.lit("2024-02-30, 2024.3.1 and 2024/03/01"))) == [dt.date(2024, 3, 1)]
+    days = F.array(F.lit("2024-05-01").cast("date"))
+    assert one(spark, D.trusted_announcement(ts("2024-05-01 10:00:00"), days)) is None and one(spark, D.trusted_announcement(ts("9999-01-01 00:00:00"), days)) is None
+    assert not one(spark, D.time_known(ts("2024-05-02 12:00:00"))) and one(spark, D.time_known(ts("2024-05-02 12:30:00")))
+    assert one(spark, D.human_date(ts("2025-08-14 20:00:00"))) == "Aug 14 (Thu) 8:00 PM"

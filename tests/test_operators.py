@@ -118,3 +118,32 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r["event_type"], r["n"]) for r in spark.table("activity").collect()} == {("a", 2), ("b", 1)}
+
+
+def test_duplicates_notices_and_owners(spark):
+    d = dt.date
+    old = spark.createDataFrame([(1, d(2024, 1, 1), ["aimer", "tour"], []), (2, d(2024, 1, 2), ["x"], ["l2"])], "id int, day date, toks array<string>, links array<string>")
+    new = spark.createDataFrame([(8, d(2024, 1, 1), ["aimer"], ["l8"]), (9, d(2024, 1, 3), ["aimer"], ["l9"])], "id int, day date, toks array<string>, links array<string>")
+    filled, fresh = I.attach_duplicates(old, new, ["day"], "id", "toks", "links")
+    assert {(r["id"], tuple(r["links"])) for r in filled.collect()} == {(1, ("l8",)), (2, ("l2",))} and {r["id"] for r in fresh.collect()} == {9}
+    assert rows(I.not_yet_told(spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(2,)], "k int"), ["k"])) == {(1,)}
+    f = spark.createDataFrame([("a", None, "s1", "s1"), ("a", "b", "s1", "s2"), (None, "b", None, "s2")], "o string, n string, own string, src string")
+    got = f.select(I.owned_overwrite(F.col("o"), F.col("n"), F.col("own"), F.col("src"), F.lit(True)).alias("x")).collect()
+    assert [r["x"] for r in got] == [None, "a", "b"]
+    kept = I.delete_missing_of_seen(spark.createDataFrame([("g", 1), ("g", 2), ("h", 3)], "g string, k int"), spark.createDataFrame([("g", 1)], "g string, k int"), "g", ["k"])
+    assert rows(kept) == {("g", 1), ("h", 3)}
+
+
+def test_sinks(spark, tmp_path):
+    import pytest
+    from tallyloom.sources.sinks import json_rows, replace_table, versioned_export
+
+    df = spark.createDataFrame([("u", 2, None), ("u", 1, "x")], "user string, id int, note string")
+    assert {r[0] for r in json_rows(df).collect()} == {'{"user":"u","id":2,"note":null}', '{"user":"u","id":1,"note":"x"}'}
+    assert versioned_export(df, ["user"], 3).collect()[0]["document"] == '{"version":3,"entries":[{"id":1,"note":"x"},{"id":2}]}'
+    path = f"{tmp_path}/t"
+    replace_table(df, path)
+    replace_table(df.filter("id = 1"), path)
+    assert spark.read.parquet(path).count() == 1 and [p.name for p in tmp_path.iterdir()] == ["t"]
+    with pytest.raises(ValueError, match="nothing"):
+        replace_table(df.filter("id = 9"), path)
