@@ -15,6 +15,8 @@ gives an empty result; other columns pass through, except that the operator's ow
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.joins import bounded_join
 from tallyloom.llm.textcols import boxed, unboxed
-from tallyloom.llm.words import ngram_hashes, slices, word_hashes
+from tallyloom.llm.words import forget, ngram_hashes, slices, word_hashes
 
 BUCKETS = 2**16
 TRUSTED_ROWS = 200_000
@@ -103,14 +105,17 @@ def base_rules(text: str | None, words: np.ndarray) -> tuple[int, int, int, int,
 
 
 def _scored(ratios, threshold: float):
-    def run(texts: pd.Series) -> pd.DataFrame:
-        table, rows = ratios.value, []
-        for text in texts:
-            words = word_hashes(text)
-            base = base_rules(text, words)
-            score = float(table[features(words)].mean()) if len(words) else 0.0
-            rows.append((*base, score, not base[-1] and score >= threshold))
-        return pd.DataFrame(rows, columns=list(OWN))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        table = ratios.value
+        for texts in batches:
+            rows = []
+            for text in texts:
+                words = word_hashes(text)
+                base = base_rules(text, words)
+                score = float(table[features(words)].mean()) if len(words) else 0.0
+                rows.append((*base, score, not base[-1] and score >= threshold))
+            yield pd.DataFrame(rows, columns=list(OWN))
+        forget()
 
     schema = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, kept boolean"
     return F.pandas_udf(run, schema)

@@ -24,13 +24,19 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
+def forget() -> None:
+    """Gives a worker's memory back at the end of a task, for whatever the next one does."""
+    _HASHES.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def slices(batches, rows: int = 512):
     """The rows of pandas batches in smaller frames, so that what is made of them stays small; memory goes back at the end."""
     for pdf in batches:
         for at in range(0, len(pdf), rows):
             yield pdf.iloc[at : at + rows]
         del pdf
-    pa.default_memory_pool().release_unused()
+    forget()
 
 
 def word_hashes(text: str | None, lower: bool = False) -> np.ndarray:
