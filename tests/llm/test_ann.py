@@ -63,3 +63,14 @@ def test_unusable_vectors_ties_and_few_candidates(spark):
     assert [(r[1], r[2]) for r in got] == [(1, 2), (2, 2), (3, 3), (4, 7)] and abs(got[0][3] - 1) < 1e-12 and abs(got[3][3] + 1) < 1e-12
     assert not [r for r in A.nearest(df, df).collect() if r["query_id"] in (10, 20, 30, 40, 50, 60, 70)]
     assert A.nearest(df.filter("vec_id = -1"), df).count() == 0 and A.nearest(df, df.filter("vec_id = -1")).count() == 0
+
+
+def test_equal_vectors_tie_wherever_they_lie(spark):
+    rng = np.random.default_rng(8)
+    same = [float(v) for v in rng.normal(size=64)]
+    near = [v + 0.01 * float(d) for v, d in zip(same, rng.normal(size=64), strict=True)]
+    rows = [(i, [float(v) for v in rng.normal(size=64)]) for i in range(1, 400)]
+    rows += [(i, same) for i in range(1000, 1700, 7)] + [(0, near)]
+    df = frame(spark, rows)
+    got = sorted((r["rank"], r["vec_id"]) for r in A.nearest(df, df.filter("vec_id = 0")).collect())
+    assert got == [(1, 1000), (2, 1007), (3, 1014), (4, 1021), (5, 1028)]
