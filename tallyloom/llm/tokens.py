@@ -7,6 +7,7 @@ Words are cut at ASCII white space; what other white space a word holds is the t
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,10 +16,11 @@ TOKENIZER = "word_bpe_49k.json"
 #: Words that a worker remembers in each of two generations. When the younger is full, it becomes the older, and what is
 #: met again moves up, so common words stay; this changes no result.
 REMEMBERED = 250_000
-#: Marks that end words; after an ASCII letter or digit they are tokens of their own.
-MARKS = b".,;:!?%*$#&|"
 #: Texts whose new words are learned together, and words in one call's text.
 TEXTS, CALL = 64, 256
+#: A word that parts the words of one call, and the word's character.
+BREAK_CHAR = "\x01"
+BREAK = f" {BREAK_CHAR} "
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -36,9 +38,10 @@ class WordTokenizer:
 
         self.path = path
         self._tokenizer = Tokenizer.from_file(path)
-        special = self._tokenizer.get_added_tokens_decoder()
-        self._marks = [t.content for t in special.values()]
-        self._mark, self._mark_id = next(((t.content, i) for i, t in special.items() if t.special and not (t.lstrip or t.rstrip)), (None, None))
+        marks = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._apart = re.compile("|".join(map(re.escape, [BREAK_CHAR, *marks]))).search
+        found = self._tokenizer.encode(BREAK_CHAR, add_special_tokens=False).ids
+        self._break_id = found[0] if len(found) == 1 and not any(c.isspace() for m in marks for c in m) else None
         self._young: dict[bytes, bytes] = {}
         self._old: dict[bytes, bytes] = {}
 
@@ -46,20 +49,22 @@ class WordTokenizer:
         return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _learn(self, words: list[bytes]) -> None:
-        """Many words go through the tokenizer as one text, parted by a special token that is none of them."""
+        """Many words go through the tokenizer as one text, parted by a word that is none of them."""
         texts = [w.decode() for w in words]
-        apart = [i for i, t in enumerate(texts) if self._mark is None or not t or any(m in t for m in self._marks)]
-        self._young.update(zip([words[i] for i in apart], self._one_by_one([texts[i] for i in apart]), strict=True))
-        left = set(apart)
-        rest = [i for i in range(len(words)) if i not in left]
-        calls = [rest[at : at + CALL] for at in range(0, len(rest), CALL)]
-        encoded = self._tokenizer.encode_batch_fast([self._mark.join(texts[i] for i in c) for c in calls], add_special_tokens=False) if calls else []
-        for call, e in zip(calls, encoded, strict=True):
+        if self._break_id is None or self._apart(" ".join(texts)):
+            apart = [i for i, t in enumerate(texts) if self._break_id is None or self._apart(t)]
+            self._young.update(zip([words[i] for i in apart], self._one_by_one([texts[i] for i in apart]), strict=True))
+            left = set(apart)
+            words = [w for i, w in enumerate(words) if i not in left]
+            texts = [t for i, t in enumerate(texts) if i not in left]
+        starts = range(0, len(words), CALL)
+        encoded = self._tokenizer.encode_batch_fast([BREAK.join(texts[at : at + CALL]) for at in starts], add_special_tokens=False) if words else []
+        for at, e in zip(starts, encoded, strict=True):
             ids = np.array(e.ids, "<u4")
-            cuts = np.flatnonzero(ids == self._mark_id)
+            cuts = np.flatnonzero(ids == self._break_id)
             raw = ids.tobytes()
-            starts, ends = np.concatenate([[0], cuts + 1]) * 4, np.append(cuts, len(ids)) * 4
-            self._young.update((words[i], raw[a:b]) for i, a, b in zip(call, starts.tolist(), ends.tolist(), strict=True))
+            begins, ends = np.concatenate([[0], cuts + 1]) * 4, np.append(cuts, len(ids)) * 4
+            self._young.update((w, raw[a:b]) for w, a, b in zip(words[at : at + CALL], begins.tolist(), ends.tolist(), strict=True))
 
     def _known(self, words) -> list[bytes]:
         """Brings words of the older generation into the younger; the words that neither has."""
@@ -73,20 +78,9 @@ class WordTokenizer:
         """After it, all the words are in the younger generation."""
         if len(self._young) + len(words) > REMEMBERED:
             self._old, self._young = self._young, {}
-        parts = {}
-        for word in self._known(words):
-            stem = word.rstrip(MARKS)
-            if stem.isalnum():  # of ASCII alone, so that case makes no difference
-                parts[word] = (stem.lower(), word[len(stem) :])
-            elif stem[-1:].isalnum() and b"<" not in stem:
-                parts[word] = (stem, word[len(stem) :])
-            else:
-                parts[word] = (word, b"")
-        new = self._known({p for pair in parts.values() for p in pair})
+        new = self._known(words)
         if new:
             self._learn(new)
-        ids = self._young
-        ids.update([(word, ids[stem] + ids[marks]) for word, (stem, marks) in parts.items()])
 
     def encode_all(self, texts, end: bytes = b"") -> Iterator[bytes]:
         """The ids of each text, with end after them; a null text has none of its own."""
