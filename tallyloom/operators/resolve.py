@@ -22,26 +22,37 @@ def conflicts(a: Column, b: Column) -> Column:
     return F.coalesce(a != b, F.lit(False))
 
 
-def clusters(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(node, cluster) by least-label spreading with pointer jumping over edges (a, b).
+def _large_star(edges: DataFrame) -> DataFrame:
+    """Every neighbour above a node is hung on the least of the node and its neighbours."""
+    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
-    Each round takes the least label around a node and then that label's label, so paths halve; every round is
-    checkpointed, and the loop ends when no label changes.
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    """A node and its neighbours below are hung on the least of these."""
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    below = edges.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return below.union(least.select("u", F.col("m").alias("v"))).distinct()
+
+
+def clusters(edges: DataFrame) -> DataFrame:
+    """(node, cluster): connected components of edges (a, b) by alternating large and small stars; a cluster is its least node.
+
+    Every round is checkpointed. The loop ends only when every node hangs on one node that hangs on nothing, which takes
+    about the logarithm of the longest path, whatever the order of the ids along it.
     """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = checkpointed(both)
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("cluster"))
-    labels = checkpointed(labels)
-    for _ in range(rounds):
-        around = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("cluster").alias("near"))
-        near = labels.join(around, "node").select("node", F.col("cluster").alias("was"), F.least("cluster", "near").alias("to"))
-        jump = labels.select(F.col("node").alias("to"), F.col("cluster").alias("further"))
-        after = near.join(jump, "to", "left").select("node", "was", F.least("to", F.coalesce("further", "to")).alias("cluster"))
-        after = checkpointed(after)
-        labels = after.select("node", "cluster")
-        if after.filter("cluster <> was").isEmpty():
+    edges = checkpointed(edges.select("a", "b"))
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select(F.col("b").alias("node"))).distinct()
+    now = checkpointed(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    while True:
+        now = checkpointed(_small_star(_large_star(now)))
+        chained = now.join(now.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
+        forked = now.groupBy("u").count().filter("count > 1")
+        if chained.isEmpty() and forked.isEmpty():
             break
-    return labels
+    roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("cluster"))
 
 
 def canonical(products: DataFrame, groups: str, key: str, weight: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -81,6 +82,13 @@ def test_clusters_are_a_partition_whatever_the_order(spark):
         assert rows(R.clusters(spark.createDataFrame(pairs, "a long, b long"))) == {(1, 1), (2, 1), (3, 1), (9, 1), (10, 10), (11, 10), (12, 10), (20, 20), (21, 20)}
 
 
+def test_clusters_of_a_long_path_of_random_ids_are_whole(spark):
+    ids = list(range(1000))
+    random.Random(5).shuffle(ids)
+    path = spark.createDataFrame(list(zip(ids[1:], ids[:-1], strict=True)), "a long, b long")
+    assert rows(R.clusters(path)) == {(i, 0) for i in ids}
+
+
 def test_absorb_needs_an_only_work(spark):
     df = spark.createDataFrame([(1, "k", "w"), (2, "k", None), (3, "m", "a"), (4, "m", "b"), (5, "m", None)], "id int, base string, work string")
     assert {(r["id"], r["bundle"]) for r in R.absorb(df, "base", "work").collect()} == {(1, "k#w"), (2, "k#w"), (3, "m#a"), (4, "m#b"), (5, "m#-")}
