@@ -116,7 +116,7 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document in sequences of 4096 tokens."""
     pieces = pack_documents(_table(spark, sf_dir, "documents"))
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "example_id")
 
 
 def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

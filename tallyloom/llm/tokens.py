@@ -2,25 +2,33 @@
 
 The tokenizer drops white space and never joins across it, so the ids of a text are those of its words in order.
 Words are cut at ASCII white space; what other white space a word holds is the tokenizer's to drop.
+
+A word that is not in memory is learned. Most words are letters with some punctuation after them. The tokenizer splits
+these there and lower-cases the letters, so their ids are those of the lower-cased letters (the stem) and of the tail.
+Stems have a memory of their own, and new ones go through the tokenizer's own merges many at a time, without the
+normalizing and splitting that changes nothing on them. All other words go through the whole tokenizer.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
 
 TOKENIZER = "word_bpe_49k.json"
-#: Words that a worker remembers in each of two generations. When the younger is full, it becomes the older, and what is
-#: met again moves up, so common words stay; this changes no result.
-REMEMBERED = 250_000
-#: Texts whose new words are learned together, and words in one call's text.
-TEXTS, CALL = 64, 256
-#: A word that parts the words of one call, and the word's character.
-BREAK_CHAR = "\x01"
-BREAK = f" {BREAK_CHAR} "
+#: Words and stems that a worker remembers in each of two generations. When the younger is full, it becomes the older,
+#: and what is met again moves up, so common words stay; this changes no result.
+REMEMBERED, STEMS = 250_000, 200_000
+#: Texts whose new words are learned together, and stems in one call's text.
+TEXTS, CALL = 64, 1024
+#: What may follow a stem's letters and be apart from them: no white space, letter, digit or apostrophe.
+TAIL = ".,;:!?#*%$&|<>()[]{}\"/=+~-"
+#: The last letter of the scripts (Latin, Greek, Cyrillic) whose letters and cases don't differ between Unicode's versions.
+LAST_LETTER = "\u052f"
+WORD_END = "</w>"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -29,6 +37,46 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+class Memory:
+    """Ids of keys in two generations."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def new(self, keys: set) -> set:
+        """The keys that neither generation has; the others are in the younger after it."""
+        if len(self.young) + len(keys) > self.limit:
+            self.old, self.young = self.young, {}
+        unknown = keys.difference(self.young)
+        if self.old and unknown:
+            again = [k for k in unknown if k in self.old]
+            self.young.update(zip(again, map(self.old.__getitem__, again), strict=True))
+            unknown.difference_update(again)
+        return unknown
+
+
+def _stem_tokenizer(path: str):
+    """The file's merges for words that are lower-case letters already, and which ids end a word; None if it isn't built so."""
+    from tokenizers import Tokenizer
+
+    with open(path, encoding="utf-8") as f:
+        made = json.load(f)
+    steps = [n.get("type") for n in (made.get("normalizer") or {}).get("normalizers", [])]
+    splits = (made.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    letters = len(splits) == 2 and "|[\\p{L}]+|" in str(splits[0].get("pattern", {}).get("Regex")) and splits[1].get("type") == "ByteLevel"
+    model = made.get("model", {})
+    marks = [t["content"] for t in made.get("added_tokens", [])]
+    apart = all(m and not m[0].isalpha() and any(c.isalnum() for c in m) for m in marks)
+    if steps != ["NFC", "Replace", "Lowercase"] or not letters or not apart or model.get("type") != "BPE" or model.get("end_of_word_suffix") != WORD_END:
+        return None
+    made.update(normalizer=None, added_tokens=[], pre_tokenizer={"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, splits[1]]})
+    ends = np.zeros(max(model["vocab"].values()) + 1, bool)
+    ends[[i for token, i in model["vocab"].items() if token.endswith(WORD_END)]] = True
+    return Tokenizer.from_str(json.dumps(made)), ends
+
+
 class WordTokenizer:
     """Ids as little-endian unsigned 32-bit numbers in bytes."""
 
@@ -38,57 +86,57 @@ class WordTokenizer:
 
         self.path = path
         self._tokenizer = Tokenizer.from_file(path)
-        marks = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
-        self._apart = re.compile("|".join(map(re.escape, [BREAK_CHAR, *marks]))).search
-        found = self._tokenizer.encode(BREAK_CHAR, add_special_tokens=False).ids
-        self._break_id = found[0] if len(found) == 1 and not any(c.isspace() for m in marks for c in m) else None
-        self._young: dict[bytes, bytes] = {}
-        self._old: dict[bytes, bytes] = {}
-
-    def _one_by_one(self, words: list[str]) -> list[bytes]:
+        self._stem_tokenizer = _stem_tokenizer(path)
+        self._words, self._stems = Memory(REMEMBERED), Memory(STEMS)
+        self._tails: dict[str, bytes] = {"": b""}
+
+    def _whole(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Many words go through the tokenizer as one text, parted by a word that is none of them."""
-        texts = [w.decode() for w in words]
-        if self._break_id is None or self._apart(" ".join(texts)):
-            apart = [i for i, t in enumerate(texts) if self._break_id is None or self._apart(t)]
-            self._young.update(zip([words[i] for i in apart], self._one_by_one([texts[i] for i in apart]), strict=True))
-            left = set(apart)
-            words = [w for i, w in enumerate(words) if i not in left]
-            texts = [t for i, t in enumerate(texts) if i not in left]
-        starts = range(0, len(words), CALL)
-        encoded = self._tokenizer.encode_batch_fast([BREAK.join(texts[at : at + CALL]) for at in starts], add_special_tokens=False) if words else []
-        for at, e in zip(starts, encoded, strict=True):
+    def _learn_stems(self, stems: list[str]) -> None:
+        tokenizer, ends = self._stem_tokenizer
+        parts = [stems[at : at + CALL] for at in range(0, len(stems), CALL)]
+        for part, e in zip(parts, tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
-            cuts = np.flatnonzero(ids == self._break_id)
             raw = ids.tobytes()
-            begins, ends = np.concatenate([[0], cuts + 1]) * 4, np.append(cuts, len(ids)) * 4
-            self._young.update((w, raw[a:b]) for w, a, b in zip(words[at : at + CALL], begins.tolist(), ends.tolist(), strict=True))
-
-    def _known(self, words) -> list[bytes]:
-        """Brings words of the older generation into the younger; the words that neither has."""
-        new = [w for w in words if w not in self._young]
-        if self._old:
-            self._young.update((w, self._old[w]) for w in new if w in self._old)
-            new = [w for w in new if w not in self._young]
-        return new
-
-    def _remember(self, words: set[bytes]) -> None:
-        """After it, all the words are in the younger generation."""
-        if len(self._young) + len(words) > REMEMBERED:
-            self._old, self._young = self._young, {}
-        new = self._known(words)
-        if new:
-            self._learn(new)
+            cuts = ((np.flatnonzero(ends[ids]) + 1) * 4).tolist()
+            self._stems.young.update((s, raw[a:b]) for s, a, b in zip(part, [0, *cuts[:-1]], cuts, strict=True))
+
+    def _learn(self, words: set[bytes]) -> None:
+        found, split, rest = self._words.young, [], []
+        for word in words:
+            text = word.decode()
+            low = text.lower()
+            stem = low.rstrip(TAIL)
+            plain = stem.isalpha() and (word.isascii() or (max(stem) <= LAST_LETTER and "\u03a3" not in text and unicodedata.is_normalized("NFC", text)))
+            if plain and self._stem_tokenizer:
+                split.append((word, stem, low[len(stem) :]))
+            else:
+                rest.append((word, text))
+        if split:
+            new = self._stems.new({s for _, s, _ in split})
+            if new:
+                self._learn_stems(list(new))
+            tails = list({t for _, _, t in split}.difference(self._tails))
+            if tails:
+                if len(self._tails) > REMEMBERED:
+                    self._tails = {"": b""}
+                    tails = list({t for _, _, t in split if t})
+                self._tails.update(zip(tails, self._whole(tails), strict=True))
+            ids, tail = self._stems.young, self._tails
+            found.update((w, ids[s] + tail[t] if t else ids[s]) for w, s, t in split)
+        if rest:
+            found.update(zip([w for w, _ in rest], self._whole([t for _, t in rest]), strict=True))
 
     def encode_all(self, texts, end: bytes = b"") -> Iterator[bytes]:
         """The ids of each text, with end after them; a null text has none of its own."""
         texts = list(texts)
         for at in range(0, len(texts), TEXTS):
             split = [(t or "").encode().split() for t in texts[at : at + TEXTS]]
-            self._remember(set().union(*split))
-            ids = self._young.__getitem__
+            new = self._words.new(set().union(*split))
+            if new:
+                self._learn(new)
+            ids = self._words.young.__getitem__
             for words in split:
                 yield b"".join(map(ids, words)) + end
 
