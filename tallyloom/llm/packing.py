@@ -24,12 +24,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.tokens import tokenizer_path, word_tokenizer
-from tallyloom.llm.words import slices
+from tallyloom.llm.words import forget
 
 #: Tokens that a task gathers before it packs them, and the share of them that it keeps back for later.
 CHUNK, RESERVE = 2_000_000, 0.5
@@ -37,7 +37,7 @@ CHUNK, RESERVE = 2_000_000, 0.5
 SIZE_POWER, TINY = 0.8, 1e-12
 SEQUENCES_PER_TASK = 2**33
 SCHEMA = "doc_id long, example_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, loss_tokens long"
-COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
+FIELDS = pa.schema([(c.split()[0], pa.binary() if c.endswith("binary") else pa.int64()) for c in SCHEMA.split(", ")])
 
 
 @dataclass(frozen=True)
@@ -164,28 +164,29 @@ def _packed(path: str, limits: Limits, end_id: int, chunk: int):
         count = size = 0
         rows: list[tuple] = []
 
-        def frame(rows):
+        def batch(rows):
             out = []
             for example, start, length, sequence, offset, loss in rows:
                 doc_id, ids = held[example]
                 out.append((doc_id, first + example, start, length, ids[4 * start : 4 * (start + length)], len(ids) // 4, sequence, offset, loss))
-            made = pd.DataFrame(out, columns=COLUMNS)
-            return made.astype({"doc_id": "Int64"})
-
-        for pdf in slices(batches):
-            encoded = tokenizer.encode_all(pdf["text"], end)
-            for doc_id, ids, loss_from in zip(pdf["doc_id"], encoded, pdf["loss_from"], strict=True):
-                held[count] = (None if pd.isna(doc_id) else int(doc_id), ids)
-                rows += packer.add(count, len(ids) // 4, 0 if pd.isna(loss_from) else int(loss_from))
+            columns = zip(*out, strict=True) if out else [()] * len(FIELDS)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, FIELDS, strict=True)], schema=FIELDS)
+
+        for table in batches:
+            encoded = tokenizer.encode_all(table.column("text"), end)
+            for doc_id, ids, loss_from in zip(table.column("doc_id").to_pylist(), encoded, table.column("loss_from").to_pylist(), strict=True):
+                held[count] = (doc_id, ids)
+                rows += packer.add(count, len(ids) // 4, loss_from or 0)
                 count += 1
                 size += len(ids) // 4
                 if size >= chunk:
                     rows += packer.pack(int(chunk * RESERVE))
-                    yield frame(rows)
+                    yield batch(rows)
                     later = {p[0] for pieces in [packer.open, *packer.waiting] for p in pieces}
                     held = {e: held[e] for e in later}
                     rows, size = [], packer.tokens
-        yield frame(rows + packer.pack() + packer.tail())
+        yield batch(rows + packer.pack() + packer.tail())
+        forget()
 
     return run
 
@@ -198,4 +199,4 @@ def pack_documents(docs: DataFrame, path: str | None = None, limits: Limits = Li
     """
     first_loss = F.col(loss_from).cast("long") if loss_from else F.lit(0).cast("long")
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text"), first_loss.alias("loss_from"))
-    return rows.mapInPandas(_packed(path or tokenizer_path(), limits, end_id, chunk), SCHEMA)
+    return rows.mapInArrow(_packed(path or tokenizer_path(), limits, end_id, chunk), SCHEMA)

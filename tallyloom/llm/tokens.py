@@ -3,7 +3,8 @@
 The tokenizer drops white space and never joins across it, so the ids of a text are those of its words in order.
 Words are cut at ASCII white space; what other white space a word holds is the tokenizer's to drop.
 
-A word that is not in memory is learned. Most words are letters with some punctuation after them. The tokenizer splits
+A batch's words are cut and coded by Arrow, so only its distinct words are looked at one by one, and the ids of its texts
+are put together by one gather. A word that is not in memory is learned. Most words are letters with some punctuation after them. The tokenizer splits
 these there and lower-cases the letters, so their ids are those of the lower-cased letters (the stem) and of the tail.
 Stems have a memory of their own, and new ones go through the tokenizer's own merges many at a time, without the
 normalizing and splitting that changes nothing on them. All other words go through the whole tokenizer.
@@ -17,13 +18,15 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 TOKENIZER = "word_bpe_49k.json"
 #: Words and stems that a worker remembers in each of two generations. When the younger is full, it becomes the older,
 #: and what is met again moves up, so common words stay; this changes no result.
 REMEMBERED, STEMS = 250_000, 200_000
-#: Texts whose new words are learned together, and stems in one call's text.
-TEXTS, CALL = 64, 1024
+#: Bytes of the texts that are cut and coded together, at least one text's, and stems in one call's text.
+BYTES, CALL = 3_000_000, 1024
 #: What may follow a stem's letters and be apart from them: no white space, letter, digit or apostrophe.
 TAIL = ".,;:!?#*%$&|<>()[]{}\"/=+~-"
 #: The last letter of the scripts (Latin, Greek, Cyrillic) whose letters and cases don't differ between Unicode's versions.
@@ -45,15 +48,15 @@ class Memory:
         self.young: dict = {}
         self.old: dict = {}
 
-    def new(self, keys: set) -> set:
-        """The keys that neither generation has; the others are in the younger after it."""
+    def new(self, keys: list) -> list:
+        """Those of the distinct keys that neither generation has; the others are in the younger after it."""
         if len(self.young) + len(keys) > self.limit:
             self.old, self.young = self.young, {}
-        unknown = keys.difference(self.young)
-        if self.old and unknown:
-            again = [k for k in unknown if k in self.old]
-            self.young.update(zip(again, map(self.old.__getitem__, again), strict=True))
-            unknown.difference_update(again)
+        young, old = self.young, self.old
+        unknown = [k for k in keys if k not in young]
+        if old and unknown:
+            young.update((k, old[k]) for k in unknown if k in old)
+            unknown = [k for k in unknown if k not in young]
         return unknown
 
 
@@ -102,21 +105,20 @@ class WordTokenizer:
             cuts = ((np.flatnonzero(ends[ids]) + 1) * 4).tolist()
             self._stems.young.update((s, raw[a:b]) for s, a, b in zip(part, [0, *cuts[:-1]], cuts, strict=True))
 
-    def _learn(self, words: set[bytes]) -> None:
+    def _learn(self, words: list[str]) -> None:
         found, split, rest = self._words.young, [], []
         for word in words:
-            text = word.decode()
-            low = text.lower()
+            low = word.lower()
             stem = low.rstrip(TAIL)
-            plain = stem.isalpha() and (word.isascii() or (max(stem) <= LAST_LETTER and "\u03a3" not in text and unicodedata.is_normalized("NFC", text)))
+            plain = stem.isalpha() and (word.isascii() or (max(stem) <= LAST_LETTER and "\u03a3" not in word and unicodedata.is_normalized("NFC", word)))
             if plain and self._stem_tokenizer:
                 split.append((word, stem, low[len(stem) :]))
             else:
-                rest.append((word, text))
+                rest.append(word)
         if split:
-            new = self._stems.new({s for _, s, _ in split})
+            new = self._stems.new(list({s for _, s, _ in split}))
             if new:
-                self._learn_stems(list(new))
+                self._learn_stems(new)
             tails = list({t for _, _, t in split}.difference(self._tails))
             if tails:
                 if len(self._tails) > REMEMBERED:
@@ -126,19 +128,48 @@ class WordTokenizer:
             ids, tail = self._stems.young, self._tails
             found.update((w, ids[s] + tail[t] if t else ids[s]) for w, s, t in split)
         if rest:
-            found.update(zip([w for w, _ in rest], self._whole([t for _, t in rest]), strict=True))
-
-    def encode_all(self, texts, end: bytes = b"") -> Iterator[bytes]:
-        """The ids of each text, with end after them; a null text has none of its own."""
-        texts = list(texts)
-        for at in range(0, len(texts), TEXTS):
-            split = [(t or "").encode().split() for t in texts[at : at + TEXTS]]
-            new = self._words.new(set().union(*split))
-            if new:
-                self._learn(new)
-            ids = self._words.young.__getitem__
-            for words in split:
-                yield b"".join(map(ids, words)) + end
+            found.update(zip(rest, self._whole(rest), strict=True))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and where each text's begin, with the end of the last; null is empty."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = self._words.new(words)
+        if new:
+            self._learn(new)
+        known = list(map(self._words.young.__getitem__, words))
+        flat = np.frombuffer(b"".join(known), "<u4")
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        counts = sizes[codes]
+        ends = np.cumsum(counts)
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[codes] - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
+        last = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        return ids, np.concatenate([[0], np.concatenate([[0], ends])[last]])
+
+    def encode_all(self, texts: pa.Array, end: bytes = b"") -> Iterator[bytes]:
+        """The ids of each text, with end after them."""
+        for part in _parts(texts):
+            ids, starts = self.encode(part)
+            raw = ids.tobytes()
+            bounds = (starts * 4).tolist()
+            for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+                yield raw[lo:hi] + end
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """The number of ids of each text."""
+        found = [np.diff(self.encode(part)[1]) for part in _parts(texts)]
+        return np.concatenate(found) if found else np.empty(0, np.int64)
+
+
+def _parts(texts: pa.Array) -> Iterator[pa.Array]:
+    """texts in slices of about BYTES each; a text is never cut."""
+    of = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // BYTES
+    bounds = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(texts)]]).tolist()
+    for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+        if hi > lo:
+            yield texts[lo:hi]
 
 
 _TOKENIZERS: dict[str, WordTokenizer] = {}

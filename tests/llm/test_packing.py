@@ -2,6 +2,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -24,8 +25,9 @@ def test_word_memory_gives_the_tokenizers_ids(monkeypatch):
     for remembered in (400_000, 50):
         monkeypatch.setattr(T, "REMEMBERED", remembered)
         monkeypatch.setattr(T, "STEMS", remembered)
-        monkeypatch.setattr(T, "TEXTS", 2)
-        assert list(WordTokenizer(tokenizer_path()).encode_all(TEXTS, end)) == want
+        monkeypatch.setattr(T, "BYTES", 40)
+        assert list(WordTokenizer(tokenizer_path()).encode_all(pa.array(TEXTS), end)) == want
+        assert WordTokenizer(tokenizer_path()).counts(pa.array(TEXTS[3:])).tolist() == [len(w) // 4 - 1 for w in want[3:]]
 
 
 def sequences(pieces):
