@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 #: Words remembered by a worker; beyond it the memory starts anew, which changes no result.
@@ -46,6 +47,36 @@ def word_hashes(text: str | None, lower: bool = False) -> np.ndarray:
     return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
 
 
+def parts_by_bytes(texts: pa.Array, size: int = 3_000_000):
+    """(start, slice) of an array of texts in slices of about so many bytes each; a text is never cut."""
+    of = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)) // size
+    bounds = np.concatenate([[0], np.flatnonzero(np.diff(of)) + 1, [len(texts)]]).tolist()
+    for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+        if hi > lo:
+            yield lo, texts[lo:hi]
+
+
+def coded_words(texts: pa.Array):
+    """(start, hashes of the words of some texts one after the other, words of each text); lower-cased, as word_hashes gives them.
+
+    Arrow cuts and codes the words, so only distinct ones are hashed one by one.
+    """
+    for lo, part in parts_by_bytes(texts):
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(part, "")))
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        codes = coded.indices.to_numpy(zero_copy_only=False)
+        real = np.ones(len(words) + 1, bool)
+        if "" in words:  # at the ends of a text
+            real[words.index("")] = False
+        kept = real[codes]
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        counts = np.diff(np.concatenate([[0], np.concatenate([[0], np.cumsum(kept)])[ends]]))
+        yield lo, hashes[codes[kept]], counts
+    forget()
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A permutation of 64-bit numbers that spreads every bit."""
     x = (x ^ (x >> np.uint64(30))) * _MUL2
