@@ -21,12 +21,17 @@ def safe_date(year: Column, month: Column, day: Column) -> Column:
     return F.when(year.isNotNull() & month.isNotNull() & day.isNotNull(), F.try_to_date(text, "yyyy-MM-dd"))
 
 
-def release_month(text: Column) -> Column:
-    """First of the month in yyyy-mm, yyyy.mm or yy.mm form; two-digit years are of this century."""
-    year = F.regexp_extract(text, r"(?<!\d)((?:20)?\d{2})[-./](\d{1,2})(?!\d)", 1).try_cast("int")
-    month = F.regexp_extract(text, r"(?<!\d)((?:20)?\d{2})[-./](\d{1,2})(?!\d)", 2).try_cast("int")
-    full = F.when(year < 100, year + 2000).otherwise(year)
-    return F.when(month.between(1, 12), F.make_date(full, month, F.lit(1)))
+def release_month(text: Column, keywords: list[str] | None = None, year_word: str = "년", month_word: str = "월") -> Column:
+    """First of the month that a text names in words (two to four digits of year), or else as 20yy-mm, 20yy/mm or 20yy.mm.
+
+    With keywords, one must occur. Two-digit years are of this century. A month out of range gives null.
+    """
+    worded = rf"(\d{{2,4}})\s*{year_word}\s*(\d{{1,2}})\s*{month_word}"
+    numeric = r"(20\d{2})\s*[/.\-]\s*(\d{1,2})"
+    part = lambda i: F.when(text.rlike(worded), F.regexp_extract(text, worded, i)).otherwise(F.regexp_extract(text, numeric, i)).try_cast("int")
+    year = F.when(part(1) < 100, part(1) + 2000).otherwise(part(1))
+    asked = F.lit(True) if keywords is None else text.rlike("|".join(keywords))
+    return F.when(asked & part(2).between(1, 12), F.make_date(year, part(2), F.lit(1)))
 
 
 def year_of_event(posted: Column, month: Column, day: Column) -> Column:
@@ -111,3 +116,33 @@ def local_time(utc: Column, zone: str = "Asia/Seoul") -> Column:
 def human_date(moment: Column) -> Column:
     """Such as "Aug 14 (Thu) 8:00 PM"."""
     return F.date_format(moment, "MMM d (EEE) h:mm a")
+
+
+def post_expiry(text: Column, posted: Column, year_word: str = "년", month_word: str = "월", day_word: str = "일", until: str = "까지", label: str = "유효\\s*기간|기한") -> Column:
+    """The expiry that a post names: with a year after a label or before "until", else without one in the post's year.
+
+    The time is 23:59 where none is given; an impossible date gives null.
+    """
+    clock = r"(?:\s*(\d{1,2})\s*:\s*(\d{2}))?"
+    day = rf"(\d{{1,2}})\s*{month_word}\s*(\d{{1,2}})\s*{day_word}{clock}"
+    labelled, dated, short = rf"(?:{label})[^0-9]{{0,8}}(\d{{4}})\s*{year_word}\s*{day}", rf"(\d{{4}})\s*{year_word}\s*{day}\s*{until}", rf"{day}\s*{until}"
+    part = lambda i: F.when(text.rlike(labelled), F.regexp_extract(text, labelled, i)).when(text.rlike(dated), F.regexp_extract(text, dated, i)).when(
+        text.rlike(short), F.regexp_extract(text, short, i - 1) if i > 1 else F.year(posted).cast("string")
+    )
+    given = lambda i, other: F.coalesce(F.nullif(part(i), F.lit("")), F.lit(other)).try_cast("int")
+    on = safe_date(part(1).try_cast("int"), part(2).try_cast("int"), part(3).try_cast("int"))
+    at = F.concat(on.cast("string"), F.lit(" "), F.lpad(given(4, "23").cast("string"), 2, "0"), F.lit(":"), F.lpad(given(5, "59").cast("string"), 2, "0"), F.lit(":00"))
+    return F.try_to_timestamp(at)
+
+
+def scope_at(starts: Column, as_of: Column) -> Column:
+    """current once begun, else forecast."""
+    return F.when(starts <= as_of, "current").otherwise("forecast")
+
+
+def ticket_opening(text: Column, event_date: Column, general: str) -> Column:
+    """The first month/day after the general sale's word, or else the first of the text, in the year of ticket_date."""
+    day = r"(\d{1,2})/(\d{1,2})"
+    after = rf"{general}\D*{day}"
+    part = lambda i: F.when(text.rlike(after), F.regexp_extract(text, after, i)).otherwise(F.regexp_extract(text, day, i)).try_cast("int")
+    return ticket_date(event_date, part(1), part(2))

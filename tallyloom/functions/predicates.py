@@ -106,3 +106,24 @@ def in_networks(ip: Column, networks: list[str]) -> Column:
 def access_decision(ip: Column, allowed: list[str], blocked: list[str]) -> Column:
     """Allow lists go before block lists; what is in neither passes."""
     return F.when(in_networks(ip, allowed), "allow").when(in_networks(ip, blocked), "block").otherwise("pass")
+
+
+def is_loggable(method: Column, accepts: Column, path: Column) -> Column:
+    """A page that a person reads: GET, HTML, and none of the paths that only machines ask for."""
+    return (method == "GET") & F.contains(accepts, F.lit("text/html")) & ~path.rlike(r"^(up|build/|favicon\.ico|robots\.txt|sw\.js|manifest\.|\.well-known/)")
+
+
+def all_given(values: dict[str, object]) -> Column:
+    """Equality on every column for which a value is given; None asks for nothing."""
+    return reduce(lambda a, b: a & b, [F.col(c) == v for c, v in values.items() if v is not None], F.lit(True))
+
+
+def is_valid_row(key: Column, title: Column, price: Column) -> Column:
+    """An id and a title that aren't blank, and a price above 0."""
+    filled = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
+    return filled(key) & filled(title) & F.coalesce(price > 0, F.lit(False))
+
+
+def has_traits(traits: Column, wanted: dict[str, str]) -> Column:
+    """Every wanted trait of a map has the wanted value."""
+    return reduce(lambda a, b: a & b, [F.coalesce(F.try_element_at(traits, F.lit(k)) == v, F.lit(False)) for k, v in wanted.items()], F.lit(True))

@@ -69,10 +69,10 @@ def artist_tokens(title: Column, stopwords: list[str]) -> Column:
 
 
 def is_code_token(token: Column, denied: list[str]) -> Column:
-    """4 to 30 letters and digits, mostly upper case, with a letter; short ones need a digit."""
+    """4 to 30 letters and digits, mostly upper case, with a letter; tokens under 6 characters need a digit."""
     letters = F.length(F.regexp_replace(token, "[^A-Za-z]", ""))
     upper = F.length(F.regexp_replace(token, "[^A-Z]", ""))
-    return token.rlike("^[A-Za-z0-9]{4,30}$") & (letters > 0) & (upper >= 0.6 * letters) & ((F.length(token) >= 8) | token.rlike("[0-9]")) & ~F.upper(token).isin(denied)
+    return token.rlike("^[A-Za-z0-9]{4,30}$") & (letters > 0) & (upper >= 0.6 * letters) & ((F.length(token) >= 6) | token.rlike("[0-9]")) & ~F.upper(token).isin(denied)
 
 
 def html_text(html: Column) -> Column:
@@ -98,17 +98,25 @@ def video_id(url: Column) -> Column:
     return F.nullif(F.regexp_extract(url, r"(?:v=|youtu\.be/|/shorts/|/embed/)([A-Za-z0-9_-]{11})", 1), F.lit(""))
 
 
+# What agents of each class hold, tested in this order.
+BOTS = "bot|crawl|spider|slurp|bingpreview|facebookexternalhit|embedly|curl|wget|python-requests|axios|headless|lighthouse|pingdom|uptime"
+TABLETS = "ipad|tablet|playbook|silk|android(?!.*mobile)"
+MOBILES = "mobile|iphone|ipod|android|blackberry|iemobile|opera mini|windows phone"
+
+
 def device_class(agent: Column) -> Column:
-    """bot, tablet, mobile or pc, tested in this order."""
+    """bot, tablet, mobile or pc, tested in this order; an unknown agent is a pc."""
     a = F.lower(F.coalesce(agent, F.lit("")))
-    return F.when(a.rlike("bot|crawl|spider|slurp"), "bot").when(a.rlike("ipad|tablet"), "tablet").when(a.rlike("mobi|iphone|android"), "mobile").otherwise("pc")
+    return F.when(a.rlike(BOTS), "bot").when(a.rlike(TABLETS), "tablet").when(a.rlike(MOBILES), "mobile").otherwise("pc")
 
 
-def stage_labels(title: Column) -> Column:
-    """Labels such as 03-12 or EX-04 in a title, numbers padded to two digits."""
-    plain = F.transform(F.regexp_extract_all(title, F.lit(r"(?<![\d-])(\d{1,2}-\d{1,2})(?![\d-])"), 1), lambda s: F.array_join(F.transform(F.split(s, "-"), lambda n: F.lpad(n, 2, "0")), "-"))
-    extra = F.transform(F.regexp_extract_all(F.upper(title), F.lit(r"EX-?(\d{1,2})"), 1), lambda n: F.concat(F.lit("EX-"), F.lpad(n, 2, "0")))
-    return F.array_distinct(F.concat(plain, extra))
+def stage_labels(title: Column, known: list[str], word: str = "Challenge", spellings: str = "challenge|chal", extra: str = "ex") -> Column:
+    """Labels such as "Challenge 03" or "Challenge EX" that a title names, in first-seen order; only known ones."""
+    found = F.regexp_extract_all(F.lower(title), F.lit(rf"(?:{spellings})\s*[.\-]?\s*({extra}|\d+)"), 1)
+    number = lambda t: F.regexp_replace(t, "^0+(?=.)", "")
+    padded = lambda t: F.when(F.length(number(t)) < 2, F.lpad(number(t), 2, "0")).otherwise(number(t))
+    labels = F.transform(found, lambda t: F.concat(F.lit(f"{word} "), F.when(t.rlike(r"^\d+$"), padded(t)).otherwise("EX")))
+    return F.array_distinct(F.filter(labels, lambda x: x.isin(known)))
 
 
 def tolerant_json(text: Column) -> Column:
@@ -121,69 +129,90 @@ def recovered_field(text: Column, field: str) -> Column:
     return F.nullif(F.regexp_extract(text, rf'"{field}"\s*:\s*"((?:[^"\\]|\\.)*)"', 1), F.lit(""))
 
 
-def mention_finder(names: list[str], most: int = 10):
-    """A pandas UDF: names that a text mentions, by position, longer names first to claim a stretch."""
-    ordered = sorted(names, key=lambda n: (-len(n), n))
+def mentions(text: Column, names: list[str], most: int = 10) -> Column:
+    """Names that a text mentions, by first position; longer names claim a stretch first, a name starts no word's middle."""
+    longest_first = "|".join(_quoted(n) for n in sorted(names, key=lambda n: (-len(n), n)))
+    found = F.regexp_extract_all(text, F.lit(rf"(?<![\p{{L}}\p{{N}}])(?:{longest_first})"), 0)
+    return F.slice(F.array_distinct(F.coalesce(found, F.array().cast("array<string>"))), 1, most)
 
-    @F.pandas_udf("array<string>")
-    def mentions(texts: pd.Series) -> pd.Series:
-        def one(text):
-            taken, found = [False] * len(text or ""), []
-            for name in ordered:
-                at = (text or "").find(name)
-                while at >= 0:
-                    free = not any(taken[at : at + len(name)]) and (at == 0 or not text[at - 1].isalnum())
-                    if free:
-                        taken[at : at + len(name)] = [True] * len(name)
-                        found.append((at, name))
-                    at = text.find(name, at + 1)
-            return list(dict.fromkeys(n for _, n in sorted(found)))[:most]
 
-        return texts.map(one)
+def _quoted(text: str) -> str:
+    return "".join(c if c.isalnum() else f"\\{c}" for c in text)
 
-    return mentions
 
+def token_difference(a: list[str], b: list[str]) -> tuple[int, list[str], list[str]]:
+    """How many words are shared, and the words of a alone and of b alone.
 
-def token_difference(a: list[str], b: list[str]) -> tuple[list[str], list[str], list[str]]:
-    """Shared words, words of a alone and of b alone; two neighbours of one side that make a word of the other are shared."""
-    shared = [t for t in a if t in b]
+    A word of one side that any two different words of the other make up in either order is shared too, and uses up both.
+    """
+    a, b = list(dict.fromkeys(a)), list(dict.fromkeys(b))
     left, right = [t for t in a if t not in b], [t for t in b if t not in a]
-    for mine, other in ((left, right), (right, left)):
-        i = 0
-        while i + 1 < len(mine):
-            if mine[i] + mine[i + 1] in other:
-                shared.append(mine[i] + mine[i + 1])
-                other.remove(mine[i] + mine[i + 1])
-                del mine[i : i + 2]
-            else:
-                i += 1
+    shared = len(a) - len(left)
+    for whole, parts in ((left, right), (right, left)):
+        for word in list(whole):
+            pair = next(((x, y) for x in parts for y in parts if x is not y and x + y == word), None)
+            if pair:
+                whole.remove(word)
+                parts.remove(pair[0])
+                parts.remove(pair[1])
+                shared += 1
     return shared, left, right
 
 
+def is_rigid(word: str, rigid: frozenset[str]) -> bool:
+    """Whether a word holds one that tells variants of a product apart."""
+    return any(r in word for r in rigid)
+
+
 def word_variant(a: str, b: str, rigid: frozenset[str] = frozenset()) -> bool:
-    """Equal, one within the other, or two characters of common start; rigid words must be equal."""
-    if a == b:
+    """Equal, one within the other, or two characters of common start; the last doesn't hold for rigid words."""
+    if a == b or (a and b and (a in b or b in a)):
         return True
-    if a in rigid or b in rigid:
+    if is_rigid(a, rigid) or is_rigid(b, rigid):
         return False
-    return a in b or b in a or (len(a) > 1 and len(b) > 1 and a[:2] == b[:2])
+    return len(a) > 1 and len(b) > 1 and a[:2] == b[:2]
+
+
+def reconcilable(a: list[str], b: list[str], rigid: frozenset[str] = frozenset()) -> bool:
+    """Every word of either side has a variant on the other."""
+    return all(any(word_variant(x, y, rigid) for y in b) for x in a) and all(any(word_variant(y, x, rigid) for x in a) for y in b)
+
+
+def similar_words(a: list[str], b: list[str], least: int, rigid: frozenset[str] = frozenset()) -> bool:
+    """Enough words shared, no rigid word left over, and what is left over on both sides is reconcilable."""
+    shared, left, right = token_difference(a, b)
+    if shared < least or any(is_rigid(t, rigid) for t in left + right):
+        return False
+    return not left or not right or reconcilable(left, right, rigid)
+
+
+def conflicting_words(a: list[str], b: list[str], rigid: frozenset[str] = frozenset()) -> bool:
+    """Both sides have words of their own, and these are not reconcilable."""
+    _, left, right = token_difference(a, b)
+    return bool(left) and bool(right) and not reconcilable(left, right, rigid)
+
+
+def _over_pairs(rule, kind: str):
+    @F.pandas_udf(kind)
+    def pairs(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([rule(list(x), list(y)) for x, y in zip(a, b, strict=True)])
+
+    return pairs
 
 
 def tokens_similar(least: int, rigid: frozenset[str] = frozenset()):
-    """A pandas UDF over two token arrays: enough words shared, and what is left on the shorter side has a variant."""
+    """A pandas UDF over two token arrays: similar_words."""
+    return _over_pairs(lambda x, y: similar_words(x, y, least, rigid), "boolean")
+
 
-    @F.pandas_udf("boolean")
-    def similar(a: pd.Series, b: pd.Series) -> pd.Series:
-        def one(x, y):
-            shared, left, right = token_difference(list(x), list(y))
-            if len(shared) < least or any(t in rigid for t in left + right):
-                return False
-            few, many = sorted((left, right), key=len)
-            return all(any(word_variant(t, u, rigid) for u in many) for t in few)
+def tokens_conflict(rigid: frozenset[str] = frozenset()):
+    """A pandas UDF over two token arrays: conflicting_words."""
+    return _over_pairs(lambda x, y: conflicting_words(x, y, rigid), "boolean")
 
-        return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)])
 
-    return similar
+def shared_words():
+    """A pandas UDF over two token arrays: how many words are shared."""
+    return _over_pairs(lambda x, y: token_difference(x, y)[0], "int")
 
 
 def code_after(text: Column, markers: list[str]) -> Column:
@@ -196,16 +225,20 @@ def text_between(text: Column, start: str, end: str) -> Column:
     return F.nullif(F.trim(F.regexp_extract(text, rf"(?s){start}\s*[:：]?(.*?)(?:{end}|$)", 1)), F.lit(""))
 
 
-def code_candidates(text: Column) -> Column:
-    """Single tokens of a text, and runs of two or three upper-case words glued together, in first-seen order."""
-    words = F.regexp_extract_all(text, F.lit("[A-Za-z0-9]+"), F.lit(0))
-
-    def glued(n: int) -> Column:
-        whole = F.transform(words, lambda w, i: F.slice(words, i + 1, F.lit(n)))
-        upper = F.filter(whole, lambda ws: (F.size(ws) == n) & F.forall(ws, lambda w: w.rlike("^[A-Z0-9]*[A-Z][A-Z0-9]*$")))
-        return F.transform(upper, lambda ws: F.array_join(ws, ""))
+def code_candidates(text: Column, denied: list[str]) -> Column:
+    """Code tokens of a text, one for each upper-case form, in first-seen order.
 
-    return F.array_distinct(F.concat(words, glued(2), glued(3)))
+    Two or three neighbouring words of five upper-case letters or more are one code, glued, if that looks like a code and
+    none of the words is denied; the words are no codes of their own then.
+    """
+    phrases = F.regexp_extract_all(text, F.lit(r"\b(?:[A-Z]{5,}\s+){1,2}[A-Z]{5,}\b"), 0)
+    words = F.transform(phrases, lambda p: F.split(p, r"\s+"))
+    glued = F.filter(words, lambda ws: ~F.exists(ws, lambda w: w.isin(denied)) & is_code_token(F.array_join(ws, ""), denied))
+    used = F.flatten(glued)
+    single = F.filter(F.regexp_extract_all(text, F.lit("[A-Za-z0-9]{4,30}"), 0), lambda t: is_code_token(t, denied) & ~F.array_contains(used, F.upper(t)))
+    found = F.concat(F.transform(glued, lambda ws: F.array_join(ws, "")), single)
+    keys = F.array_distinct(F.transform(found, lambda t: F.upper(t)))
+    return F.transform(keys, lambda k: F.element_at(F.filter(found, lambda t: F.upper(t) == k), -1))
 
 
 def artist_name(title: Column, keywords: list[str], most: int = 4) -> Column:
@@ -252,3 +285,73 @@ def alias_code(text: Column, aliases: dict[str, list[str]]) -> Column:
     tests = [F.when(t == c.lower(), F.lit(c)) for c in aliases]
     tests += [F.when(reduce(lambda a, b: a | b, [F.contains(t, F.lit(x.lower())) | (F.contains(F.lit(x.lower()), t) & (t != "")) for x in names]), F.lit(c)) for c, names in aliases.items()]
     return F.coalesce(*tests)
+
+
+def kept_maker_code(code: Column, title: Column, accessories: list[str], barcode: str = "jan_") -> Column:
+    """An accessory's title bears its main product's line number, so only a barcode is kept for it."""
+    bears = F.size(keywords_in(title, accessories)) > 0
+    return F.when(F.startswith(code, F.lit(barcode)) | ~bears, code)
+
+
+def set_variant(title: Column, word: str = "set") -> Column:
+    """What follows the word "set", without blanks, lower-cased; empty if nothing does."""
+    return F.lower(F.regexp_replace(F.regexp_extract(title, rf"(?i){word}\s*([a-z0-9][a-z0-9.&\s]{{0,12}})", 1), r"\s+", ""))
+
+
+def number_variant(title: Column) -> Column:
+    """Distinct numbers of up to four digits outside brackets and scales, sorted as texts and joined by dots."""
+    bare = F.regexp_replace(F.regexp_replace(F.lower(title), r"\[.*?\]|\(.*?\)|【.*?】", " "), r"\d+\s*/\s*\d+", " ")
+    return F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all(bare, F.lit(r"\b\d{1,4}\b"), 0))), ".")
+
+
+def loose_scale(text: Column) -> Column:
+    """The first d/dd of a text, blanks dropped; null if there is none."""
+    return F.nullif(F.regexp_replace(F.regexp_extract(text, r"(\d\s*/\s*\d{1,2})", 1), r"\s", ""), F.lit(""))
+
+
+def promoted_category(category: Column, title: Column, accessories: list[str], to: str) -> Column:
+    """Listings with a strict scale that are no accessories go to the category of scale models."""
+    strict = scale_of(F.regexp_replace(title, r"\s*/\s*", "/")).isNotNull() & (F.size(keywords_in(title, accessories)) == 0)
+    return F.when(strict, F.lit(to)).otherwise(category)
+
+
+def valid_listing(code: Column, barcode: Column) -> Column:
+    """New goods (no code ends in -R) with a barcode of 8 to 13 digits."""
+    return ~F.endswith(F.upper(code), F.lit("-R")) & F.length(F.regexp_replace(F.coalesce(barcode, F.lit("")), r"\D", "")).between(8, 13)
+
+
+def emphasised_codes(html: Column, denied: list[str], most: int = 25) -> Column:
+    """Code tokens that stand alone in an emphasised element, in the page's order, at most so many."""
+    inner = F.regexp_extract_all(html, F.lit(r"(?is)<(strong|b|code|td|mark|h3|h4)(?:\s[^>]*)?>(.*?)</\1>"), 2)
+    texts = F.transform(inner, lambda t: F.trim(F.regexp_replace(t, "<[^>]*>", "")))
+    return F.slice(F.array_distinct(F.filter(texts, lambda t: is_code_token(t, denied))), 1, most)
+
+
+def links_in_order(html: Column, pattern: str) -> Column:
+    """What the pattern's group holds in links, distinct, ranked by first appearance."""
+    return F.array_distinct(F.regexp_extract_all(html, F.lit(rf'href="{pattern}"'), 1))
+
+
+def tail_after(text: Column, marker: str) -> Column:
+    """The JSON after the last marker, as a variant; null if there is no marker or no JSON."""
+    return F.when(F.contains(text, F.lit(marker)), F.try_parse_json(F.trim(F.substring_index(text, marker, -1))))
+
+
+def head_before(text: Column, marker: str) -> Column:
+    return F.trim(F.when(F.contains(text, F.lit(marker)), F.regexp_replace(text, rf"(?s){_quoted(marker)}(?!.*{_quoted(marker)}).*$", "")).otherwise(text))
+
+
+def first_nonzero_label(values: Column, labels: list[str]) -> Column:
+    """The label at the place of the first number that isn't zero."""
+    places = F.filter(F.transform(values, lambda v, i: F.when(v != 0, i)), lambda i: i.isNotNull())
+    return F.get(F.array(*[F.lit(x) for x in labels]), F.get(places, F.lit(0)).cast("int"))
+
+
+def typed_slots(members: Column, first: int = 4, lead: str = "main", rest: str = "support") -> Column:
+    """Members with the kind of their slot: the first few and the rest."""
+    return F.transform(members, lambda m, i: F.struct(m.alias("member"), F.when(i < first, lead).otherwise(rest).alias("slot")))
+
+
+def first_plausible_line(text: Column) -> Column:
+    """The first line that begins with a letter: no date, time or tag."""
+    return F.get(F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(x)), lambda x: x.rlike(r"^\p{L}")), F.lit(0))

@@ -13,6 +13,11 @@ def with_cheapest(products: DataFrame, offers: DataFrame, key: str, offer_key: s
     return products.join(least, key, "left")
 
 
+def offer_summary(offers: DataFrame, key: str, price: Column, usable: Column, there: Column) -> DataFrame:
+    """By product, in one pass: the least usable price (null without one), and whether any offer is ``there``."""
+    return offers.groupBy(key).agg(F.min(F.when(usable, price)).alias("cheapest"), F.coalesce(F.bool_or(there), F.lit(False)).alias("any_there"))
+
+
 def having_any(products: DataFrame, offers: DataFrame, key: str, offer_key: str, at_least: int = 1) -> DataFrame:
     """Products with at least so many offers (a semi-join; counted only where more than one is asked for)."""
     keys = offers.select(F.col(offer_key).alias(key))

@@ -148,3 +148,10 @@ def delete_missing_of_seen(old: DataFrame, arrived: DataFrame, group: str, keys:
     seen = old.join(arrived.select(group).distinct(), group, "left_semi").join(arrived.select(*keys).distinct(), keys, "left_semi")
     unseen = old.join(arrived.select(group).distinct(), group, "left_anti")
     return unseen.unionByName(seen)
+
+
+def fill_absent(old: DataFrame, fetched: DataFrame, key: str, detail: str) -> DataFrame:
+    """old with details fetched for keys that have none; ``fetched`` says which keys were asked for."""
+    came = fetched.groupBy(key).agg(F.min(detail).alias("came_"))
+    out = old.join(came, key, "left").withColumn("fetched", F.col(detail).isNull())
+    return out.withColumn(detail, F.coalesce(detail, "came_")).drop("came_")

@@ -8,9 +8,13 @@ from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df, checkpointed in the folder that spark.checkpoint.dir names; where that is unset (one machine, tests) in a new one."""
+    """df, checkpointed in the folder that spark.checkpoint.dir names; where that is unset, in a new one on a single machine,
+    else an error."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tallyloom-')}")
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("on a cluster spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(named or f"file://{tempfile.mkdtemp(prefix='tallyloom-')}")
     return df.checkpoint()

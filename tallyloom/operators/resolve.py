@@ -61,12 +61,28 @@ def canonical(products: DataFrame, groups: str, key: str, weight: str) -> DataFr
     return products.join(best, groups)
 
 
+def block_pairs(rows: DataFrame, block: str, key: str, fine: Column, parts: int = 8) -> DataFrame:
+    """Pairs (l, r: two structs of rows, l's key the lesser) of a block that pass a test over l and r.
+
+    A block is dealt into parts by its keys' hashes, and each pair of parts is a join key of its own, so that a block that
+    holds most rows is no single task's work. For tests that no cheaper key can narrow.
+    """
+    part = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+    dealt = rows.withColumn("part_", part).withColumn("other_", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    dealt = dealt.withColumn("i_", F.least("part_", "other_")).withColumn("j_", F.greatest("part_", "other_")).drop("other_").distinct()
+    same = (F.col(f"l.{block}") == F.col(f"r.{block}")) & (F.col("l.i_") == F.col("r.i_")) & (F.col("l.j_") == F.col("r.j_"))
+    once = (F.col("l.part_") != F.col("r.part_")) | (F.col("l.i_") == F.col("l.j_"))
+    return dealt.alias("l").join(dealt.alias("r"), same & once & (F.col(f"l.{key}") < F.col(f"r.{key}")) & fine)
+
+
 def similar_pairs(rows: DataFrame, block: list[str], key: str, tokens: str, similar) -> DataFrame:
     """Pairs (a, b) within a block that share a token and pass a pandas UDF over both token arrays.
 
-    Tokens are exploded into the join's key, so only pairs that share one are formed, and native filters run first.
+    Tokens are exploded into the join's key, so only pairs that share one are formed, and native filters run first. Pairs
+    of tokens are keys too, glued, as they may make up a token of the other side.
     """
-    spread = rows.select(*block, key, F.explode(F.array_distinct(tokens)).alias("token_"))
+    glued = F.flatten(F.transform(tokens, lambda x: F.transform(tokens, lambda y: F.concat(x, y))))
+    spread = rows.select(*block, key, F.explode(F.array_distinct(F.concat(tokens, glued))).alias("token_"))
     other = spread.withColumnRenamed(key, "b")
     pairs = spread.withColumnRenamed(key, "a").join(other, [*block, "token_"]).filter("a < b").select("a", "b").distinct()
     sides = pairs.join(rows.select(F.col(key).alias("a"), F.col(tokens).alias("x_")), "a").join(rows.select(F.col(key).alias("b"), F.col(tokens).alias("y_")), "b")

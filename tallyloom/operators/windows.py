@@ -56,6 +56,14 @@ def week_pieces(rows: DataFrame, starts: str, ends: str) -> DataFrame:
     return weeks.withColumn("piece_start", F.greatest("week", starts)).withColumn("piece_end", F.least(F.date_add("week", 6), F.col(ends)))
 
 
+def restocked_first(rows: DataFrame, product: str, shop: str, order: str, there: str) -> DataFrame:
+    """Rows where a shop's stock comes up (there: 0 or 1) while no shop had the product just before."""
+    last = F.lag(there).over(W.partitionBy(product, shop).orderBy(order))
+    moved = rows.withColumn("delta_", F.col(there) - F.coalesce(last, F.lit(0)))
+    before = F.sum("delta_").over(W.partitionBy(product).orderBy(order).rowsBetween(W.unboundedPreceding, -1))
+    return moved.withColumn("before_", F.coalesce(before, F.lit(0))).filter("delta_ = 1 and before_ = 0").drop("delta_", "before_")
+
+
 def assign_lanes(pieces: DataFrame) -> DataFrame:
     """pieces (week, id, piece_start, piece_end) with the first lane that is free, week by week, earlier and longer first.
 

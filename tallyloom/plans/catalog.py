@@ -31,27 +31,25 @@ def _offers(spark, d):
     """
 WITH shops AS (SELECT s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'),
 cheap AS (SELECT l_partkey, min(l_extendedprice) AS cheapest FROM lineitem WHERE l_returnflag <> 'R' GROUP BY 1)
-SELECT p_partkey, p_name, p_brand, round(cheapest, 2) AS cheapest,
-       row_number() OVER (ORDER BY cheapest IS NULL, cheapest, p_partkey) AS position
+SELECT p_partkey, p_name, p_brand, round(cheapest, 2) AS cheapest
 FROM part LEFT JOIN cheap ON l_partkey = p_partkey
 WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_partkey = p_partkey AND l_suppkey IN (SELECT s_suppkey FROM shops))
   AND (contains(lower(p_name), 'red') OR contains(lower(p_brand), 'red') OR contains(lower(p_name), 'blue') OR contains(lower(p_brand), 'blue'))
   AND (contains(lower(p_name), 'bolt') OR contains(lower(p_brand), 'bolt') OR contains(replace(lower(p_name), ' ', ''), 'bolt') OR contains(lower(p_name), 'gear') OR contains(lower(p_brand), 'gear'))
   AND p_size <= 40
+ORDER BY cheapest IS NULL, cheapest, p_partkey
 """,
 )
 def catalog_search(spark, d):
     """Faceted search: all terms (with their aliases), shops of a region, a size limit, ordered by the cheapest offer."""
     products, offers = table(spark, d, "part"), _offers(spark, d)
     terms = P.expand_search(["crimson", "bolt"], {"crimson": ["red", "blue"], "bolt": ["gear"]})
-    shops = _shops(spark, d).filter("r_name = 'ASIA'")
-    there = offers.join(shops, F.col("l_suppkey") == F.col("s_suppkey"), "left_semi")
+    shops = _shops(spark, d).filter("r_name = 'ASIA'").select(F.col("s_suppkey").alias("l_suppkey"), F.lit(True).alias("there"))
     found = products.filter((F.col("p_size") <= 40) & P.matches_all(terms, [F.col("p_name"), F.col("p_brand")]))
-    found = C.having_any(found, there, "p_partkey", "l_partkey")
-    priced = C.with_cheapest(found, offers, "p_partkey", "l_partkey", F.col("l_extendedprice"), F.col("available"))
-    # The result is a ranked list of what was found, so one order over it is the feature.
-    position = F.expr("row_number() OVER (ORDER BY cheapest ASC NULLS LAST, p_partkey)")
-    return priced.select("p_partkey", "p_name", "p_brand", F.round("cheapest", 2).alias("cheapest"), position.cast("long").alias("position"))
+    known = offers.select("l_partkey", "l_suppkey", "l_extendedprice", "available").join(shops, "l_suppkey", "left")
+    summary = C.offer_summary(known, "l_partkey", F.col("l_extendedprice"), F.col("available"), F.col("there")).withColumnRenamed("l_partkey", "p_partkey")
+    priced = found.join(summary.filter("any_there"), "p_partkey")
+    return priced.select("p_partkey", "p_name", "p_brand", F.round("cheapest", 2).alias("cheapest")).orderBy(F.col("cheapest").asc_nulls_last(), "p_partkey")
 
 
 @query(

@@ -55,12 +55,12 @@ def insert_absent(spark, d):
     """
 SELECT user_id AS code, count(DISTINCT event_type) AS corroboration, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS sources,
        max(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) = 1 AS confirmed
-FROM events WHERE value > 25 GROUP BY 1
+FROM events GROUP BY 1
 """,
 )
 def corroboration(spark, d):
     """Distinct sources that saw each code, and whether one confirms it."""
-    seen = table(spark, d, "events").filter("value > 25").withColumnRenamed("user_id", "code")
+    seen = table(spark, d, "events").withColumnRenamed("user_id", "code")
     rows = I.corroborated(seen, ["code"], "event_type")
     return rows.select("code", F.col("corroboration").cast("long"), F.array_join("sources", ",").alias("sources"), F.array_contains("sources", "purchase").alias("confirmed"))
 
@@ -164,9 +164,9 @@ def retention(spark, d):
     return kept.groupBy("event_type").agg(F.count("*").alias("kept"))
 
 
-@query("topic_merge", "SELECT user_id, CASE WHEN bool_or(event_type = 'error') THEN NULL ELSE string_agg(DISTINCT event_type, ',' ORDER BY event_type) END AS topics FROM events WHERE value < 8 GROUP BY 1")
+@query("topic_merge", "SELECT user_id, event_id % 20 AS slot, CASE WHEN bool_or(event_type = 'error') THEN NULL ELSE string_agg(DISTINCT event_type, ',' ORDER BY event_type) END AS topics FROM events GROUP BY user_id, event_id % 20")
 def topic_merge(spark, d):
     """Topics of each subscriber over all requests: "all" absorbs, else the union."""
-    topics = table(spark, d, "events").filter("value < 8").groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("t"), F.bool_or(F.col("event_type") == "error").alias("all"))
+    topics = table(spark, d, "events").groupBy("user_id", (F.col("event_id") % 20).alias("slot")).agg(F.array_sort(F.collect_set("event_type")).alias("t"), F.bool_or(F.col("event_type") == "error").alias("all"))
     merged = F.when(F.col("all"), F.lit(None).cast("array<string>")).otherwise(I.merge_topics(F.col("t"), F.col("t")))
-    return topics.select("user_id", F.array_join(merged, ",").alias("topics"))
+    return topics.select("user_id", "slot", F.array_join(merged, ",").alias("topics"))

@@ -80,25 +80,25 @@ def user_scope(spark, d):
 
 @query(
     "dimension_groups",
-    "SELECT k AS p_type, pos, count(p_partkey) AS n, coalesce(string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey), '') AS members FROM (VALUES ('PROMO', 1), ('GHOST', 2), ('SMALL', 3)) v(k, pos) LEFT JOIN part ON p_type = k AND p_size = 7 GROUP BY ALL",
+    "SELECT k AS p_type, pos, count(p_partkey) AS n, coalesce(string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey), '') AS members FROM (VALUES ('PROMO', 1), ('GHOST', 2), ('SMALL', 3)) v(k, pos) LEFT JOIN part ON p_type = k GROUP BY ALL",
 )
 def dimension_groups(spark, d):
     """Groups in the order of a fixed dimension, one without members kept."""
     dimension = spark.createDataFrame([("PROMO", 1), ("GHOST", 2), ("SMALL", 3)], "p_type string, pos int")
-    grouped = L.grouped_in_order(table(spark, d, "part").filter("p_size = 7"), dimension, "p_type", "p_partkey")
+    grouped = L.grouped_in_order(table(spark, d, "part"), dimension, "p_type", "p_partkey")
     return grouped.select("p_type", "pos", F.size("members").cast("long").alias("n"), F.array_join(F.transform("members", lambda m: m.cast("string")), ",").alias("members"))
 
 
 @query(
     "substitutes_attached",
-    "WITH s AS (SELECT p_brand, p_type, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_retailprice DESC, p_partkey) AS l, count(*) AS n FROM part GROUP BY ALL) SELECT p.p_partkey, s.n, s.l AS substitutes FROM part p JOIN s ON s.p_brand = p.p_brand AND s.p_type = p.p_type WHERE p_size = 1",
+    "WITH s AS (SELECT p_brand, p_type, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_retailprice DESC, p_partkey) AS l, count(*) AS n FROM part GROUP BY ALL) SELECT p.p_partkey, s.n, s.l AS substitutes FROM part p JOIN s ON s.p_brand = p.p_brand AND s.p_type = p.p_type",
 )
 def substitutes_attached(spark, d):
     """Lists of substitutes attached to the rows of their group."""
     part = table(spark, d, "part")
     entry = F.array_sort(F.collect_list(F.struct((-F.col("p_retailprice")).alias("p"), "p_partkey")))
     groups = part.groupBy("p_brand", "p_type").agg(entry.alias("l"), F.count("*").alias("n"))
-    joined = part.filter("p_size = 1").select("p_partkey", "p_brand", "p_type").join(groups, ["p_brand", "p_type"])
+    joined = part.select("p_partkey", "p_brand", "p_type").join(groups, ["p_brand", "p_type"])
     return joined.select("p_partkey", "n", F.array_join(F.transform("l", lambda e: e["p_partkey"].cast("string")), ",").alias("substitutes"))
 
 

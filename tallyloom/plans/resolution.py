@@ -96,17 +96,9 @@ SELECT node, min(reach) AS cluster FROM r GROUP BY 1
 def hash_clusters(spark, d):
     """Clusters of a block whose hashes differ in at most 21 bits."""
     e = F.col("embedding")
-    h = table(spark, d, "embeddings").select(F.col("vec_id").alias("a"), "label", V.sign_bits(e, 32, 1).alias("hi"), V.sign_bits(e, 32, 33).alias("lo"))
-    o = h.select(F.col("a").alias("b"), "label", F.col("hi").alias("hi2"), F.col("lo").alias("lo2"))
-    bits = F.bit_count(F.col("hi").bitwiseXOR(F.col("hi2"))) + F.bit_count(F.col("lo").bitwiseXOR(F.col("lo2")))
-    return R.clusters(h.join(o, "label").filter(F.col("a") < F.col("b")).filter(bits <= 21).select("a", "b"))
-
-
-@query("token_clusters")
-def token_clusters(spark, d):
-    """Clusters of names that are similar by their tokens; the greedy token rule has no SQL form."""
-    rows = table(spark, d, "part").groupBy("p_brand", "p_name").agg(F.min("p_partkey").alias("id")).withColumn("toks", F.split("p_name", " "))
-    return R.clusters(R.similar_pairs(rows, ["p_brand"], "id", "toks", T.tokens_similar(1)))
+    h = table(spark, d, "embeddings").select("vec_id", "label", V.sign_bits(e, 32, 1).alias("hi"), V.sign_bits(e, 32, 33).alias("lo"))
+    bits = F.bit_count(F.col("l.hi").bitwiseXOR(F.col("r.hi"))) + F.bit_count(F.col("l.lo").bitwiseXOR(F.col("r.lo")))
+    return R.clusters(R.block_pairs(h, "label", "vec_id", bits <= 21).select(F.col("l.vec_id").alias("a"), F.col("r.vec_id").alias("b")))
 
 
 @query(

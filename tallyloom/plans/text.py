@@ -59,7 +59,7 @@ def maker_codes(spark, d):
 @query(
     "artist_overlap",
     r"""
-WITH b AS (SELECT p_partkey, p_brand, p_size, list_filter(list_distinct(string_split_regex(regexp_replace(lower(p_name), '[^\p{L}\p{N}\s]', ' ', 'g'), '\s+')), lambda x: length(x) >= 2 AND x NOT IN ('old', 'new')) AS toks FROM part WHERE p_type = 'PROMO')
+WITH b AS (SELECT p_partkey, p_brand, p_size, list_filter(list_distinct(string_split_regex(regexp_replace(lower(p_name), '[^\p{L}\p{N}\s]', ' ', 'g'), '\s+')), lambda x: length(x) >= 2 AND x NOT IN ('old', 'new')) AS toks FROM part)
 SELECT a.p_partkey AS id, count(*) AS twins FROM b a JOIN b c ON a.p_size = c.p_size AND a.p_brand <> c.p_brand AND len(list_intersect(a.toks, c.toks)) > 0 GROUP BY 1
 """,
 )
@@ -68,25 +68,12 @@ def artist_overlap(spark, d):
 
     Tokens are exploded, so the join's key is day and token; pairs that share several count once.
     """
-    rows = table(spark, d, "part").filter("p_type = 'PROMO'").select("p_partkey", "p_brand", "p_size", F.explode(T.artist_tokens(F.col("p_name"), ["old", "new"])).alias("token"))
+    rows = table(spark, d, "part").select("p_partkey", "p_brand", "p_size", F.explode(T.artist_tokens(F.col("p_name"), ["old", "new"])).alias("token"))
     other = rows.select(F.col("p_partkey").alias("other"), F.col("p_brand").alias("b2"), "p_size", "token")
     pairs = rows.join(other, ["p_size", "token"]).filter("p_brand <> b2").select("p_partkey", "other").distinct()
     return pairs.groupBy(F.col("p_partkey").alias("id")).agg(F.count("*").alias("twins"))
 
 
-@query(
-    "code_tokens",
-    """
-WITH t AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'GIFT' || (event_id % 100) WHEN 1 THEN 'summerpass' WHEN 2 THEN 'ABCDEFGHIJ' ELSE 'AbCd' || event_id END AS tok FROM events)
-SELECT event_id, tok, event_id % 4 IN (0, 2) AS is_code FROM t
-""",
-)
-def code_tokens(spark, d):
-    """Which tokens look like redeem codes."""
-    tok = F.expr("CASE event_id % 4 WHEN 0 THEN concat('GIFT', event_id % 100) WHEN 1 THEN 'summerpass' WHEN 2 THEN 'ABCDEFGHIJ' ELSE concat('AbCd', event_id) END")
-    return table(spark, d, "events").select("event_id", tok.alias("tok"), T.is_code_token(tok, ["HTTPSABCD1"]).alias("is_code"))
-
-
 @query(
     "html_text",
     r"""
@@ -133,8 +120,13 @@ def star_counts(spark, d):
     return table(spark, d, "documents").select("doc_id", (F.length("text") - F.length(F.replace("text", F.lit("*"), F.lit("")))).cast("long").alias("stars"))
 
 
-@query("mention_scan")
+_NAMES = ["license", "License, Version", "Apache License", "token", "password", "The", "the", "and"]
+
+
+@query(
+    "mention_scan",
+    r"SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct(regexp_extract_all(text, '(?:^|[^\p{L}\p{N}])(License, Version|Apache License|password|license|token|The|and|the)', 1))), ','), '') AS mentions FROM documents",
+)
 def mention_scan(spark, d):
-    """Names from a dictionary that texts mention, longest first; the claiming of stretches has no SQL form."""
-    find = T.mention_finder(["license", "License, Version", "Apache License", "token", "password"])
-    return table(spark, d, "documents").select("doc_id", F.array_join(find(F.col("text")), ",").alias("mentions"))
+    """Names from a dictionary that texts mention, the longest first."""
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(T.mentions(F.col("text"), _NAMES)), ",").alias("mentions"))

@@ -28,14 +28,14 @@ def month_overlap(spark, d):
 @query(
     "covered_by_other_source",
     f"""
-WITH s AS (SELECT * FROM ({_SPANS}) WHERE ends >= starts AND starts >= DATE '2000-01-01')
+WITH s AS (SELECT * FROM ({_SPANS}) WHERE ends >= starts)
 SELECT o_orderkey FROM s a WHERE EXISTS (SELECT 1 FROM s b WHERE b.o_orderpriority = a.o_orderpriority AND b.o_orderstatus <> a.o_orderstatus AND b.starts <= a.ends AND b.ends >= a.starts)
 """,
 )
 def covered_by_other_source(spark, d):
     """Intervals that another source's interval of the same kind overlaps."""
-    spans = _spans(spark, d).filter("ends >= starts and starts >= date'2000-01-01'")
-    return L.covered_elsewhere(spans, "o_orderpriority", "o_orderstatus", "starts", "ends").select("o_orderkey").distinct()
+    spans = _spans(spark, d).filter("ends >= starts")
+    return L.covered_elsewhere(spans, "o_orderkey", "o_orderpriority", "o_orderstatus", "starts", "ends").select("o_orderkey")
 
 
 @query(
@@ -88,19 +88,6 @@ def year_interpolation(spark, d):
     return e.select("o_orderkey", D.year_of_event(posted, m, dd).alias("by_post"), D.year_by_half(posted, m, dd).alias("by_half"), D.ticket_date(posted, m, dd).alias("ticket"))
 
 
-@query(
-    "release_month",
-    r"""
-WITH t AS (SELECT event_id, 'Release ' || (2020 + event_id % 7) || '-' || (event_id % 15) || ' limited' AS s FROM events)
-SELECT event_id, CASE WHEN event_id % 15 BETWEEN 1 AND 12 THEN make_date((2020 + event_id % 7)::INT, (event_id % 15)::INT, 1) END AS released FROM t
-""",
-)
-def release_month(spark, d):
-    """Months out of titles; months outside 1 to 12 give null."""
-    title = F.expr("concat('Release ', 2020 + event_id % 7, '-', event_id % 15, ' limited')")
-    return table(spark, d, "events").select("event_id", D.release_month(title).alias("released"))
-
-
 @query("day_spine", "SELECT d::DATE AS day, count(event_id) AS n FROM generate_series(DATE '2023-12-31', DATE '2024-02-03', INTERVAL 1 DAY) g(d) LEFT JOIN events ON ts::DATE = d::DATE GROUP BY 1")
 def day_spine(spark, d):
     """Every day of the whole weeks of a month, with its events."""

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.functions import vectors as V
+from tallyloom.operators import resolve as R
 from tallyloom.plans.base import query
 from tallyloom.sources.tables import table
 
@@ -41,9 +42,8 @@ def hamming_pairs(spark, d):
     """Pairs within a block whose sign hashes differ in at most twenty bits."""
     e = F.col("embedding")
     h = table(spark, d, "embeddings").select("vec_id", "label", V.sign_bits(e, 32, 1).alias("hi"), V.sign_bits(e, 32, 33).alias("lo"))
-    o = h.select(F.col("vec_id").alias("b"), "label", F.col("hi").alias("hi2"), F.col("lo").alias("lo2"))
-    bits = F.bit_count(F.col("hi").bitwiseXOR(F.col("hi2"))) + F.bit_count(F.col("lo").bitwiseXOR(F.col("lo2")))
-    return h.join(o, "label").filter(F.col("vec_id") < F.col("b")).select(F.col("vec_id").alias("a"), "b", bits.cast("long").alias("bits")).filter("bits <= 20")
+    bits = F.bit_count(F.col("l.hi").bitwiseXOR(F.col("r.hi"))) + F.bit_count(F.col("l.lo").bitwiseXOR(F.col("r.lo")))
+    return R.block_pairs(h, "label", "vec_id", bits <= 20).select(F.col("l.vec_id").alias("a"), F.col("r.vec_id").alias("b"), bits.cast("long").alias("bits"))
 
 
 @query(

@@ -99,7 +99,7 @@ def first_wins(spark, d):
     return table(spark, d, "part").groupBy("p_name").agg(F.min("p_partkey").alias("p_partkey"), F.count("*").alias("listings"))
 
 
-_INTERVALS = "SELECT o_orderkey AS id, o_orderdate::DATE AS starts, greatest(max(l_shipdate)::DATE, o_orderdate::DATE) AS ends FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT' GROUP BY o_orderkey, o_orderdate"
+_INTERVALS = "SELECT o_orderkey AS id, o_orderdate::DATE AS starts, greatest(max(l_shipdate)::DATE, o_orderdate::DATE) AS ends FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_orderdate"
 _PIECES = f"""
 WITH i AS ({_INTERVALS}),
 w AS (SELECT id, starts, ends, unnest(generate_series(starts - dayofweek(starts)::INT, ends, INTERVAL 7 DAY))::DATE AS week FROM i)
@@ -108,7 +108,7 @@ SELECT week, id, greatest(week, starts) AS piece_start, least(week + 6, ends) AS
 
 
 def _pieces(spark, d):
-    orders = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'")
+    orders = table(spark, d, "orders")
     lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("shipped"))
     spans = orders.join(lines, F.col("l_orderkey") == F.col("o_orderkey"))
     starts, ends = F.to_date("o_orderdate"), F.greatest(F.to_date("shipped"), F.to_date("o_orderdate"))
@@ -142,17 +142,17 @@ def ordinal_labels(spark, d):
 @query(
     "default_view",
     """
-WITH s AS (SELECT o_custkey, o_orderkey, o_orderdate, o_orderdate <= TIMESTAMP '1998-01-01' AND o_orderdate >= TIMESTAMP '1997-06-01' AS active FROM orders WHERE o_orderdate >= TIMESTAMP '1997-06-01'),
-w AS (SELECT *, count(*) FILTER (active) OVER (PARTITION BY o_custkey) AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS nth FROM s)
-SELECT o_custkey, o_orderkey, active FROM w WHERE active OR (n = 0 AND nth = 1)
+WITH s AS (SELECT o_custkey, o_orderkey, o_orderdate, o_orderdate <= TIMESTAMP '1998-01-01' AND o_orderdate >= TIMESTAMP '1997-06-01' AS active, o_orderdate > TIMESTAMP '1998-01-01' AS upcoming FROM orders),
+w AS (SELECT *, count(*) FILTER (active) OVER (PARTITION BY o_custkey) AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY upcoming DESC, o_orderdate, o_orderkey) AS nth FROM s)
+SELECT o_custkey, o_orderkey, active FROM w WHERE active OR (n = 0 AND nth = 1 AND upcoming)
 """,
 )
 def default_view(spark, d):
     """All active entries of a customer, or else the single next one."""
-    rows = table(spark, d, "orders").filter("o_orderdate >= timestamp'1997-06-01'").withColumn("active", F.expr("o_orderdate <= timestamp'1998-01-01'"))
+    rows = table(spark, d, "orders").withColumn("active", F.expr("o_orderdate between timestamp'1997-06-01' and timestamp'1998-01-01'")).withColumn("upcoming", F.expr("o_orderdate > timestamp'1998-01-01'"))
     w = W.partitionBy("o_custkey")
-    rows = rows.withColumn("n", F.count_if("active").over(w)).withColumn("nth", F.row_number().over(w.orderBy("o_orderdate", "o_orderkey")))
-    return rows.filter("active or (n = 0 and nth = 1)").select("o_custkey", "o_orderkey", "active")
+    rows = rows.withColumn("n", F.count_if("active").over(w)).withColumn("nth", F.row_number().over(w.orderBy(F.desc("upcoming"), "o_orderdate", "o_orderkey")))
+    return rows.filter("active or (n = 0 and nth = 1 and upcoming)").select("o_custkey", "o_orderkey", "active")
 
 
 @query(
@@ -178,20 +178,20 @@ WITH r AS (SELECT l_orderkey, list_sort(list_distinct(list(l_suppkey))) AS squad
 c AS (SELECT l_orderkey, members, len(list_filter(squad, lambda s: s % 10 IN (3, 7))) AS excluded, len(list_intersect(squad, [1, 2, 3, 4, 5, 6])) AS wanted FROM r),
 s AS (SELECT *, count(*) FILTER (excluded = 0 AND wanted > 0) OVER () AS clean FROM c)
 SELECT l_orderkey, members, excluded::BIGINT AS excluded, CASE WHEN clean >= 3 THEN 'ranker' ELSE 'partial' END AS mode,
-       row_number() OVER (ORDER BY excluded, members DESC, l_orderkey)::BIGINT AS position
+       excluded * 1000 - members AS sort_key
 FROM s WHERE wanted > 0 AND (clean < 3 OR excluded = 0)
 """,
 )
 def ranker_set_filter(spark, d):
-    """Rankers with a wanted member and none excluded; with fewer than three such, all with a wanted one, fewest excluded first."""
+    """Rankers with a wanted member and none excluded; with fewer than three such, all with a wanted one. A page takes the head by sort_key (fewest excluded, most members) and key."""
     rankers = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_suppkey").alias("squad"), F.count("*").alias("members"))
     excluded = F.size(F.filter("squad", lambda s: (s % 10).isin(3, 7))).cast("long")
     wanted = F.exists("squad", lambda s: s.isin(1, 2, 3, 4, 5, 6))
     held = rankers.withColumn("excluded", excluded).filter(wanted)
     clean = held.agg(F.sum(F.when(F.col("excluded") == 0, 1).otherwise(0)).alias("clean"))
     held = held.crossJoin(F.broadcast(clean)).filter("clean < 3 or excluded = 0")
-    position = F.expr("row_number() OVER (ORDER BY excluded, members DESC, l_orderkey)").cast("long")
-    return held.select("l_orderkey", "members", "excluded", F.when(F.col("clean") >= 3, "ranker").otherwise("partial").alias("mode"), position.alias("position"))
+    key = (F.col("excluded") * 1000 - F.col("members")).alias("sort_key")
+    return held.select("l_orderkey", "members", "excluded", F.when(F.col("clean") >= 3, "ranker").otherwise("partial").alias("mode"), key)
 
 
 @query(

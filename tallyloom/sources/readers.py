@@ -21,15 +21,19 @@ def read_json_list(spark: SparkSession, path: str, schema: str, required: list[s
     return rows.filter(fine).drop("_corrupt_record"), rows.filter(~fine)
 
 
-def first_that_reads(readers: list) -> DataFrame | None:
-    """The first reader's result that has rows; None where all fail or are empty, so that old data can stay."""
-    for read in readers:
+def first_that_reads(readers: list, failures: list | None = None) -> DataFrame | None:
+    """The first reader's result that has rows; None where all fail or are empty, so that old data can stay.
+
+    failures gathers (place in the list, error) of the readers that fail.
+    """
+    for at, read in enumerate(readers):
         try:
             rows = read()
             if not rows.isEmpty():
                 return rows
         except Exception as failed:  # noqa: BLE001  a source that is down is what the next one is for
-            print(f"source failed: {type(failed).__name__}")
+            if failures is not None:
+                failures.append((at, failed))
     return None
 
 
@@ -54,6 +58,33 @@ def json_objects(column: Column) -> Column:
     return F.coalesce(as_list("$"), as_list("$.data"), as_list("$.items"), F.when(v.isNotNull(), F.array(v)), F.array().cast("array<variant>"))
 
 
+def path_or(value: Column, path: str, kind: str, default: Column) -> Column:
+    """What a variant has at a path, or the default."""
+    return F.coalesce(F.try_variant_get(value, path, kind), default)
+
+
+def state_values(text: Column, field: str) -> Column:
+    """String values of a field wherever it lies in a JSON text, in its order."""
+    return F.regexp_extract_all(text, F.lit(rf'"{field}"\s*:\s*"((?:[^"\\]|\\.)*)"'), 1)
+
+
+def rich_text(text: Column) -> Column:
+    """Visible text of a rich document in JSON: its "text" strings in order."""
+    parts = state_values(text, "text")
+    return F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_variant_get(F.try_parse_json(F.concat(F.lit('"'), p, F.lit('"'))), "$", "string"), p)), "")
+
+
+def elements(html: Column, tag: str, css: str | None = None) -> Column:
+    """Inner HTML of the elements of a tag (and a class), in order; an element of the same tag within one ends it."""
+    attribute = rf"""(?=[^>]*\bclass\s*=\s*["'][^"']*\b{css}\b)""" if css else ""
+    return F.regexp_extract_all(html, F.lit(rf"(?is)<{tag}\b{attribute}[^>]*>(.*?)</{tag}\s*>"), 1)
+
+
+def element_texts(html: Column, tag: str, css: str | None = None) -> Column:
+    """Texts of the elements of a tag (and a class), without markup."""
+    return F.transform(elements(html, tag, css), lambda e: F.trim(F.regexp_replace(F.regexp_replace(e, "<[^>]*>", " "), r"\s+", " ")))
+
+
 class _Tables(HTMLParser):
     def __init__(self):
         super().__init__()

@@ -62,7 +62,8 @@ def test_lookups(spark):
     assert rows(got) == {(1, 10, 1), (2, None, None), (3, None, None)}
     d = dt.date
     spans = spark.createDataFrame([(1, "x", "s1", d(2024, 1, 1), d(2024, 1, 30)), (2, "x", "s2", d(2024, 1, 30), d(2024, 2, 2)), (3, "x", "s1", d(2024, 3, 1), d(2024, 3, 2))], "id int, kind string, src string, a date, b date")
-    assert {r["id"] for r in L.covered_elsewhere(spans, "kind", "src", "a", "b").collect()} == {1, 2}
+    assert {r["id"] for r in L.covered_elsewhere(spans, "id", "kind", "src", "a", "b").collect()} == {1, 2}
+    assert L.covered_elsewhere(spans.union(spans.filter("id = 1")), "id", "kind", "src", "a", "b").count() == 3  # repeated rows stay
     seasons = spark.createDataFrame([(7, 1, d(2024, 1, 1), d(2024, 1, 31), "n"), (8, 2, d(2024, 1, 20), d(2024, 2, 10), "m")], "season int, number int, starts date, ends date, name string")
     asked = spark.createDataFrame([("p", 2, d(2020, 1, 1), d(2020, 1, 2), "z"), ("q", 9, d(2024, 1, 25), d(2024, 1, 26), "m"), ("r", 9, d(2024, 1, 25), d(2024, 1, 26), "z")], "r string, number int, starts date, ends date, name string")
     assert rows(L.season_match(asked, seasons, "r")) == {("p", 8), ("q", 8), ("r", 7)}
@@ -155,3 +156,61 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(path).count() == 1 and [p.name for p in tmp_path.iterdir()] == ["t"]
     with pytest.raises(ValueError, match="nothing"):
         replace_table(df.filter("id = 9"), path)
+
+
+def test_matching(spark):
+    from tallyloom.operators import matching as M
+
+    texts = spark.createDataFrame([(1, "Meet HOSHINO today"), (2, "raid of the week"), (3, "nothing"), (4, None), (5, "ho")], "id int, t string")
+    names = spark.createDataFrame([(10, "Shiroko", False), (11, "Hoshino", False), (12, "Kuro", True)], "boss int, name string, active boolean")
+    assert rows(M.names_in_texts(texts, "id", "t", names, "boss", "name")) == {(1, 11)}
+    got = M.named_or_current(texts, "id", "t", names, "boss", "name", [F.asc("boss")], F.col("active"), ["raid"])
+    assert rows(got) == {(1, 11, 1), (2, 12, 2), (3, None, None), (4, None, None), (5, None, None)}
+    bits = spark.createDataFrame([(1, "a", 0), (2, "a", 0b111), (3, "a", -1), (4, "b", 0), (5, "a", 1 << 63 - 1), (6, "a", 0b1111)], "id int, b string, bits long")
+    assert rows(M.hashed_pairs(bits, ["b"], "id", "bits", 3)) == {(1, 2, 3), (1, 5, 1), (2, 6, 1)}
+
+
+def test_hashed_pairs_against_all_pairs(spark):
+    import random
+
+    from tallyloom.operators import matching as M
+
+    rng = random.Random(3)
+    base = [rng.getrandbits(63) for _ in range(6)]
+    bits = []
+    for i in range(150):
+        x = base[i % 6]
+        for _ in range(rng.randrange(5)):
+            x ^= 1 << rng.randrange(63)
+        bits.append((i, i % 2, x))
+    got = {tuple(r)[:2] for r in M.hashed_pairs(spark.createDataFrame(bits, "id int, b int, bits long"), ["b"], "id", "bits", 7).collect()}
+    assert got == {(i, j) for i, b, x in bits for j, c, y in bits if i < j and b == c and (x ^ y).bit_count() <= 7} and got
+
+
+def test_block_pairs_are_all_pairs(spark):
+    from tallyloom.operators import resolve as R
+
+    df = spark.createDataFrame([(i, i % 3) for i in range(40)], "id int, b int")
+    got = [tuple(r) for r in R.block_pairs(df, "b", "id", F.lit(True), parts=4).select(F.col("l.id"), F.col("r.id")).collect()]
+    assert sorted(got) == sorted((i, j) for i in range(40) for j in range(i + 1, 40) if i % 3 == j % 3)
+
+
+def test_lanes_against_a_plain_sweep(spark):
+    import random
+
+    rng = random.Random(8)
+    d, rows_ = dt.date(2024, 1, 7), []
+    for week in range(4):
+        first = d + dt.timedelta(7 * week)
+        for i in range(25):
+            a = rng.randrange(7)
+            rows_.append((first, 100 * week + i, first + dt.timedelta(a), first + dt.timedelta(rng.randrange(a, 7))))
+    pieces = spark.createDataFrame(rows_, "week date, id long, piece_start date, piece_end date")
+    got = {(r["week"], r["id"]): r["lane"] for r in W.assign_lanes(pieces).collect()}
+    for week in {r[0] for r in rows_}:
+        own = [(s, e, got[week, i]) for w, i, s, e in rows_ if w == week]
+        for x in range(len(own)):
+            for y in range(x):
+                assert own[x][2] != own[y][2] or own[x][0] > own[y][1] or own[y][0] > own[x][1]  # no overlap within a lane
+        most = max(sum(s <= first <= e for s, e, _ in own) for first in [week + dt.timedelta(k) for k in range(7)])
+        assert len({lane for _, _, lane in own}) == most  # and no more lanes than must be
