@@ -1,4 +1,12 @@
-"""From raw documents to packed sequences: five stages, each over all that the one before it kept."""
+"""From raw documents to packed sequences: five stages, each over all that the one before it kept.
+
+Defined cases, for every stage: null, blank and short texts fail the quality rules and go no further (a later stage given
+them keeps them: they have no near duplicates, no secrets, no words to mix beyond certain copies, and the end token alone
+to pack); very long texts are processed whole; repeated rows are one document to near_dedup and rows of their own
+elsewhere; ties go to the smaller doc_id; rows without a doc_id are kept; empty tables give empty results; columns beyond
+those of documents pass all stages but the last, whatever their names. Copies of a document that the mix repeats are
+told apart after packing by example_id.
+"""
 
 from __future__ import annotations
 
