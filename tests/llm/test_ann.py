@@ -31,27 +31,56 @@ def test_recall_and_scores_against_brute_force(spark):
     assert hits / 150 >= 0.9
 
 
-def test_several_blocks_give_the_same(spark, monkeypatch):
+def test_groups_salts_and_blocks_give_the_same(spark, monkeypatch):
     rng = np.random.default_rng(4)
     rows = [(i, [float(v) for v in rng.normal(size=64)]) for i in range(600)]
     df = frame(spark, rows)
-    one = {tuple(r) for r in A.nearest(df, df.filter("vec_id % 20 = 0"), radius=64).collect()}
+    asked = df.filter("vec_id % 20 = 0")
+    every = {tuple(r)[:3] for r in A.nearest(df, asked, radii=()).collect()}
+    assert {r[2] for r in every if r[0] == 40} == set(exact(rows, 40, 5)[0])
+    assert every == {tuple(r)[:3] for r in A.nearest(df, asked, radii=(A.WIDTH,)).collect()}
     monkeypatch.setattr(A, "BLOCK_ROWS", 100)
     monkeypatch.setattr(A, "BLOCK_QUERIES", 9)
-    many = {tuple(r) for r in A.nearest(df, df.filter("vec_id % 20 = 0"), radius=64).collect()}
-    assert {r[:3] for r in one} == {r[:3] for r in many}
-    assert {r[2] for r in one if r[0] == 40} == set(exact(rows, 40, 5)[0])
+    monkeypatch.setattr(A, "GROUP_ROWS", 150)
+    assert every == {tuple(r)[:3] for r in A.nearest(df, asked, radii=()).collect()}
+    assert every == {tuple(r)[:3] for r in A.nearest(df, asked, radii=(A.WIDTH,)).collect()}
 
 
-def test_pigeonhole_finds_all_within_the_radius():
+def test_pigeonhole_retrieves_all_within_the_radius():
     rng = np.random.default_rng(6)
-    rows = rng.integers(0, 256, size=(5000, 8), dtype=np.uint8)
-    index = A.SubstringIndex(rows)
-    for radius in (5, 12, 23, 30):
-        assert sum(r + 1 for r in A.substring_radii(radius)) == radius + 1
+    rows = rng.integers(0, 2**A.WIDTH, size=(5000, A.SUBSTRINGS)).astype(np.int32)
+    rows[1::2] = rows[::2] ^ (1 << rng.integers(0, A.WIDTH, size=(2500, A.SUBSTRINGS))) * (rng.random((2500, A.SUBSTRINGS)) < 0.9)
+    indexes = [A.SubstringIndex(rows[:, s]) for s in range(A.SUBSTRINGS)]
+    for radius in (0, 1, 3):
         for q in rows[:20]:
-            within = np.flatnonzero(np.bitwise_count(rows ^ q).sum(1) <= radius)
-            assert np.array_equal(index.within(q, radius), within)
+            met = set()
+            for s, index in enumerate(indexes):
+                found = index.within(int(q[s]), radius)
+                assert np.array_equal(np.sort(found), np.flatnonzero(np.bitwise_count(rows[:, s] ^ q[s]) <= radius))
+                met |= set(found.tolist())
+            within = np.flatnonzero(np.bitwise_count(rows ^ q).sum(1) <= A.SUBSTRINGS * (radius + 1) - 1)
+            assert set(within.tolist()) <= met
+
+
+def test_the_first_radius_probes_a_fifth_of_unrelated_rows():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    subs = A.substrings(x, A.fit_rotation(x))
+    met = [(np.bitwise_count(subs ^ subs[i]) <= A.RADII[0]).any(1).mean() for i in range(0, 6000, 100)]
+    assert np.mean(met) < 0.22
+    assert A.retrieval(A.trusted_cosine(3), 3) >= A.TRUST > A.retrieval(A.trusted_cosine(3) - 0.01, 3)
+
+
+def test_a_crowd_of_near_vectors_stays_few_pairs(spark):
+    """What leaves a group goes by k and not by how many rows lie close together."""
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=64)
+    rows = [(i, [float(v) for v in centre + 0.3 * rng.normal(size=64)]) for i in range(2000)]
+    df = frame(spark, rows)
+    got = A.nearest(df, df.filter("vec_id % 100 = 0")).collect()
+    for q in range(0, 2000, 100):
+        assert {r["vec_id"] for r in got if r["query_id"] == q} == set(exact(rows, q, 5)[0])
 
 
 def test_unusable_vectors_ties_and_few_candidates(spark):
