@@ -9,7 +9,8 @@ closely. Steps:
 2. classes that share a band key, hung on the least of the bucket, give candidate groups (connected components), so a
    bucket of n classes costs n - 1 rows and not n * n.
 3. the full sets of the classes in groups of two or more are computed anew and dealt out in blocks; each pair of blocks
-   is one task's work, inside which sketches are compared first, then full sets, exactly. Only a spanning forest of the
+   is one task's work, inside which sketches are compared first, then full sets, exactly. Groups of more than CHAINED
+   blocks, which hits between texts that aren't alike may have chained, are dealt by band key instead, in blocks again. Only a spanning forest of the
    confirmed links leaves the task. Large groups are many pairs of blocks, and a pair of classes that is already
    connected is not confirmed again, so the links between different texts are all kept up to connection.
 4. the components of the confirmed links.
@@ -18,10 +19,10 @@ With 24 bands of 6 samples a pair of similarity 0.85 misses all bands with proba
 sketch passes pairs estimated at 0.68, over 5 standard deviations under 0.85.
 
 Defined cases: a null text or one without words has the empty set and is linked with nothing; a text shorter than a
-shingle is one shingle; repeated rows have one set and one component (doc_id is taken to tell documents apart: texts
-that share their least doc_id count as linked); rows with a null doc_id link like others but give no component id (it
-stays null where all ids are null, and such rows are kept); an empty table gives an empty result; other columns take no
-part.
+shingle is one shingle; repeated rows have one set and one component; different texts that share a doc_id are one
+document, so what either is linked with is one component; rows with a null doc_id link like others but give no component
+id (it stays null where all ids are null, and such rows are kept); an empty table gives an empty result; other columns
+take no part.
 """
 
 from __future__ import annotations
@@ -46,10 +47,11 @@ SKETCH_BITS = 512
 SKETCH_FLOOR = 0.68
 #: Classes in a block: two blocks with their full sets are what a task holds.
 BLOCK = 1024
+#: Blocks of a group up to which all of its pairs of blocks are compared; in a larger one, which band hits between texts
+#: that aren't alike may have chained, only members that share a band are.
+CHAINED = 64
 #: Shingles hashed at once, to stay in a CPU's cache.
 CHUNK = 32_768
-#: Nodes of classes without any doc_id lie above this, out of the way of real ids.
-NO_ID = 2**63 - 2**53
 
 _SEEDS = np.random.default_rng(20240901).integers(1, 2**63, size=(SAMPLES, 2), dtype=np.int64).astype(np.uint64)
 _MULS = _SEEDS[:, 0] | np.uint64(1)
@@ -172,38 +174,53 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     schema = "doc_id long, text_key long, n_shingles long, set_a long, set_b long, bands array<long>, sketch binary"
     signed = staged(slim.mapInPandas(_signatures(shingle), schema), "signatures")
 
-    first = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("node"), "text_key", "bands", "sketch"))
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("of"), "text_key", "bands", "sketch"))
     classes = signed.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(first.alias("f"), F.min("doc_id").alias("doc_id"))
-    node = F.coalesce("doc_id", F.lit(NO_ID) + F.pmod(F.col("set_a"), F.lit(2**52)))
-    classes = staged(classes.select("set_a", "set_b", node.alias("node"), "doc_id", "f.text_key", "f.bands", "f.sketch"), "classes")
+    # numbered as they are written, once; every later step reads the written numbers
+    classes = classes.select(F.monotonically_increasing_id().alias("node"), "set_a", "set_b", "doc_id", "f.text_key", "f.bands", "f.sketch")
+    classes = staged(classes, "classes")
 
     banded = classes.select("node", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least <> most")
+    shared = banded.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most"), F.count("*").alias("n")).filter("least <> most")
+    shared = staged(shared, "shared-bands")
     stars = banded.join(shared, "band").filter("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
     grouped = components(stars)
     grouped = staged(grouped.union(grouped.select(F.col("root").alias("node"), "root").distinct()), "groups")
 
     sized = grouped.join(grouped.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")), "root")
-    members = sized.join(classes.select("node", "doc_id", "text_key", "sketch"), "node").dropDuplicates(["node"])
+    members = staged(sized.join(classes.select("node", "doc_id", "text_key", "sketch"), "node"), "members")
     wanted = members.select(F.col("doc_id").alias("of_id"), F.col("text_key").alias("of_key"), "node")
     texts = slim.withColumn("text_key", F.xxhash64(F.col("text")))
     texts = bounded_join(texts, wanted, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("text_key") == F.col("of_key")), "inner")
     sets = texts.select("node", "text").mapInPandas(_sets(shingle), "node long, shingles binary")
-    members = members.select("root", "node", "sketch", "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("block"))
-    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    small = members.filter(F.col("blocks") <= CHAINED).select("root", "node", "sketch", "blocks")
+    large = members.filter(F.col("blocks") > CHAINED).select("node", "sketch").join(banded, "node").join(shared.select("band", "n"), "band")
+    units = small.union(large.select("band", "node", "sketch", F.ceil(F.col("n") / BLOCK)))
+    units = units.withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
+    dealt = units.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("root", "node", "sketch", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    # copies of a text give its set once for each
     blocks = dealt.join(sets.dropDuplicates(["node"]), "node").groupBy("root", "i", "j")
     links = blocks.applyInPandas(_confirm(percent), "u long, v long")
 
-    found = components(links)
-    placed = classes.select("set_a", "set_b", "node").join(found, "node", "left")
-    component = F.coalesce("root", "node")
-    placed = placed.select("set_a", "set_b", F.when(component < NO_ID, component).alias("component"))
+    found = components(links.union(_same_documents(signed, classes)))
+    rooted = classes.select("node", "doc_id", "set_a", "set_b").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component"))
+    placed = rooted.join(least, "root").select("set_a", "set_b", "component")
     out = signed.select("doc_id", "n_shingles", "set_a", "set_b").join(placed, ["set_a", "set_b"], "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _same_documents(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between the classes of rows that share a doc_id but not their set."""
+    here = F.struct("set_a", "set_b")
+    several = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min(here).alias("one"), F.max(here).alias("other")).filter("one <> other")
+    rows = signed.filter("n_shingles > 0").join(several.select("doc_id"), "doc_id", "left_semi").select("doc_id", "set_a", "set_b").distinct()
+    nodes = rows.join(classes.select("set_a", "set_b", "node"), ["set_a", "set_b"])
+    return nodes.join(nodes.groupBy("doc_id").agg(F.min("node").alias("least")), "doc_id").filter("node <> least").select(F.col("node").alias("u"), F.col("least").alias("v"))
+
+
 def deduplicate(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs that stay when one document of each component is kept; rows that share a doc_id are one."""
     judged = staged(near_duplicates(docs, shingle, percent).select("doc_id", "kept"), "judged")

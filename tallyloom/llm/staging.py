@@ -16,10 +16,12 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (single machine, tests) a new temporary one."""
+    """The folder named in spark.checkpoint.dir; where that is unset, a new temporary one on a single machine, else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("on a cluster spark.checkpoint.dir must name a folder that driver and executors share")
     if "dir" not in _OWN:
         _OWN["dir"] = f"file://{tempfile.mkdtemp(prefix='tallyloom-')}"
     return _OWN["dir"]

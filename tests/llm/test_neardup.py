@@ -97,3 +97,30 @@ def test_components_of_a_path_a_star_and_a_cycle(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {100 + i: 100 for i in range(1, 30)} | {202: 201, 203: 201}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_texts_that_share_an_id_are_one_document(spark, documents):
+    """Each text of a repeated id keeps its links, whichever text is met first."""
+    rng = np.random.default_rng(31)
+    text = lambda: " ".join(f"w{i}" for i in rng.integers(0, 5000, 80))
+    x, y, z = text(), text(), text()
+    rows = [(5, x, "s"), (5, y, "s"), (9, y + " end", "s"), (8, x + " end", "s"), (3, z, "s"), (5, "", "s")]
+    for _ in range(3):
+        rows = rows[2:] + rows[:2]
+        got = {r["doc_id"]: r["component_id"] for r in N.near_duplicates(documents(rows)).filter("n_shingles > 0").collect()}
+        assert got == {5: 5, 9: 5, 8: 5, 3: 3}
+
+
+def test_chained_groups_dealt_by_band_give_the_same(spark, documents, monkeypatch):
+    rng = np.random.default_rng(32)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(60):
+        words = list(base)
+        for at in rng.integers(0, 120, int(rng.integers(0, 12))):
+            words[at] = f"v{rng.integers(0, 3)}"
+        rows.append((i, " ".join(words), "s"))
+    whole = {tuple(r) for r in N.near_duplicates(documents(rows)).collect()}
+    monkeypatch.setattr(N, "BLOCK", 7)
+    monkeypatch.setattr(N, "CHAINED", 1)
+    assert whole == {tuple(r) for r in N.near_duplicates(documents(rows)).collect()} and len({r[2] for r in whole}) < 60
