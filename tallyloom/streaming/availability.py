@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,13 +22,11 @@ def restocks(snapshots: DataFrame) -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values("seq")
-        was = state.get[0] if state.exists else None
-        turned = []
-        for seq, available in zip(rows["seq"], rows["available"], strict=True):
-            if available and was is False:
-                turned.append(int(seq))
-            was = bool(available)
-        state.update((was,))
-        yield pd.DataFrame({"offer": [key[0]] * len(turned), "seq": turned}).astype({"offer": "int64", "seq": "int64"})
+        there = rows["available"].astype(bool).to_numpy()
+        first = state.get[0] if state.exists else there[0]  # without a row before there is no turn
+        before = np.concatenate([[first], there[:-1]])
+        turned = rows["seq"].to_numpy()[there & ~before]
+        state.update((bool(there[-1]),))
+        yield pd.DataFrame({"offer": np.full(len(turned), key[0]), "seq": turned}).astype({"offer": "int64", "seq": "int64"})
 
     return snapshots.groupBy("offer").applyInPandasWithState(step, "offer long, seq long", "available boolean", "append", GroupStateTimeout.NoTimeout)

@@ -214,3 +214,39 @@ def test_lanes_against_a_plain_sweep(spark):
                 assert own[x][2] != own[y][2] or own[x][0] > own[y][1] or own[y][0] > own[x][1]  # no overlap within a lane
         most = max(sum(s <= first <= e for s, e, _ in own) for first in [week + dt.timedelta(k) for k in range(7)])
         assert len({lane for _, _, lane in own}) == most  # and no more lanes than must be
+
+
+def test_streamed_restocks_are_those_of_the_batch(spark, tmp_path):
+    rng = random.Random(11)
+    turns = [(rng.randrange(9), seq, rng.random() < 0.5) for seq in range(300)]
+    schema = "offer long, seq long, available boolean"
+    for part in range(5):  # five batches, in order
+        spark.createDataFrame(turns[60 * part : 60 * part + 60], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    q = restocks(stream).writeStream.format("memory").queryName("restocked").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").start()
+    q.processAllAvailable()
+    q.stop()
+    batch = W.transitions(spark.createDataFrame(turns, schema), ["offer"], ["seq"], F.col("available")).select("offer", "seq")
+    assert rows(spark.table("restocked")) == rows(batch) and batch.count() > 20
+
+
+def test_replace_refuses_nothing_and_swaps(spark, tmp_path):
+    from tallyloom.sources.sinks import replace_table
+
+    replace_table(spark.range(3), f"{tmp_path}/t")
+    replace_table(spark.range(5), f"{tmp_path}/t")
+    assert spark.read.parquet(f"{tmp_path}/t").count() == 5
+    try:
+        replace_table(spark.range(0), f"{tmp_path}/t")
+        raise AssertionError("an empty result was taken")
+    except ValueError:
+        assert spark.read.parquet(f"{tmp_path}/t").count() == 5
+
+
+def test_source_chain_says_which_failed():
+    failures = []
+
+    def broken():
+        raise OSError("down")
+
+    assert S.first_that_reads([broken], failures) is None and [(i, type(e)) for i, e in failures] == [(0, OSError)]
