@@ -7,8 +7,10 @@ number u from its key and an inclusion probability p, and the sample is the head
 
     q = (u / (1 - u)) / (p / (1 - p))
 
-p is the rest rate times 2 * size / (size + mean size): longer documents come a little sooner. The head ends where the
-words run out; then the one document left whose size comes nearest to the words still missing closes the sample, if
+p is proportional to size / (size + mean size), so longer documents come a little sooner, by a factor for each source
+that makes the expected words equal to those that remain; where that would pass 1 a document is certain and the others
+share the rest. The factor is exact: it is found by a running sum over the source's distinct sizes. The head ends where
+the words run out; then the one document left whose size comes nearest to the words still missing closes the sample, if
 that brings the sum nearer. All is a function of the row and of one small row per source, so no text is shuffled.
 
 Defined cases: a null or blank text has size 0 and gets the certain copies only; a null source is a source of its own,
@@ -57,9 +59,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, max_
         levelled.withColumn("target", target)
         .withColumn("certain", F.floor(rate).cast("int"))
         .withColumn("rest_words", F.col("target") - F.col("certain") * F.col("words"))
-        .withColumn("rest_rate", rate - F.col("certain"))
         .withColumn("mean_size", F.when(F.col("docs") > 0, F.col("words") / F.col("docs")).otherwise(0.0))
-        .select("mix_source", "words", "target", "certain", "rest_words", "rest_rate", "mean_size")
+        .select("mix_source", "words", "target", "certain", "rest_words", "mean_size")
     )
 
 
@@ -68,12 +69,37 @@ def _uniform(doc_id: Column, text: Column, seed: str) -> Column:
     return (F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("double") + 0.5) / float(2**48)
 
 
-def _order_key() -> Column:
-    """q of a row that has mix_u, mix_size, rest_rate and mean_size."""
+def _weight() -> Column:
     size = F.col("mix_size").cast("double")
-    p = F.col("rest_rate") * 2.0 * size / (size + F.col("mean_size"))
-    p = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), p))
-    return (F.col("mix_u") / (1.0 - F.col("mix_u"))) / (p / (1.0 - p))
+    return size / (size + F.col("mean_size"))
+
+
+def inclusion_factors(units: DataFrame, targets: DataFrame) -> DataFrame:
+    """of_source and factor: min(1, factor * weight) are inclusion probabilities whose expected words are the source's rest.
+
+    units: mix_source, mix_size, n. If all sizes above one are certain, the rest fixes the factor of the others; the largest
+    size that then isn't certain itself gives the one that holds.
+    """
+    words = units.filter("mix_size > 0").groupBy("mix_source", "mix_size").agg(F.sum(F.col("mix_size") * F.col("n")).cast("double").alias("at_size"))
+    sources = targets.select(F.col("mix_source").alias("of_source"), "rest_words", "mean_size")
+    rows = bounded_join(words, sources, F.col("mix_source").eqNullSafe(F.col("of_source")), "inner").withColumn("weight", _weight())
+    source = W.partitionBy("of_source")
+    above = source.orderBy(F.desc("mix_size")).rowsBetween(W.unboundedPreceding, -1)
+    odds = F.sum(F.col("weight") * F.col("at_size"))
+    rest = F.col("rest_words") - F.coalesce(F.sum("at_size").over(above), F.lit(0.0))
+    rows = rows.withColumn("factor", rest / (odds.over(source) - F.coalesce(odds.over(above), F.lit(0.0))))
+    return rows.filter("factor * weight <= 1").groupBy("of_source").agg(F.max_by("factor", "mix_size").alias("factor"))
+
+
+def inclusion() -> Column:
+    """Inclusion probability of a row that has mix_size, mean_size and factor."""
+    return F.least(F.lit(1.0), F.coalesce("factor", F.lit(0.0)) * _weight())
+
+
+def _order_key() -> Column:
+    """q of a row that has mix_u, mix_size, mean_size and factor; 0 if it is certain."""
+    p = F.greatest(F.lit(1e-9), inclusion())
+    return F.when(p >= 1, 0.0).otherwise((F.col("mix_u") / (1.0 - F.col("mix_u"))) / (p / (1.0 - p)))
 
 
 def _ranked(rows: DataFrame, per_source: DataFrame) -> DataFrame:
@@ -95,6 +121,8 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_copi
     units = staged(keyed.groupBy("mix_source", "mix_id", "mix_u", "mix_size").agg(F.count("*").alias("n")), "mix-units")
     sizes = units.groupBy("mix_source").agg(F.sum(F.col("mix_size") * F.col("n")).alias("words"), F.sum(F.when(F.col("mix_size") > 0, F.col("n")).otherwise(0)).alias("docs"))
     targets = staged(source_targets(sizes, weights, share, max_copies), "mix-targets")
+    factors = inclusion_factors(units, targets)
+    targets = staged(targets.join(factors, F.col("mix_source").eqNullSafe(F.col("of_source")), "left").drop("of_source"), "mix-factors")
 
     ordered = _ranked(units.filter("mix_size > 0"), targets).withColumn("unit_words", F.col("mix_size") * F.col("n"))
     by_bucket = ordered.groupBy("mix_source", "mix_bucket").agg(F.sum("unit_words").alias("bucket_words"))

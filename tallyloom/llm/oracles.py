@@ -1,9 +1,15 @@
 """DuckDB SQL for the training-data queries that SQL can express, written from the definitions."""
 
-from tallyloom.llm.secrets import KINDS, SCOPE
-
-#: The kinds with the two runs as plainly as they are defined: any length, short ones dropped afterwards.
-PLAIN = [(n, {"access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+"}.get(n, p), g, least) for n, p, g, least in KINDS]
+#: The kinds of secrets as they are defined: any length, short ones dropped afterwards; and how near linked parts are.
+PLAIN = [
+    ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 20),
+    ("hex", "[0-9a-f]+", 0, 24),
+    ("identifier", r"""(?i:(user|username|login|account|client_id|access_key_id))["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._-]+)""", 2, 3),
+    ("weak_secret", r"""(?i:(pwd|pass|auth|credential|private_key|secret_key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=!@#%^&*-]+)""", 2, 4),
+    ("endpoint", r"""(?i:(https?|ftp|jdbc:[a-z]+|postgresql|mysql|redis|amqp|s3))://([A-Za-z0-9._:/@?=&%-]+)""", 2, 4),
+]
+SCOPE = 256
 
 OP5 = r"""
 WITH d AS (
@@ -25,10 +31,19 @@ WITH d AS (
   SELECT *, CASE WHEN words > 0 THEN floor(target / words) ELSE 0 END AS certain FROM t
 ), j AS (
   SELECT d.doc_id, d.size, d.u, d.source, r.words, r.target, r.certain, r.target - r.certain * r.words AS rest,
-         (r.target / r.words - r.certain) * 2.0::DOUBLE * d.size / (d.size::DOUBLE + r.words::DOUBLE / r.docs) AS p0
+         d.size::DOUBLE / (d.size::DOUBLE + r.words::DOUBLE / r.docs) AS w
   FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
+), g AS (
+  SELECT source, size, any_value(w) AS w, any_value(rest) AS rest, sum(size)::DOUBLE AS at_size FROM j WHERE size > 0 GROUP BY 1, 2
+), o AS (
+  SELECT *, (rest - coalesce(sum(at_size) OVER b, 0)) / (sum(w * at_size) OVER (PARTITION BY source) - coalesce(sum(w * at_size) OVER b, 0)) AS factor
+  FROM g WINDOW b AS (PARTITION BY source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), f AS (
+  SELECT source, arg_max(factor, size) AS factor FROM o WHERE factor * w <= 1 GROUP BY 1
+), p AS (
+  SELECT j.*, greatest(1e-9, least(1.0::DOUBLE, coalesce(f.factor, 0) * w)) AS p FROM j LEFT JOIN f ON j.source IS NOT DISTINCT FROM f.source WHERE size > 0
 ), q AS (
-  SELECT *, (u / (1 - u)) / (greatest(1e-9, least(1 - 1e-9, p0)) / (1 - greatest(1e-9, least(1 - 1e-9, p0)))) AS q FROM j WHERE size > 0
+  SELECT *, CASE WHEN p >= 1 THEN 0 ELSE (u / (1 - u)) / (p / (1 - p)) END AS q FROM p
 ), c AS (
   SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, doc_id, size ROWS UNBOUNDED PRECEDING) AS through FROM q
 ), h AS (
@@ -85,6 +100,11 @@ y AS (
   SELECT * FROM x AS a WHERE k < 3 OR EXISTS (
     SELECT 1 FROM x AS b WHERE b.rid = a.rid AND abs(b.s - a.s) <= {SCOPE} AND (a.k IN (0, 2, 4)) <> (b.k IN (0, 2, 4)))
 ),
+j AS (
+  SELECT a.rid, a.s, a.k, arg_min(b.s, (abs(b.s - a.s), b.s, b.k)) FILTER (b.k IN (1, 3)) AS i, arg_min(b.s, (abs(b.s - a.s), b.s)) FILTER (b.k = 5) AS e
+  FROM x AS a JOIN x AS b ON b.rid = a.rid AND abs(b.s - a.s) <= {SCOPE} WHERE a.k IN (0, 2, 4) AND b.k IN (1, 3, 5) GROUP BY ALL
+),
+n AS (SELECT rid, string_agg(s || '>' || coalesce(i::VARCHAR, '') || '>' || coalesce(e::VARCHAR, ''), ',' ORDER BY s, k) AS links FROM j GROUP BY rid),
 z AS (
   SELECT rid, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex,
          coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, k) FILTER (k < 3), '') AS base,
@@ -92,8 +112,8 @@ z AS (
   FROM y GROUP BY rid
 )
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
-FROM d LEFT JOIN z USING (rid)
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(links, '') AS links
+FROM d LEFT JOIN z USING (rid) LEFT JOIN n USING (rid)
 """
 
 
@@ -103,7 +123,8 @@ OP2 = _op2()
 def _op4() -> str:
     from tallyloom.llm.licenses import CONTAINMENT, SHINGLE, TEMPLATES
 
-    rows = ", ".join(f"('{n}', '{t}')" for n, t in TEMPLATES.items())
+    quoted = lambda t: t.replace("'", "''")
+    rows = ", ".join(f"('{n}', '{quoted(t)}')" for n, t in TEMPLATES.items())
     words = r"list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '')"
     words = words.replace("{{", "{").replace("}}", "}")
     runs = f"unnest(list_transform(range(0, greatest(len(w) - {SHINGLE}, 0) + 1), lambda i: array_to_string(w[i + 1:i + {SHINGLE}], ' '))) AS g, unnest(range(0, greatest(len(w) - {SHINGLE}, 0) + 1)) AS p"

@@ -1,7 +1,7 @@
 from collections import Counter, defaultdict
 
 
-from tallyloom.llm.mixing import mix_sources, mixed_documents, source_targets
+from tallyloom.llm.mixing import inclusion_factors, mix_sources, mixed_documents, source_targets
 
 
 def water(sizes, weights=(5, 2, 1), share=1.5, most=2):
@@ -56,6 +56,33 @@ def test_odd_rows_and_clashing_columns(spark, documents, odd_rows):
     assert mixed.count() == copies
 
 
+def test_realised_inclusion_is_the_probability(spark):
+    """Two hundred sources with the same sizes are as many samples: a size is taken about as often as its probability says."""
+    sizes = [3 + (i * i) % 97 for i in range(60)]
+    rows = [(1000 * s + i, "w " * n, f"s{s:03d}") for s in range(200) for i, n in enumerate(sizes)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mix_sources(docs, weights=(1,), share=0.6, max_copies=2).select("doc_id", "mix_copies").collect()
+    share, mean = 0.6 * sum(sizes), sum(sizes) / len(sizes)
+    weight = [n / (n + mean) for n in sizes]
+    low, high = 0.0, 1e6
+    for _ in range(200):  # the factor by bisection
+        factor = (low + high) / 2
+        low, high = (factor, high) if sum(n * min(1, factor * w) for n, w in zip(sizes, weight, strict=True)) < share else (low, factor)
+    taken = [0] * len(sizes)
+    for r in got:
+        taken[r["doc_id"] % 1000] += r["mix_copies"] / 200
+    p = [min(1, factor * w) for w in weight]
+    assert max(p) < 1 and all(abs(t - q) < 4 * (q * (1 - q) / 200) ** 0.5 + 0.03 for t, q in zip(taken, p, strict=True))
+
+
+def test_what_would_pass_one_is_certain(spark):
+    units = spark.createDataFrame([("a", 1, 90), ("a", 1000, 1)], "mix_source string, mix_size long, n long")
+    targets = spark.createDataFrame([("a", 1030.0, 1090 / 91)], "mix_source string, rest_words double, mean_size double")
+    factor = inclusion_factors(units, targets).collect()[0]["factor"]
+    weight = 1 / (1 + 1090 / 91)
+    assert abs(90 * factor * weight - 30) < 1e-9 and factor * 1000 / (1000 + 1090 / 91) > 1
+
+
 def test_empty_table(documents):
     empty = documents([(1, "a", "s")]).filter("doc_id = 0")
     assert mix_sources(empty).count() == 0 and mixed_documents(empty).count() == 0
