@@ -29,16 +29,20 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets in every document: base counts, the digest of the base spans, and all spans."""
+    """Secrets in every document: base counts, the digest of the base spans, all spans, and links (starts of secret,
+    identifier and endpoint)."""
     seen = scan_secrets(_table(spark, sf_dir, "documents"))
     base = F.filter("secret_spans", lambda s: s["kind"].isin([k[0] for k in BASE]))
     listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    start = lambda x: F.coalesce(x["start"].cast("string"), F.lit(""))
+    linked = lambda m: F.concat_ws(">", start(m["secret"]), start(m["identifier"]), start(m["endpoint"]))
     count = lambda kind: F.size(F.filter("secret_spans", lambda s: s["kind"] == kind)).cast("long")
     return seen.select(
         "doc_id",
         *[count(k[0]).alias(f"n_{k[0]}") for k in BASE],
         F.sha2(listed(base), 256).alias("base_sha256"),
         listed(F.col("secret_spans")).alias("spans"),
+        F.array_join(F.transform("secret_links", linked), ",").alias("links"),
     )
 
 

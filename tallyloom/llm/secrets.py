@@ -8,8 +8,8 @@ the parts in scope of a part are among a fixed number of neighbours in the order
 those alone.
 
 Defined cases: a null text is empty and has no spans; spans count code points, ends are exclusive; equal rows are
-scanned alike; an empty table gives an empty result; other columns pass through, except that ``secret_spans`` and
-``redacted_text`` are replaced.
+scanned alike; an empty table gives an empty result; other columns pass through, except that ``secret_spans``,
+``secret_links`` and ``redacted_text`` are replaced.
 """
 
 from __future__ import annotations
@@ -37,6 +37,7 @@ SCOPE = 256
 LEAST = 5
 
 
+NO_LINKS = "array<struct<secret:struct<start:bigint,end:bigint>,identifier:struct<start:bigint,end:bigint>,endpoint:struct<start:bigint,end:bigint>>>"
 NO_SPANS = "array<struct<start:bigint,kind:int,end:bigint>>"
 
 
@@ -77,6 +78,27 @@ def _linked(parts: Column, scope: int) -> Column:
     return F.when(F.exists(parts, lambda p: p["kind"] >= base), kept).otherwise(parts)
 
 
+def _links(parts: Column, scope: int) -> Column:
+    """For each secret with an identifier or an endpoint in scope, the nearest of both, then the first."""
+    base = len(BASE)
+    reach = len(KINDS) * (scope // LEAST + 1)
+    near = lambda ps, i: F.slice(ps, F.greatest(i - reach, F.lit(0)) + 1, F.lit(2 * reach + 1))
+
+    def nearest(s: Column, around: Column, *kinds: int) -> Column:
+        met = F.filter(around, lambda o: o["kind"].isin(*kinds) & (F.abs(o["start"] - s["start"]) <= scope))
+        return F.array_min(F.transform(met, lambda o: F.struct(F.abs(o["start"] - s["start"]).alias("distance"), o["start"].alias("start"), o["kind"].alias("kind"), o["end"].alias("end"))))
+
+    def link(s: Column, around: Column) -> Column:
+        who, where = nearest(s, around, 1, base), nearest(s, around, base + 2)
+        span = lambda x: F.when(x.isNotNull(), F.struct(x["start"].alias("start"), x["end"].alias("end")))
+        return F.struct(F.struct(s["start"].alias("start"), s["end"].alias("end")).alias("secret"), span(who).alias("identifier"), span(where).alias("endpoint"))
+
+    made = let(parts, lambda ps: F.transform(ps, lambda p, i: F.when(p["kind"].isin(0, 2, base + 1), link(p, near(ps, i)))))
+    whole = F.filter(made, lambda m: m["identifier"].isNotNull() | m["endpoint"].isNotNull())
+    other = lambda p: p["kind"].isin(1, base, base + 2)
+    return F.when(F.exists(parts, other), whole).otherwise(F.array().cast(NO_LINKS))
+
+
 def _redacted(text: Column, spans: Column, mark: str) -> Column:
     """The text with every stretch that spans cover replaced by a mark."""
     ends = F.transform(spans, lambda s: s["end"])
@@ -89,7 +111,10 @@ def _redacted(text: Column, spans: Column, mark: str) -> Column:
 
 
 def scan_secrets(docs: DataFrame, scope: int = SCOPE, mark: str = "[SECRET]") -> DataFrame:
-    """docs with secret_spans (start, kind, end; by start, then kind) and redacted_text."""
+    """docs with secret_spans (start, kind, end; by start, then kind), secret_links and redacted_text.
+
+    A link joins a secret with the nearest identifier and the nearest endpoint in its scope; either may be missing.
+    """
     names = F.array(*[F.lit(k[0]) for k in KINDS])
     kept = docs.select(boxed(docs), F.coalesce(F.col("text"), F.lit("")).alias("text_"))
     kept = kept.withColumns({f"k{i}_": _spans(F.col("text_"), i) for i in range(len(KINDS))})
@@ -97,8 +122,8 @@ def scan_secrets(docs: DataFrame, scope: int = SCOPE, mark: str = "[SECRET]") ->
     kept = kept.withColumn("parts_", _linked(F.col("parts_"), scope))
     named = F.transform(F.col("parts_"), lambda p: F.struct(p["start"].alias("start"), names[p["kind"]].alias("kind"), p["end"].alias("end")))
     redacted = F.when(F.col("row_.text").isNotNull(), _redacted(F.col("text_"), F.col("parts_"), mark))
-    own = ("secret_spans", "redacted_text")
-    return kept.select(*unboxed(docs, own), named.alias("secret_spans"), redacted.alias("redacted_text"))
+    own = ("secret_spans", "secret_links", "redacted_text")
+    return kept.select(*unboxed(docs, own), named.alias("secret_spans"), _links(F.col("parts_"), scope).alias("secret_links"), redacted.alias("redacted_text"))
 
 
 def redact_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
