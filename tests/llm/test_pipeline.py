@@ -9,8 +9,9 @@ def test_each_stage_on_its_own_input(spark, tmp_path, odd_rows):
     rows += [(400 + i, rows[i][1] + " end", "en", "s1", 1) for i in range(10)]
     rows += [(500, rows[20][1] + " token = abcdef123456 done", "en", "s2", 1)]
     rows += [(600 + i, "junk " * 80, "en", "s3", 1) for i in range(3)]
-    rows += [(i, None if t is None else t[:2000], "en", s, 1) for i, t, s in odd_rows]
-    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows += [(i, t, "en", s, 1) for i, t, s in odd_rows]
+    rows = [(*r, True, 0.5, "c", 7, "n", "s") for r in rows]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, score double, component_id string, copy_ int, node string, secret_spans string"
     spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(100 + i, 1, 0) for i in range(80)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
 
@@ -32,6 +33,11 @@ def test_each_stage_on_its_own_input(spark, tmp_path, odd_rows):
     for p in seen["packing"]:
         tokens.setdefault(p["sequence_id"], []).append(p["length"])
     assert all(sum(n) <= 4096 for n in tokens.values())
+    copies = {}
+    for p in seen["packing"]:
+        copies.setdefault(p["example_id"], []).append(p)
+    assert len(copies) == len(seen["mixing"])  # every copy is packed whole and is told apart
+    assert all(sorted(i for p in ps for i in range(p["start"], p["start"] + p["length"])) == list(range(ps[0]["doc_tokens"])) for ps in copies.values())
     whole = C.run(spark, str(tmp_path))
     assert whole.count() == len(seen["packing"]) and sum(r["length"] for r in whole.collect()) == sum(map(sum, tokens.values()))
 
