@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text as T
-from tallyloom.operators.resolve import conflicts
+from tallyloom.operators.resolve import conflicts, word_pairs
 
 #: Characters of a name that texts and names are joined on.
 GRAM = 3
@@ -74,14 +74,8 @@ def substituted(members: DataFrame, owned: DataFrame, swaps: DataFrame, key: str
 
 
 def fuzzy_best(rows: DataFrame, products: DataFrame, block: list[str], key: str, product: str, tokens: str, least: int, rigid: frozenset[str] = frozenset()) -> DataFrame:
-    """(key, product, shared): for each row the similar product of its block that shares most words, then the least id.
-
-    Words are exploded into the join's key, with pairs of words glued, so only pairs that share a word meet.
-    """
-    keys = lambda c: F.array_distinct(F.concat(c, F.flatten(F.transform(c, lambda x: F.transform(c, lambda y: F.concat(x, y))))))
-    spread = rows.select(*block, key, F.explode(keys(F.col(tokens))).alias("token_"))
-    other = products.select(*block, product, F.explode(keys(F.col(tokens))).alias("token_"))
-    pairs = spread.join(other, [*block, "token_"]).select(key, product).distinct()
+    """(key, product, shared): for each row the similar product of its block that shares most words, then the least id."""
+    pairs = word_pairs(rows, products, block, key, product, tokens, least)
     sides = pairs.join(rows.select(key, F.col(tokens).alias("x_")), key).join(products.select(product, F.col(tokens).alias("y_")), product)
     fine = sides.filter(T.tokens_similar(least, rigid)("x_", "y_")).withColumn("shared", T.shared_words()("x_", "y_"))
     best = fine.groupBy(key).agg(F.min(F.struct((-F.col("shared")).alias("less"), F.col(product).alias("id"))).alias("b_"))

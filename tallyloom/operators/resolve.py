@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.operators.catalog import best_per
@@ -75,15 +76,29 @@ def block_pairs(rows: DataFrame, block: str, key: str, fine: Column, parts: int
     return dealt.alias("l").join(dealt.alias("r"), same & once & (F.col(f"l.{key}") < F.col(f"r.{key}")) & fine)
 
 
-def similar_pairs(rows: DataFrame, block: list[str], key: str, tokens: str, similar) -> DataFrame:
-    """Pairs (a, b) within a block that share a token and pass a pandas UDF over both token arrays.
+def word_pairs(left: DataFrame, right: DataFrame, block: list[str], left_key: str, right_key: str, tokens: str, least: int) -> DataFrame:
+    """Distinct pairs of keys of a block that may share ``least`` words; a word that two of the other side make up counts.
 
-    Tokens are exploded into the join's key, so only pairs that share one are formed, and native filters run first. Pairs
-    of tokens are keys too, glued, as they may make up a token of the other side.
+    If two rows share so many words, they share one of the rarest size - least + 1 of either (words ordered by how many rows
+    have them, the same for all), so a word that most rows have is no join key unless rows have little else. Words made up
+    of two meet by the glued pairs, which are keys against the plain words of the other side.
     """
-    glued = F.flatten(F.transform(tokens, lambda x: F.transform(tokens, lambda y: F.concat(x, y))))
-    spread = rows.select(*block, key, F.explode(F.array_distinct(F.concat(tokens, glued))).alias("token_"))
-    other = spread.withColumnRenamed(key, "b")
-    pairs = spread.withColumnRenamed(key, "a").join(other, [*block, "token_"]).filter("a < b").select("a", "b").distinct()
-    sides = pairs.join(rows.select(F.col(key).alias("a"), F.col(tokens).alias("x_")), "a").join(rows.select(F.col(key).alias("b"), F.col(tokens).alias("y_")), "b")
-    return sides.filter(similar("x_", "y_")).select("a", "b")
+    words = lambda rows, key: rows.select(*block, F.col(key).alias("k_"), F.size(F.array_distinct(tokens)).alias("n_"), F.explode(F.array_distinct(tokens)).alias("w_"))
+    a, b = words(left, left_key), words(right, right_key)
+    often = a.union(b).groupBy(*block, "w_").agg(F.count("*").alias("often_"))
+    rarest = F.row_number().over(W.partitionBy("k_").orderBy("often_", "w_"))
+    rare = lambda side: side.join(often, [*block, "w_"]).withColumn("nth_", rarest).filter(F.col("nth_") <= F.col("n_") - least + 1)
+    glue = F.flatten(F.transform(tokens, lambda x: F.transform(tokens, lambda y: F.concat(x, y))))
+    glued = lambda rows, key: rows.select(*block, F.col(key).alias("k_"), F.explode(F.array_distinct(glue)).alias("w_"))
+    side = lambda rows, name: rows.select(*block, "w_", F.col("k_").alias(name))
+    meet = lambda x, y: side(x, "l_").join(side(y, "r_"), [*block, "w_"]).select("l_", "r_")
+    pairs = meet(rare(a), rare(b)).union(meet(glued(left, left_key), b)).union(meet(a, glued(right, right_key)))
+    return pairs.distinct().select(F.col("l_").alias(left_key), F.col("r_").alias(right_key))
+
+
+def similar_pairs(rows: DataFrame, block: list[str], key: str, tokens: str, similar, least: int = 1) -> DataFrame:
+    """Pairs (a, b) within a block that pass a pandas UDF over both token arrays, which asks for ``least`` shared words."""
+    one, other = rows.withColumnRenamed(key, "one_"), rows.withColumnRenamed(key, "other_")
+    pairs = word_pairs(one, other, block, "one_", "other_", tokens, least).filter("one_ < other_")
+    sides = pairs.join(one.select("one_", F.col(tokens).alias("x_")), "one_").join(other.select("other_", F.col(tokens).alias("y_")), "other_")
+    return sides.filter(similar("x_", "y_")).select(F.col("one_").alias("a"), F.col("other_").alias("b"))

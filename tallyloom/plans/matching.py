@@ -45,7 +45,7 @@ def token_clusters(spark, d):
     """Clusters of listings of a work and a scale whose words are similar."""
     part = table(spark, d, "part").withColumn("scale", F.col("p_size") % 3)
     rows = part.groupBy("p_brand", "scale", "p_name", "p_type").agg(F.min("p_partkey").alias("id")).withColumn("toks", _tokens())
-    return R.clusters(R.similar_pairs(rows, ["p_brand", "scale"], "id", "toks", T.tokens_similar(2, _RIGID)))
+    return R.clusters(R.similar_pairs(rows, ["p_brand", "scale"], "id", "toks", T.tokens_similar(2, _RIGID), 2))
 
 
 _SIDES = f"""l AS (SELECT p_partkey AS id, p_brand, p_size % 3 AS scale, {_TOKENS} AS toks FROM part WHERE p_partkey % 5 = 0),

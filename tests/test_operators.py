@@ -250,3 +250,17 @@ def test_source_chain_says_which_failed():
         raise OSError("down")
 
     assert S.first_that_reads([broken], failures) is None and [(i, type(e)) for i, e in failures] == [(0, OSError)]
+
+
+def test_word_pairs_against_all_pairs(spark):
+    """Every pair that shares enough words meets, words that two of the other side make up included."""
+    from tallyloom.functions import text as T
+
+    rng = random.Random(17)
+    vocabulary = ["the", "the", "the", "aa", "bb", "aabb", "bbaa", "cc", "dd", "ccdd", "ee"]
+    rows_ = [(i, i % 2, sorted({rng.choice(vocabulary) for _ in range(4)})) for i in range(80)]
+    df = spark.createDataFrame(rows_, "id int, b int, toks array<string>")
+    for least in (1, 2, 3):
+        got = {tuple(r) for r in R.similar_pairs(df, ["b"], "id", "toks", T.tokens_similar(least), least).collect()}
+        want = {(i, j) for i, b, x in rows_ for j, c, y in rows_ if i < j and b == c and T.similar_words(x, y, least)}
+        assert got == want and want
