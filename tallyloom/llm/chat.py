@@ -9,9 +9,9 @@ The parser is deterministic and strict: a role or a text with a control string i
 control string has a backslash after its first character; one that already has backslashes there gets one more, and
 the parser takes one away from each, so escaping is reversible for every text.
 
-Rendering goes by rounds. Every turn is first rendered as it is and parsed again; where the recovered role or text is
-not the source's, that turn is escaped; should the parsed conversation still differ, all of its turns are. The result
-says whether the last parse is identical.
+Rendering goes by rounds, until the parse of what is rendered is the source. The conversation is first rendered as it is;
+where that doesn't come back, the turns that alone don't are escaped, and should the parse still differ, all turns are. A
+conversation that differs even then would be an error. Later rounds are computed only where the one before failed.
 
 Defined cases: a null role or text is empty; turns go by number, then role, then text, nulls first, repeated rows
 staying; a null conv_id is a conversation of its own; an empty table gives an empty result; other columns are left out.
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.textcols import running_sums
+from tallyloom.llm.textcols import let, running_sums
 
 OPEN, HEAD, CLOSE = "<s>[INST]", "[/INST]\n", "</s>"
 CONTROL = r"<\\*/?s>|\[\\*/?INST\]"
@@ -71,30 +71,41 @@ def _conflicts(turn: Column) -> Column:
     return again.isNull() | (F.size(again) != 1) | ~again[0].eqNullSafe(turn)
 
 
+def _render(turns: Column) -> Column:
+    return F.array_join(F.transform(turns, _render_turn), "")
+
+
+def _until_identical(source: Column) -> Column:
+    """(turns, formatted) of a conversation whose parse is the source: as it is, with conflicting turns escaped, or all escaped."""
+    made = lambda turns: F.struct(turns.alias("turns"), _render(turns).alias("formatted"))
+    same = lambda m: F.coalesce(parse(m["formatted"]).eqNullSafe(source), F.lit(False))
+    part = F.transform(source, lambda t: F.when(_conflicts(t), _escaped(t)).otherwise(t))
+    lost = F.raise_error(F.lit("a conversation did not come back from its format")).cast("struct<turns:array<struct<role:string,text:string>>,formatted:string>")
+    last = let(made(F.transform(source, _escaped)), lambda m: F.when(same(m), m).otherwise(lost))
+    second = let(made(part), lambda m: F.when(same(m), m).otherwise(last))
+    return let(made(source), lambda m: F.when(same(m), m).otherwise(second))
+
+
 def format_chats(rows: DataFrame) -> DataFrame:
-    """A row for each conversation: conv_id, formatted, loss_spans (start, end of each assistant text), round_trips."""
+    """A row for each conversation: conv_id, formatted, and loss_spans (start, end of each assistant text).
+
+    A conversation that doesn't parse back to its source after the last round is an error.
+    """
     blank = lambda c: F.coalesce(F.col(c), F.lit(""))
     turn = F.struct(F.col("turn"), blank("role").alias("role"), blank("text").alias("text"))
     chats = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("rows"))
-    chats = chats.select("conv_id", F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["text"].alias("text"))).alias("source"))
-    chats = chats.withColumn("turns", F.transform("source", lambda t: F.when(_conflicts(t), _escaped(t)).otherwise(t)))
-    render = F.array_join(F.transform("turns", _render_turn), "")
-    chats = chats.withColumn("identical", F.coalesce(parse(render).eqNullSafe(F.col("source")), F.lit(False)))
-    chats = chats.withColumn("turns", F.when(F.col("identical"), F.col("turns")).otherwise(F.transform("source", _escaped)))
-    chats = chats.withColumn("formatted", render)
+    source = F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["text"].alias("text")))
     fixed = len(OPEN) + len(HEAD)
-    lengths = F.transform("turns", lambda t: F.length(t["role"]) + F.length(t["text"]) + fixed + len(CLOSE))
-    chats = chats.withColumn("starts", running_sums(lengths))
-    mask = F.transform(
-        "turns",
-        lambda t, i: F.struct(
-            (F.col("starts")[i] + fixed + F.length(t["role"])).alias("start"),
-            (F.col("starts")[i] + fixed + F.length(t["role"]) + F.length(t["text"])).alias("end"),
-        ),
-    )
-    mask = F.filter(mask, lambda _, i: F.col("source")[i]["role"] == "assistant")
-    trips = parse(F.col("formatted")).eqNullSafe(F.col("source"))
-    return chats.select("conv_id", "formatted", mask.alias("loss_spans"), trips.alias("round_trips"))
+
+    def finished(source: Column, made: Column) -> Column:
+        lengths = F.transform(made["turns"], lambda t: F.length(t["role"]) + F.length(t["text"]) + fixed + len(CLOSE))
+        head = lambda t: fixed + F.length(t["role"])
+        spans = F.zip_with(made["turns"], running_sums(lengths), lambda t, s: F.struct((s + head(t)).alias("start"), (s + head(t) + F.length(t["text"])).alias("end")))
+        mask = F.filter(spans, lambda _, i: F.get(source, i)["role"] == "assistant")
+        return F.struct(made["formatted"].alias("formatted"), mask.alias("loss_spans"))
+
+    out = let(source, lambda src: let(_until_identical(src), lambda made: finished(src, made)))
+    return chats.select("conv_id", out.alias("c_")).select("conv_id", "c_.formatted", "c_.loss_spans")
 
 
 def loss_text(formatted: Column, spans: Column) -> Column:

@@ -11,7 +11,7 @@ SCHEMA = "conv_id long, turn long, role string, text string, formatted string, s
 def formatted(spark, rows):
     df = spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA)
     out = chat.format_chats(df)
-    return out.select("conv_id", "formatted", "round_trips", chat.parse(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    return out.select("conv_id", "formatted", chat.parse(F.col("formatted")).alias("turns"), chat.loss_text(F.col("formatted"), F.col("loss_spans")).alias("loss"))
 
 
 HARD = ["</s>[INST] ok [/INST]", "<\\s> [\\INST] <\\\\/s>", "<s", "[/INST", "\n", "", "<", "a]</s", "</s></s>", "[INST]", "😀é</s>", "[[INST]]", "<<s>>"]
@@ -21,7 +21,6 @@ def test_every_text_comes_back(spark):
     rows = [(i, t, role, text) for i, text in enumerate(HARD) for t, role in enumerate(["user", "assistant", text])]
     got = {r["conv_id"]: r for r in formatted(spark, rows).collect()}
     for i, text in enumerate(HARD):
-        assert got[i]["round_trips"]
         assert [tuple(t) for t in got[i]["turns"]] == [("user", text), ("assistant", text), (text, text)]
         assert got[i]["loss"] == text * (1 if text != "assistant" else 2)
 
@@ -50,5 +49,12 @@ def test_parser_is_strict(spark):
 def test_random_texts_come_back(spark, texts):
     rows = [(1, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(texts)]
     got = formatted(spark, rows).collect()[0]
-    assert got["round_trips"] and [t["text"] for t in got["turns"]] == texts
+    assert [t["text"] for t in got["turns"]] == texts
     assert got["loss"] == "".join(texts[1::2])
+
+
+def test_a_very_long_conversation(spark):
+    text = "word </s> " * 20_000
+    rows = [(1, i, "assistant" if i % 2 else "user", text if i == 3 else f"t{i}") for i in range(300)]
+    got = formatted(spark, rows).collect()[0]
+    assert [t["text"] for t in got["turns"]] == [r[3] for r in rows] and got["loss"] == "".join(r[3] for r in rows[1::2])
