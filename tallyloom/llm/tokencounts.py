@@ -1,23 +1,25 @@
 """Token totals by source, language and tokenizer version, maintained by signed deltas.
 
 A batch of changes holds inserts, deletes and revised counts. It is summed to one small row for each key and written to
-its own folder of the rollup, named by the batch's id. Totals are the sums over all committed batches, so they are
-additive, and a batch that is committed again (after a failure, or by mistake) changes nothing: a folder with its
-success mark is left as it is, one without is overwritten. Changes are pre-aggregated before they are shuffled, so a key
+its own folder of the rollup, named by the batch's id once it is finished. Totals are the sums over all committed batches,
+so they are additive, and a batch that is committed again (after a failure, or by mistake) changes nothing. Changes are pre-aggregated before they are shuffled, so a key
 that holds most rows costs a row for each task.
 
 Defined cases: a null text has 0 tokens; null sources, languages and versions are keys of their own; a null count is 0;
-an unknown kind of change is an error; repeated rows count each; a key whose totals are all zero is left out; an empty
+an unknown kind of change and a delete of what was never inserted are errors; repeated rows count each; a key whose totals are all zero is left out; an empty
 batch is committed and empty; an empty rollup gives an empty result; other columns take no part.
 """
 
 from __future__ import annotations
 
+import uuid
+from urllib.parse import quote
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.staging import new_path
+from tallyloom.llm.staging import new_path, staged
 from tallyloom.llm.tokens import tokenizer_path, word_tokenizer
 
 KEYS = ("source", "lang", "version")
@@ -46,30 +48,80 @@ def deltas(changes: DataFrame) -> DataFrame:
 
 
 class Rollup:
-    """A folder with one folder of deltas for each committed batch."""
+    """A folder with one folder of deltas for each committed batch, and one of sums for each compaction.
+
+    A folder counts from the moment it has its name: it is written under another one and renamed when it is finished, so
+    an interrupted batch never counts, and of two drivers that commit one batch the later one finds it done.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-
-    def _exists(self, path: str) -> bool:
-        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+        jvm = spark.sparkContext._jvm
+        self._at = jvm.org.apache.hadoop.fs.Path
+        self._files = self._at(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _named(self, kind: str) -> list[str]:
+        if not self._files.exists(self._at(self.path)):
+            return []
+        names = [f.getPath().getName() for f in self._files.listStatus(self._at(self.path))]
+        return sorted(n for n in names if n.startswith(f"{kind}="))
+
+    def _publish(self, parts: dict[str, DataFrame], name: str) -> bool:
+        """Writes tables into a new folder and gives it its name; False if the name is taken."""
+        fresh = uuid.uuid4().hex
+        for part, rows in parts.items():
+            rows.coalesce(1).write.parquet(f"{self.path}/_new/{fresh}/{part}")
+        done = self._at(f"{self.path}/{name}")
+        if not self._files.exists(done) and self._files.rename(self._at(f"{self.path}/_new/{fresh}"), done):
+            inside = self._at(f"{self.path}/{name}/{fresh}")  # a rename onto a folder moves into it
+            if not self._files.exists(inside):
+                return True
+            self._files.delete(inside, True)
+        self._files.delete(self._at(f"{self.path}/_new/{fresh}"), True)
+        return False
+
+    def _state(self) -> tuple[str | None, list[str]]:
+        """The last compaction, and the batches that it doesn't hold."""
+        last = (self._named("upto") or [None])[-1]
+        held = {r["name"] for r in self.spark.read.parquet(f"{self.path}/{last}/names").collect()} if last else set()
+        return last, [n for n in self._named("batch") if n not in held]
+
+    def _name(self, batch_id: str) -> str:
+        return f"batch={quote(batch_id, safe='')}"
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
-        """Adds a batch; False if it was committed before."""
-        path = f"{self.path}/batch={batch_id}"
-        if self._exists(f"{path}/_SUCCESS"):
+        """Adds a batch; False if it was committed before. A batch that would make a total negative is an error."""
+        name = self._name(batch_id)
+        last, _ = self._state()
+        held = last and not self.spark.read.parquet(f"{self.path}/{last}/names").filter(F.col("name") == name).isEmpty()
+        if held or self._files.exists(self._at(f"{self.path}/{name}")):
+            return False
+        sums = staged(deltas(changes), "deltas")
+        after = self.totals().unionByName(sums).groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+        wrong = after.filter("docs < 0 or tokens < 0").take(1)
+        if wrong:
+            raise ValueError(f"batch {batch_id} takes away what isn't there: {wrong[0].asDict()}")
+        return self._publish({"sums": sums}, name)
+
+    def compact(self) -> bool:
+        """Sums all committed batches into one folder; totals and commits then read that in their place."""
+        last, batches = self._state()
+        if not batches:
             return False
-        deltas(changes).coalesce(1).write.mode("overwrite").parquet(path)
-        return True
+        number = int(last.split("=")[1]) + 1 if last else 1
+        names = self.spark.createDataFrame([(n,) for n in self._named("batch")], "name string")
+        if last:
+            names = names.union(self.spark.read.parquet(f"{self.path}/{last}/names")).distinct()
+        return self._publish({"sums": self.totals(), "names": names}, f"upto={number:012d}")
 
     def totals(self) -> DataFrame:
         """source, lang, version, docs and tokens over all committed batches."""
-        if not self._exists(self.path):
+        last, batches = self._state()
+        folders = [f"{self.path}/{n}/sums" for n in [*([last] if last else []), *batches]]
+        if not folders:
             return self.spark.createDataFrame([], SUMS)
-        rows = self.spark.read.schema(SUMS).option("recursiveFileLookup", "true").parquet(self.path)
-        sums = rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        return sums.filter("docs <> 0 or tokens <> 0")
+        sums = self.spark.read.schema(SUMS).parquet(*folders).groupBy(*KEYS)
+        return sums.agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs <> 0 or tokens <> 0")
 
 
 def new_rollup(spark: SparkSession) -> Rollup:

@@ -38,3 +38,31 @@ def test_a_batch_that_failed_is_written_anew(spark):
         rollup.commit("1", spark.createDataFrame([("insert", "a", "en", "v1", 1, None), ("upsert", "a", "en", "v1", 1, None)], CHANGE))
     assert rollup.commit("1", spark.createDataFrame([("insert", "a", "en", "v1", 3, None)], CHANGE))
     assert [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "v1", 1, 3)]
+
+
+def test_only_finished_batches_count(spark):
+    """A folder that was being written counts neither by name nor by what lies in it."""
+    rollup = new_rollup(spark)
+    one = spark.createDataFrame([("insert", "a", "en", "v1", 3, None)], CHANGE)
+    assert rollup.commit("a/b c=1", one) and not rollup.commit("a/b c=1", one)
+    one.selectExpr("source", "lang", "version", "1L as docs", "100L as tokens").write.parquet(f"{rollup.path}/_new/half/sums")
+    assert [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "v1", 1, 3)]
+
+
+def test_what_isnt_there_cannot_be_deleted(spark):
+    rollup = new_rollup(spark)
+    with pytest.raises(ValueError, match="isn't there"):
+        rollup.commit("1", spark.createDataFrame([("delete", "a", "en", "v1", 3, None)], CHANGE))
+    assert rollup.totals().count() == 0
+
+
+def test_compaction_changes_no_total_and_keeps_batches_committed(spark):
+    rollup = new_rollup(spark)
+    batch = lambda n: spark.createDataFrame([("insert", "a", "en", "v1", n, None)], CHANGE)
+    assert not rollup.compact()
+    for n in (1, 2):
+        rollup.commit(f"b{n}", batch(n))
+    assert rollup.compact() and not rollup.compact()
+    assert not rollup.commit("b1", batch(1)) and rollup.commit("b3", batch(3)) and rollup.compact()
+    assert [tuple(r) for r in rollup.totals().collect()] == [("a", "en", "v1", 3, 6)]
+    assert not rollup.commit("b3", batch(3))
