@@ -29,7 +29,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.tokens import tokenizer_path, word_tokenizer
-from tallyloom.llm.words import forget
 
 #: Tokens that a task gathers before it packs them, and the share of them that it keeps back for later.
 CHUNK, RESERVE = 2_000_000, 0.5
@@ -186,7 +185,8 @@ def _packed(path: str, limits: Limits, end_id: int, chunk: int):
                     held = {e: held[e] for e in later}
                     rows, size = [], packer.tokens
         yield batch(rows + packer.pack() + packer.tail())
-        forget()
+        del held, packer
+        tokenizer.rest()
 
     return run
 
