@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import chat, oracles
@@ -13,8 +13,10 @@ from tallyloom.llm.neardup import near_duplicates
 from tallyloom.llm.packing import pack_documents
 from tallyloom.llm.passages import repeated_passages
 from tallyloom.llm.quality import quality_rules
+from tallyloom.llm.runs import periodic_runs
 from tallyloom.llm.secrets import BASE, scan_secrets
 from tallyloom.llm.staging import staged
+from tallyloom.llm.textcols import GAP, let
 from tallyloom.llm.tokencounts import count_tokens, new_rollup
 
 
@@ -134,6 +136,41 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_table(spark, sf_dir, "documents"))
 
 
+def _planted_repeats() -> Column:
+    """The text; of every tenth document by the checksum of its id, with its last words repeating a stretch of them."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words)
+        a = F.pmod(g, n)
+        p = F.lit(1) + F.floor((n - a) / (F.lit(3) + F.pmod(g, F.lit(8))))
+        word = lambda i: F.get(words, F.when(i < a, i).otherwise(a + F.pmod(i - a, p)).cast("int"))
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), word), " "))
+
+    words = F.filter(F.split("text", GAP), lambda w: w != "")
+    return F.when(F.pmod(h, F.lit(10)) == 0, let(words, repeated)).otherwise(F.col("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs in every document (of every tenth with repeats planted): number, longest, digest of all, digest of the rest."""
+    found = periodic_runs(_table(spark, sf_dir, "documents").withColumn("text", _planted_repeats()))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"], r["start"], r["period"])))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    listed = F.array_join(F.transform("runs", line), "")
+    found = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), longest.alias("top"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return found.select(
+        "doc_id",
+        "n_runs",
+        "top.start",
+        "top.length",
+        "top.period",
+        F.expr("1000 * top.length div top.period").alias("exponent_milli"),
+        "runs_sha256",
+        "collapsed_sha256",
+    )
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_secret_scan": op2_secret_scan,
@@ -145,6 +182,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_nearest": op9_nearest,
     "op10_passages": op10_passages,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 ORACLES = {
     "op2_secret_scan": oracles.OP2,
