@@ -147,3 +147,43 @@ FROM d LEFT JOIN s USING (rid)
 
 
 OP4 = _op4()
+
+#: Phrases of two to four words within pieces, counted as texts; every cut; the greatest count of a longer phrase around each.
+OP13 = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), cut AS (
+  SELECT lang, row_number() OVER () AS id, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS ws FROM pieces
+), words AS (
+  SELECT lang, id, unnest(ws) AS w1, generate_subscripts(ws, 1) AS i FROM cut
+), ahead AS (
+  SELECT lang, w1, lead(w1, 1) OVER here AS w2, lead(w1, 2) OVER here AS w3, lead(w1, 3) OVER here AS w4 FROM words WINDOW here AS (PARTITION BY id ORDER BY i)
+), grams AS (
+  SELECT lang, 1 AS m, w1 AS phrase FROM ahead
+  UNION ALL SELECT lang, 2, w1 || ' ' || w2 FROM ahead WHERE w2 IS NOT NULL
+  UNION ALL SELECT lang, 3, w1 || ' ' || w2 || ' ' || w3 FROM ahead WHERE w3 IS NOT NULL
+  UNION ALL SELECT lang, 4, w1 || ' ' || w2 || ' ' || w3 || ' ' || w4 FROM ahead WHERE w4 IS NOT NULL
+), f AS (
+  SELECT lang, m, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 30
+), totals AS (
+  SELECT lang, sum(len(ws))::BIGINT AS n FROM cut GROUP BY lang
+), candidates AS (
+  SELECT lang, m, phrase, a, string_split(phrase, ' ') AS ws FROM f WHERE m >= 2
+), around AS (
+  SELECT lang, array_to_string(ws[j : j + size - 1], ' ') AS phrase, max(a) AS longer
+  FROM candidates, (SELECT unnest([1, 2, 3]) AS j), (SELECT unnest([2, 3]) AS size)
+  WHERE size < m AND j + size - 1 <= m GROUP BY ALL
+), cuts AS (
+  SELECT c.lang, c.phrase, c.a, k, l.a AS l, r.a AS r, ((c.a::HUGEINT * 2000000) // (l.a + r.a)::HUGEINT)::BIGINT AS score
+  FROM candidates c, (SELECT unnest([1, 2, 3]) AS k), f l, f r
+  WHERE k < c.m AND l.lang = c.lang AND r.lang = c.lang AND l.phrase = array_to_string(c.ws[1 : k], ' ') AND r.phrase = array_to_string(c.ws[k + 1 : c.m], ' ')
+), best AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), ranked AS (
+  SELECT b.lang, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank, b.phrase, b.a, b.l, b.r, t.n, b.score
+  FROM best b JOIN totals t ON t.lang = b.lang LEFT JOIN around o ON o.lang = b.lang AND o.phrase = b.phrase
+  WHERE o.longer IS NULL OR 100 * o.longer < 80 * b.a
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+"""

@@ -12,6 +12,7 @@ from tallyloom.llm.mixing import mix_sources
 from tallyloom.llm.neardup import near_duplicates
 from tallyloom.llm.packing import pack_documents
 from tallyloom.llm.passages import repeated_passages
+from tallyloom.llm.phrases import collocations
 from tallyloom.llm.quality import quality_rules
 from tallyloom.llm.runs import periodic_runs
 from tallyloom.llm.secrets import BASE, scan_secrets
@@ -171,6 +172,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2000 phrases of each language by how tightly their parts bind."""
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_secret_scan": op2_secret_scan,
@@ -183,10 +189,12 @@ QUERIES = {
     "op9_nearest": op9_nearest,
     "op10_passages": op10_passages,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 ORACLES = {
     "op2_secret_scan": oracles.OP2,
     "op3_chat_format": oracles.OP3,
     "op4_license_scan": oracles.OP4,
     "op5_source_mix": oracles.OP5,
+    "op13_phrase_collocations": oracles.OP13,
 }
