@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm import chat, oracles
 from tallyloom.llm.ann import nearest
+from tallyloom.llm.classifier import score_quality
 from tallyloom.llm.licenses import scan_licenses
 from tallyloom.llm.mixing import mix_sources
 from tallyloom.llm.neardup import near_duplicates
@@ -137,6 +138,14 @@ def op10_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_table(spark, sf_dir, "documents"))
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from the labels of four in five ids."""
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    scored = score_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), learned=~held_out)
+    predicted = F.when(F.col("score") >= 0.3, 1).otherwise(0)
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", predicted.alias("predicted"))
+
+
 def _planted_repeats() -> Column:
     """The text; of every tenth document by the checksum of its id, with its last words repeating a stretch of them."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -188,6 +197,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_nearest": op9_nearest,
     "op10_passages": op10_passages,
+    "op11_quality_classifier": op11_quality_classifier,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_phrase_collocations": op13_phrase_collocations,
 }
