@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.operators.intervals import meeting_pairs
+
 
 def tiered_lookup(left: DataFrame, left_id: str, masters: DataFrame, master_id: str, tiers: list[tuple[Column, Column, bool]]) -> DataFrame:
     """left_id, master and tier (from 1): the first tier whose key finds a master.
@@ -26,33 +28,15 @@ def overlapping(rows: DataFrame, starts: str, ends: str, first: Column, last: Co
     return rows.filter((F.col(starts) <= last) & (F.coalesce(ends, starts) >= first))
 
 
-def _week(day: Column) -> Column:
-    return F.floor(F.datediff(day, F.lit("1970-01-04")) / 7)
-
-
-def covered_elsewhere(rows: DataFrame, key: str, kind: str, source: str, starts: str, ends: str) -> DataFrame:
-    """Rows that another source's row of the same kind overlaps; repeated rows stay as often as they are there.
-
-    Rows are spread over the weeks they touch, so that the join has an equality to shuffle on; no pair leaves the join, and
-    the keys found (key tells rows apart, or equal rows share one) pick the rows.
-    """
-    spread = rows.select(key, kind, source, starts, ends, F.explode(F.sequence(_week(F.col(starts)), _week(F.col(ends)))).alias("week_"))
-    other = spread.select(F.col("week_").alias("w2_"), F.col(kind).alias("k2_"), F.col(source).alias("s2_"), F.col(starts).alias("a2_"), F.col(ends).alias("b2_"))
-    met = (F.col("week_") == F.col("w2_")) & (F.col(kind) == F.col("k2_")) & (F.col(source) != F.col("s2_")) & (F.col(starts) <= F.col("b2_")) & (F.col(ends) >= F.col("a2_"))
-    return rows.join(spread.join(other, met, "left_semi").select(key).distinct(), key, "left_semi")
-
-
 def season_match(rows: DataFrame, seasons: DataFrame, row_id: str) -> DataFrame:
     """rows (number, starts, ends, name) with the season of the same number, or else the first that overlaps, by name first.
 
-    Intervals meet by the weeks they touch, so the join has an equality.
+    Intervals meet by the dyadic ranges that make them up, so the join has equalities and long intervals few keys.
     """
     by_number = rows.join(seasons.filter("number is not null").groupBy("number").agg(F.min("season").alias("by_number")), "number", "left")
-    weeks = lambda: F.explode(F.sequence(_week(F.col("starts")), _week(F.col("ends")))).alias("week_")
-    open_ = by_number.filter("by_number is null").select(row_id, "starts", "ends", "name", weeks())
-    spans = seasons.select(F.col("season").alias("by_span"), "starts", "ends", "name", weeks())
-    spans = spans.select("by_span", "week_", F.col("starts").alias("s_starts"), F.col("ends").alias("s_ends"), F.col("name").alias("s_name"))
-    found = open_.join(spans, "week_").filter((F.col("s_starts") <= F.col("ends")) & (F.col("s_ends") >= F.col("starts")))
+    open_ = by_number.filter("by_number is null").select(row_id, "starts", "ends", "name")
+    spans = seasons.select(F.col("season").alias("by_span"), F.col("starts").alias("s_starts"), F.col("ends").alias("s_ends"), F.col("name").alias("s_name"))
+    found = meeting_pairs(open_, ("starts", "ends"), spans, ("s_starts", "s_ends"))
     first = F.struct((~F.coalesce(F.col("name") == F.col("s_name"), F.lit(False))).alias("other"), "s_starts", "by_span")
     found = found.groupBy(row_id).agg(F.min(first)["by_span"].alias("by_span"))
     return by_number.join(found, row_id, "left").select(row_id, F.coalesce("by_number", "by_span").alias("season"))

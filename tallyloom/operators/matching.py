@@ -2,28 +2,68 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from tallyloom.functions import text as T
 from tallyloom.operators.resolve import conflicts, word_pairs
 
-#: Characters of a name that texts and names are joined on.
+#: Characters that names are joined on where one begins with the other.
 GRAM = 3
+#: Bytes of names, about, that make up one automaton.
+PART_BYTES = 4_000_000
 
 
-def names_in_texts(texts: DataFrame, key: str, text: str, names: DataFrame, name_id: str, name: str) -> DataFrame:
-    """Pairs (key, name_id) where a text contains a name, in either case.
+def names_in_texts(texts: DataFrame, key: str, text: str, names: DataFrame, name_id: str, name: str, part_bytes: int = PART_BYTES) -> DataFrame:
+    """Distinct pairs (key, name_id) where a text contains a name, in either case; empty names are never found.
 
-    Every run of three characters of a text is a join key that meets the first three of the names, so no text is tried
-    against all names; names under three characters are never found.
+    All names are one automaton (a trie whose nodes know where to go on when a letter doesn't fit), so a text is read
+    once, whatever the number of names, and never copied. Names of more than part_bytes are dealt by their hashes into
+    several automata, each over all texts, so what a task holds stays bounded.
     """
-    low = F.lower(F.col(text))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - GRAM + 1, F.lit(1))), lambda i: F.substring(low, i, F.lit(GRAM))))
-    spread = texts.select(key, low.alias("low_"), F.explode(grams).alias("gram_"))
-    heads = names.filter(F.length(name) >= GRAM).select(name_id, F.lower(name).alias("name_"), F.lower(F.substring(F.col(name), 1, GRAM)).alias("gram_"))
-    return spread.join(heads, "gram_").filter(F.contains("low_", F.col("name_"))).select(key, name_id)
+    listed = names.select(F.col(name_id).alias("id_"), F.lower(F.col(name)).alias("name_")).filter("name_ <> ''").distinct()
+    size = listed.agg(F.coalesce(F.sum(F.octet_length("name_") + 16), F.lit(0)).alias("n")).head()["n"]
+    parts = int(size // part_bytes) + 1
+    low = texts.select(F.col(key).alias("key_"), F.lower(F.col(text)).alias("text_")).filter("text_ <> ''")
+    types = {"key_": texts.schema[key].dataType, "id_": names.schema[name_id].dataType}
+    schema = StructType([StructField(n, t) for n, t in types.items()])
+    found = None
+    for part in range(parts):
+        own = listed if parts == 1 else listed.filter(F.pmod(F.xxhash64("name_"), F.lit(parts)) == part)
+        sent = texts.sparkSession.sparkContext.broadcast([(r["name_"], r["id_"]) for r in own.collect()])  # about part_bytes
+        one = low.mapInArrow(_scanned(sent, schema), schema)
+        found = one if found is None else found.union(one)
+    return found.select(F.col("key_").alias(key), F.col("id_").alias(name_id)).distinct()
+
+
+def _scanned(names, schema):
+    """Scans batches of (key, text) for names; one row for each text and id of a name in it."""
+
+    def run(batches):
+        import ahocorasick
+
+        ids: dict[str, list] = {}
+        for name, one in names.value:
+            ids.setdefault(name, []).append(one)
+        automaton = ahocorasick.Automaton()
+        for name, of in ids.items():
+            automaton.add_word(name, of)
+        automaton.make_automaton()
+        types = to_arrow_schema(schema)
+        for batch in batches:
+            rows, hits = [], []
+            for at, text in enumerate(batch.column(1)):
+                met = {one for _, of in automaton.iter(text.as_py()) for one in of} if ids else ()
+                rows += [at] * len(met)
+                hits += met
+            keys = batch.column(0).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([keys.cast(types.field(0).type), pa.array(hits, types.field(1).type)], schema=types)
+
+    return run
 
 
 def named_or_current(texts: DataFrame, key: str, text: str, events: DataFrame, event_id: str, name: str, order: list[Column], active: Column, generic: list[str]) -> DataFrame:
@@ -138,8 +178,8 @@ def tiers_of_names(texts: DataFrame, key: str, text: str, names: DataFrame, name
     """key, name_id and the tier (by) of the first that holds: the exact name; its key; the key without brackets; an alias;
     the only name that begins with the text's key; the only name within the text.
 
-    aliases: alias (a key) and name_id. Names are joined by equality in every tier; prefixes and contained names meet by
-    their first three characters.
+    aliases: alias (a key) and name_id. Names are joined by equality in every tier; prefixes meet by their first three
+    characters, contained names through one automaton.
     """
     own = texts.select(key, text, T.name_key(F.col(text)).alias("k_"), T.name_key(F.regexp_replace(F.col(text), r"\(.*\)", "")).alias("b_"))
     keyed = names.select(F.col(name_id).alias("i_"), F.col(name).alias("n_"), T.name_key(F.col(name)).alias("nk_"))

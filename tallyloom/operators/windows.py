@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -64,26 +61,6 @@ def restocked_first(rows: DataFrame, product: str, shop: str, order: str, there:
     return moved.withColumn("before_", F.coalesce(before, F.lit(0))).filter("delta_ = 1 and before_ = 0").drop("delta_", "before_")
 
 
-def assign_lanes(pieces: DataFrame) -> DataFrame:
-    """pieces (week, id, piece_start, piece_end) with the first lane that is free, week by week, earlier and longer first.
-
-    Each choice depends on those before it, so a week's pieces are placed in turn; a week is a small, bounded group.
-    """
-
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["piece_start", "piece_end", "id"], ascending=[True, False, True])
-        free, busy, lanes = [], [], []
-        for start, end in zip(pdf["piece_start"], pdf["piece_end"], strict=True):
-            while busy and busy[0][0] < start:
-                heapq.heappush(free, heapq.heappop(busy)[1])
-            lane = heapq.heappop(free) if free else len(busy)
-            heapq.heappush(busy, (end, lane))
-            lanes.append(lane)
-        return pdf.assign(lane=lanes)
-
-    return pieces.groupBy("week").applyInPandas(place, "week date, id long, piece_start date, piece_end date, lane int")
-
-
 def resolve_slots(slots: DataFrame) -> DataFrame:
     """slots (owned, chosen, candidates: array of owned ones) with the state and who fills it.
 

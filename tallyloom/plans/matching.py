@@ -10,9 +10,11 @@ from tallyloom.operators import ingest as I
 from tallyloom.operators import lookup as L
 from tallyloom.operators import matching as M
 from tallyloom.operators import resolve as R
+from tallyloom.operators.lineage import fresh_folder
 from tallyloom.plans.base import query
 from tallyloom.sources import readers, sinks
 from tallyloom.sources.tables import table
+from tallyloom.sources.versions import Versions
 
 _RIGID = frozenset(["red"])
 _TOKENS = "list_distinct(list_append(string_split(p_name, ' '), lower(p_type)))"
@@ -174,6 +176,22 @@ def linked_posts(spark, d):
     return M.linked_or_named(_posts(spark, d), "event_id", "said", "at", "link", events, "n_nationkey", "n_name", "starts")
 
 
+@query(
+    "texts_naming",
+    r"""
+WITH n AS (SELECT name, min(item_id) AS item_id FROM (SELECT item_id, lower(unnest(string_split(text, ' '))) AS name FROM benchmark) WHERE length(name) >= 2 GROUP BY 1)
+SELECT doc_id, count(*) AS n, min(item_id) AS first, sum(item_id)::BIGINT AS total FROM documents JOIN n ON contains(lower(text), name) GROUP BY 1
+""",
+)
+def texts_naming(spark, d):
+    """The names of a large dictionary (every word of the benchmark) that documents contain."""
+    words = table(spark, d, "benchmark").select("item_id", F.explode(F.split(F.lower("text"), " ")).alias("name")).filter(F.length("name") >= 2)
+    names = words.groupBy("name").agg(F.min("item_id").alias("item_id")).select("name", F.struct("item_id", "name").alias("item"))
+    found = M.names_in_texts(table(spark, d, "documents"), "doc_id", "text", names.withColumn("item", F.to_json("item")), "item", "name")
+    item = F.get_json_object("item", "$.item_id").cast("long")
+    return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(item).alias("first"), F.sum(item).alias("total"))
+
+
 @query(
     "party_names",
     """
@@ -473,6 +491,23 @@ def table_rows(spark, d):
     return rows.select("event_id", F.col("row")["code"].alias("code"), F.col("row")["reward"].alias("reward"))
 
 
+@query(
+    "published_versions",
+    """
+SELECT 1 AS version, count(*) AS n, round(sum(p_retailprice), 2) AS total FROM part
+UNION ALL SELECT 2, count(*), round(sum(p_retailprice * 2), 2) FROM part WHERE p_size > 10
+""",
+)
+def published_versions(spark, d):
+    """A table published twice; both versions are read after the second one."""
+    parts = table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice")
+    versions = Versions(spark, fresh_folder(spark, "versions"))
+    first = versions.publish(parts)
+    second = versions.publish(versions.read(first).filter("p_size > 10").withColumn("p_retailprice", F.col("p_retailprice") * 2), based_on=first)
+    of = lambda v: versions.read(v).agg(F.lit(v).alias("version"), F.count("*").alias("n"), F.round(F.sum("p_retailprice"), 2).alias("total"))
+    return of(first).union(of(second))
+
+
 @query(
     "source_chain",
     "SELECT s_suppkey AS id, 'main' AS source, 1 AS priority FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT s_suppkey, 'fans', 2 FROM supplier WHERE s_suppkey % 3 = 0",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import dates as D
 from tallyloom.operators import lookup as L
+from tallyloom.operators.intervals import meeting_pairs, met_elsewhere
 from tallyloom.plans.base import query
 from tallyloom.sources.tables import table
 
@@ -28,14 +29,30 @@ def month_overlap(spark, d):
 @query(
     "covered_by_other_source",
     f"""
-WITH s AS (SELECT * FROM ({_SPANS}) WHERE ends >= starts)
+WITH s AS (SELECT * FROM (SELECT * REPLACE (coalesce(ends, DATE '9999-12-31') AS ends) FROM ({_SPANS})) WHERE ends >= starts)
 SELECT o_orderkey FROM s a WHERE EXISTS (SELECT 1 FROM s b WHERE b.o_orderpriority = a.o_orderpriority AND b.o_orderstatus <> a.o_orderstatus AND b.starts <= a.ends AND b.ends >= a.starts)
 """,
 )
 def covered_by_other_source(spark, d):
-    """Intervals that another source's interval of the same kind overlaps."""
-    spans = _spans(spark, d).filter("ends >= starts")
-    return L.covered_elsewhere(spans, "o_orderkey", "o_orderpriority", "o_orderstatus", "starts", "ends").select("o_orderkey")
+    """Intervals that another source's interval of the same kind overlaps; one without an end goes on."""
+    return met_elsewhere(_spans(spark, d), "o_orderkey", "o_orderpriority", "o_orderstatus", "starts", "ends").select("o_orderkey")
+
+
+@query(
+    "raids_of_seasons",
+    f"""
+WITH s AS (SELECT * FROM ({_SPANS}) WHERE ends IS NULL OR ends >= starts),
+c AS (SELECT c_custkey, DATE '1995-01-01' + (c_custkey * 37 % 1500)::INT AS opens, CASE WHEN c_custkey % 11 <> 0 THEN DATE '1995-01-01' + (c_custkey * 37 % 1500)::INT + (c_custkey % 5)::INT * (c_custkey % 90)::INT END AS closes FROM customer)
+SELECT c_custkey, count(*) AS n, min(o_orderkey) AS first FROM c JOIN s ON s.starts <= coalesce(closes, DATE '9999-12-31') AND coalesce(s.ends, DATE '9999-12-31') >= opens AND o_orderstatus = 'P' GROUP BY 1
+""",
+)
+def raids_of_seasons(spark, d):
+    """How many intervals each season meets, long and open ones too."""
+    opens = F.expr("date_add(date'1995-01-01', cast(c_custkey * 37 % 1500 as int))")
+    seasons = table(spark, d, "customer").select("c_custkey", opens.alias("opens"), F.expr("case when c_custkey % 11 <> 0 then date_add(date_add(date'1995-01-01', cast(c_custkey * 37 % 1500 as int)), cast((c_custkey % 5) * (c_custkey % 90) as int)) end").alias("closes"))
+    raids = _spans(spark, d).filter("o_orderstatus = 'P'").select("o_orderkey", "starts", "ends")
+    pairs = meeting_pairs(seasons, ("opens", "closes"), raids, ("starts", "ends"))
+    return pairs.groupBy("c_custkey").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"))
 
 
 @query(

@@ -6,6 +6,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.operators import windows as O
+from tallyloom.operators.lanes import week_lanes
+from tallyloom.operators.ranks import positions, ranks
 from tallyloom.plans.base import query
 from tallyloom.sources.tables import table
 
@@ -13,8 +15,29 @@ from tallyloom.sources.tables import table
 @query("leaderboard_rank", "SELECT o_orderkey, o_orderpriority, rank() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC)::BIGINT AS place FROM orders")
 def leaderboard_rank(spark, d):
     """Competition rank: one more than the number of strictly higher scores."""
-    place = F.rank().over(W.partitionBy("o_orderpriority").orderBy(F.desc("o_totalprice")))
-    return table(spark, d, "orders").select("o_orderkey", "o_orderpriority", place.cast("long").alias("place"))
+    scores = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return ranks(scores, ["o_orderpriority"], [("o_totalprice", True)], "place").select("o_orderkey", "o_orderpriority", "place")
+
+
+@query(
+    "global_rank",
+    "SELECT l_orderkey, l_linenumber, l_partkey, rank() OVER (ORDER BY l_quantity DESC) AS place, row_number() OVER (ORDER BY l_quantity DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS position FROM lineitem",
+)
+def global_rank(spark, d):
+    """Rank and position of every row in the whole table, by a score that has many ties."""
+    lines = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    order = [("l_quantity", True), *[(c, False) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")]]
+    return positions(ranks(lines, [], [("l_quantity", True)], "place"), [], order).select("l_orderkey", "l_linenumber", "l_partkey", "place", "position")
+
+
+@query(
+    "page_by_position",
+    "SELECT o_orderkey, position, position // 500 AS page FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) - 1 AS position FROM orders)",
+)
+def page_by_position(spark, d):
+    """The page of every row of an ordered result, at 500 rows a page."""
+    placed = positions(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), [], [("o_totalprice", True), ("o_orderkey", False)])
+    return placed.select("o_orderkey", (F.col("position") - 1).alias("position"), F.expr("(position - 1) div 500").alias("page"))
 
 
 @query(
@@ -107,13 +130,14 @@ SELECT week, id, greatest(week, starts) AS piece_start, least(week + 6, ends) AS
 """
 
 
-def _pieces(spark, d):
+def _pieces(spark, d, several=None):
     orders = table(spark, d, "orders")
     lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("shipped"))
     spans = orders.join(lines, F.col("l_orderkey") == F.col("o_orderkey"))
     starts, ends = F.to_date("o_orderdate"), F.greatest(F.to_date("shipped"), F.to_date("o_orderdate"))
     spans = spans.select(F.col("o_orderkey").alias("id"), starts.alias("starts"), ends.alias("ends"))
-    return O.week_pieces(spans, "starts", "ends").select("week", "id", "piece_start", "piece_end")
+    extra = [] if several is None else [several.alias("several")]
+    return O.week_pieces(spans, "starts", "ends").select("week", "id", "piece_start", "piece_end", *extra)
 
 
 @query("week_split", _PIECES)
@@ -125,7 +149,7 @@ def week_split(spark, d):
 @query("lane_packing")
 def lane_packing(spark, d):
     """Lanes of the pieces of each week; the greedy choice has no SQL form."""
-    return O.assign_lanes(_pieces(spark, d))
+    return week_lanes(_pieces(spark, d, F.col("starts") < F.col("ends")))
 
 
 @query(

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.sources.versions import Versions
+
 
 def json_rows(rows: DataFrame) -> DataFrame:
     """One JSON text for each row, nulls kept."""
@@ -20,17 +20,14 @@ def versioned_export(rows: DataFrame, keys: list[str], version: int) -> DataFram
     return lists.select(*keys, F.to_json(F.struct(F.lit(version).alias("version"), "entries")).alias("document"))
 
 
-def replace_table(rows: DataFrame, path: str) -> None:
-    """Writes beside the table and then swaps, so readers see the old table or the new one; an empty result is refused."""
-    if rows.isEmpty():
-        raise ValueError("refusing to replace a table with nothing")
-    spark = rows.sparkSession
-    jvm = spark.sparkContext._jvm
-    files = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fresh, gone = (jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}.{uuid.uuid4().hex}.{what}") for what in ("new", "old"))
-    rows.write.parquet(fresh.toString())
-    here = jvm.org.apache.hadoop.fs.Path(path)
-    if files.exists(here):
-        files.rename(here, gone)
-    files.rename(fresh, here)
-    files.delete(gone, True)
+def replace_table(rows: DataFrame, path: str) -> int:
+    """Publishes rows as the next version of the table in a folder and returns its number; an empty result is refused.
+
+    Readers (``current_table``) see the version before or this one, at no moment none.
+    """
+    return Versions(rows.sparkSession, path).publish(rows)
+
+
+def current_table(spark: SparkSession, path: str) -> DataFrame:
+    """The last version of a table that replace_table publishes."""
+    return Versions(spark, path).read()
