@@ -7,8 +7,8 @@
    as long as each pair on the way may be frequent, up to the longest phrase. Equal pointers of a slice of texts are one
    row with a number.
 3. One unit of work for each prefix of two words: its pointers meet, sorted by what follows, and it is grown to the right
-   depth-first: each extension that is frequent is a phrase, and its own pointers are extended in turn. A prefix with
-   more pointers than HOT_PARTS-th of all words is dealt out by what follows; its parts give their counts, frequent
+   depth-first: each extension that is frequent is a phrase, and its own pointers are extended in turn. A prefix in
+   a bucket with more than a HOT_PARTS-th of all words is dealt out by what follows; its parts give their counts, frequent
    or not, and the sums by phrase follow, combined before they are shuffled.
 4. Phrases look up the counts of their parts, in one join, and the greatest count of a longer phrase around them.
 
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tallyloom.llm.joins import bounded_join
-from tallyloom.llm.staging import staged
+from tallyloom.llm.staging import forget_shuffles, staged
 from tallyloom.llm.words import forget, mixed, parts_by_bytes
 
 MIN_COUNT = 30
@@ -41,7 +41,7 @@ KEPT = 2000
 ABSORBED = 80
 #: log2 of the buckets of words and of pairs, which are the bits of the filters: 8 MB and 32 MB.
 WORD_BITS, PAIR_BITS = 26, 28
-#: A prefix with more than this part of all words is dealt out, so there are fewer of these prefixes than that.
+#: Prefixes of a bucket with more than this part of all words are dealt out; there are fewer of these buckets than that.
 HOT_PARTS = 4096
 SLICE = 3_000_000
 #: Parts that a language's phrases are ranked in first.
@@ -175,18 +175,24 @@ def _same(*columns: np.ndarray) -> np.ndarray:
     return np.logical_and.reduce([c[1:] == c[:-1] for c in columns])
 
 
-def _projected(pairs, bits: int, longest: int):
-    """Pointers of the pairs that may be frequent: the pair, the words that follow (0 where the way ends), and a number."""
+def _projected(pairs, hot, bits: int, longest: int):
+    """Pointers of the pairs that may be frequent: the pair, the words that follow (0 where the way ends), and a number.
+
+    part is -1, or for pairs of hot buckets the part that what follows is dealt to.
+    """
     names = [f"w{k}" for k in range(1, longest + 1)]
 
     def run(batches):
-        known = pairs.value
+        known, often = pairs.value, hot.value
         for s in _slices(batches):
             near = s.pairs()
             at = np.flatnonzero(near)
             hashes = s.hashes[s.words]
-            good = np.zeros(len(near) + longest, bool)
-            good[at] = _has(known, _bits(_pair_hash(hashes[at], hashes[at + 1]), bits)) if len(at) else False
+            good, dealt = np.zeros(len(near) + longest, bool), np.zeros(len(near), bool)
+            if len(at):
+                buckets = _bits(_pair_hash(hashes[at], hashes[at + 1]), bits)
+                good[at] = _has(known, buckets)
+                dealt[at] = np.isin(buckets, often)
             at = np.flatnonzero(good)
             ids = np.append(s.words + 1, np.zeros(longest, np.int64))
             columns, on = [ids[at], ids[at + 1]], np.ones(len(at), bool)
@@ -197,8 +203,11 @@ def _projected(pairs, bits: int, longest: int):
             columns = [c[order] for c in columns]
             starts = np.flatnonzero(np.append(True, ~_same(*columns))) if len(at) else at
             counts = np.diff(np.append(starts, len(at)))
-            values = np.append(np.uint64(0), s.hashes).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(pa.array(values[c[starts]]) for c in columns), pa.array(counts)], [*names, "n"])
+            values = np.append(np.uint64(0), s.hashes)
+            columns = [values[c[starts]] for c in columns]
+            follows = mixed(sum((c * (_MUL + np.uint64(2 * k)) for k, c in enumerate(columns[2:])), np.zeros(len(starts), np.uint64)))
+            part = np.where(dealt[at[order[starts]]], (follows >> np.uint64(58)).astype(np.int32), -1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in columns), pa.array(counts), pa.array(part)], [*names, "n", "part"])
 
     return run
 
@@ -259,30 +268,36 @@ def _grown(longest: int, least: int):
 
 
 def frequent_phrases(docs: DataFrame, least: int = MIN_COUNT, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
-    """(words: lang, word, id, n of every word; phrases: ids, n of every phrase of two words to longest with n >= least)."""
+    """(words: lang, word, id, n of every frequent word, and n of the others of a language together; phrases: ids, n of every
+    phrase of two words to longest with n >= least)."""
     spark = docs.sparkSession
     texts = docs.filter("text is not null").select("text", F.col("lang").cast("string").alias("lang"))
     counted = texts.mapInArrow(_word_counts, "lang string, word string, id long, n long")
-    words = staged(counted.groupBy("lang", "word", "id").agg(F.sum("n").alias("n")), "words")
+    sums = counted.groupBy("lang", "word", "id").agg(F.sum("n").alias("n"))
+    # words that are not frequent are one row of their language
+    frequent = lambda c: F.when(F.col("n") >= least, F.col(c)).alias(c)
+    words = staged(sums.select("lang", frequent("word"), frequent("id"), "n").groupBy("lang", "word", "id").agg(F.sum("n").alias("n")), "words")
+    forget_shuffles(spark)
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).head()["n"]
     bucket = F.shiftrightunsigned("id", 64 - WORD_BITS).alias("bucket")
-    some = spark.sparkContext.broadcast(bucket_filter(words.filter(F.col("n") >= least).select(bucket), WORD_BITS))
+    some = spark.sparkContext.broadcast(bucket_filter(words.filter("id is not null").select(bucket), WORD_BITS))
     pairs = texts.mapInArrow(_pair_buckets(some, PAIR_BITS), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    near = spark.sparkContext.broadcast(bucket_filter(pairs.filter(F.col("n") >= least).select("bucket"), PAIR_BITS))
-    some.unpersist()
+    pairs = staged(pairs.filter(F.col("n") >= least), "pairs")
+    forget_shuffles(spark)
+    near = spark.sparkContext.broadcast(bucket_filter(pairs.select("bucket"), PAIR_BITS))
+    hot = pairs.filter(F.col("n") > max(least, total // HOT_PARTS)).select("bucket").collect()  # under HOT_PARTS rows
+    hot = spark.sparkContext.broadcast(np.array([r["bucket"] for r in hot], np.int64))
 
     names = [f"w{k}" for k in range(1, longest + 1)]
     columns = ", ".join(f"{x} long" for x in names)
-    pointers = staged(texts.mapInArrow(_projected(near, PAIR_BITS, longest), f"{columns}, n long"), "pointers")
-    hot = pointers.groupBy("w1", "w2").agg(F.sum("n").alias("all")).filter(F.col("all") > max(least, total // HOT_PARTS))
-    hot = hot.select("w1", "w2", F.lit(True).alias("hot"))  # under HOT_PARTS rows
-    dealt = pointers.join(F.broadcast(hot), ["w1", "w2"], "left")
-    part = F.when(F.col("hot"), F.pmod(F.xxhash64(*names[2:]), F.lit(64))).otherwise(F.lit(-1)).cast("int")
-    dealt = dealt.select(*names, "n", part.alias("part")).repartition("w1", "w2", "part").sortWithinPartitions("w1", "w2", "part", *names[2:])
+    pointers = texts.mapInArrow(_projected(near, hot, PAIR_BITS, longest), f"{columns}, n long, part int")
+    dealt = pointers.repartition("w1", "w2", "part").sortWithinPartitions("w1", "w2", "part", *names[2:])
     found = dealt.mapInArrow(_grown(longest, least), f"{columns}, n long")
     phrases = found.groupBy(*names).agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     ids = F.filter(F.array(*names), lambda w: w != 0)
-    return words, staged(phrases.select(ids.alias("ids"), "n"), "phrases")
+    phrases = staged(phrases.select(ids.alias("ids"), "n"), "phrases")
+    forget_shuffles(spark)
+    return words, phrases
 
 
 def _parts(longest: int) -> Column:
@@ -315,7 +330,7 @@ def collocations(docs: DataFrame, least: int = MIN_COUNT, longest: int = LONGEST
     stay = phrases.join(longer, "ids", "left").filter(F.col("around").isNull() | (100 * F.col("around") < absorbed * F.col("n")))
     stay = stay.select("ids", F.col("n").alias("a"))
 
-    one = words.filter(F.col("n") >= least).select(F.array("id").alias("part"), "n", "lang", "word")
+    one = words.filter("id is not null").select(F.array("id").alias("part"), "n", "lang", "word")
     counts = one.unionByName(phrases.filter(F.size("ids") < longest).select(F.col("ids").alias("part"), "n"), allowMissingColumns=True)
     asked = stay.select("ids", "a", F.inline(_parts(longest)))
     known = bounded_join(asked, counts, "part", "inner")

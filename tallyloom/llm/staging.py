@@ -53,3 +53,8 @@ def drop_staged(df: DataFrame) -> None:
     """Deletes the files of a staged table that no later step reads."""
     for f in {name.rpartition("/")[0] for name in df.inputFiles()}:
         _remove(df.sparkSession, f)
+
+
+def forget_shuffles(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of steps that are done: it does so when the driver's garbage is collected."""
+    spark.sparkContext._jvm.System.gc()
