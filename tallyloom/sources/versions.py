@@ -42,6 +42,13 @@ class Folder:
             return []
         return sorted((f.getPath().getName(), f.getModificationTime()) for f in self._fs.listStatus(self._at(name)))
 
+    def matching(self, pattern: str) -> list[str]:
+        """Paths of what fits a pattern with stars."""
+        return sorted(f.getPath().toString() for f in self._fs.globStatus(self._at(pattern)) or [])
+
+    def make(self, name: str) -> None:
+        self._fs.mkdirs(self._at(name))
+
     def delete(self, name: str) -> None:
         self._fs.delete(self._at(name), True)
 
@@ -112,7 +119,7 @@ class Versions:
                 self.folder.delete(f"data/{data}")
                 raise Conflict(f"built on version {based_on}, but {last} is published")
             self.folder.write(f"new/{data}/entry.json", entry)
-            self.folder._fs.mkdirs(self.folder._at("v"))
+            self.folder.make("v")
             if self.folder.claim(f"new/{data}", f"v/{last + 1:012d}"):
                 return last + 1
 
