@@ -1,9 +1,11 @@
 """Token totals by source, language and tokenizer version, maintained by signed deltas.
 
-A batch of changes holds inserts, deletes and revised counts. It is summed to one small row for each key and written to
-its own folder of the rollup, named by the batch's id once it is finished. Totals are the sums over all committed batches,
-so they are additive, and a batch that is committed again (after a failure, or by mistake) changes nothing. Changes are pre-aggregated before they are shuffled, so a key
-that holds most rows costs a row for each task.
+A batch of changes holds inserts, deletes and revised counts. It is summed to one small row for each key and becomes the next
+entry of a numbered log: a folder that is written aside and gets its number by one rename when it is finished. Two
+drivers can't take one number, so every commit is judged against exactly the entries before it, and the loser of a race is
+judged again. Totals are the sums over the log, so they are additive, and a batch that is committed again (after a failure,
+or by mistake) changes nothing. A compaction sums the log up to an entry, and holds the ids of its batches as a table that commits
+look their own up in. Changes are pre-aggregated before they are shuffled, so a key that holds most rows costs a row for each task.
 
 Defined cases: a null text has 0 tokens; null sources, languages and versions are keys of their own; a null count is 0;
 an unknown kind of change and a delete of what was never inserted are errors; repeated rows count each; a key whose totals are all zero is left out; an empty
@@ -13,7 +15,8 @@ batch is committed and empty; an empty rollup gives an empty result; other colum
 from __future__ import annotations
 
 import uuid
-from urllib.parse import quote
+from typing import NamedTuple
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.staging import new_path, staged
 from tallyloom.llm.tokens import tokenizer_path, word_tokenizer
+from tallyloom.sources.versions import Folder
 
 KEYS = ("source", "lang", "version")
 SUMS = "source string, lang string, version string, docs long, tokens long"
@@ -47,81 +51,104 @@ def deltas(changes: DataFrame) -> DataFrame:
     return sums.filter("docs <> 0 or tokens <> 0")
 
 
-class Rollup:
-    """A folder with one folder of deltas for each committed batch, and one of sums for each compaction.
+class State(NamedTuple):
+    """What one look at a rollup found: the entry up to which the last compaction sums (0: none), and (number, batch) of the log."""
+
+    upto: int
+    log: list[tuple[int, str]]
+
+    @property
+    def last(self) -> int:
+        return max([self.upto, *(n for n, _ in self.log)])
+
+
+#: Milliseconds that what a compaction replaced stays for those who read it; longer than any read or commit takes.
+GRACE_MS = 6 * 3600 * 1000
 
-    A folder counts from the moment it has its name: it is written under another one and renamed when it is finished, so
-    an interrupted batch never counts, and of two drivers that commit one batch the later one finds it done.
-    """
+
+class Rollup:
+    """A folder with the log of batches (log/<number>/id=<batch>) and its compactions (upto/<number>)."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark.sparkContext._jvm
-        self._at = jvm.org.apache.hadoop.fs.Path
-        self._files = self._at(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.spark, self.folder = spark, Folder(spark, path)
+        self.path = self.folder.path
+
+    def _state(self) -> State:
+        """One look; compactions come first, so whatever one sums that is published in between is in the log as well."""
+        upto = max((int(name) for name, _ in self.folder.entries("upto")), default=0)
+        found = [p.split("/")[-2:] for p in self.folder.matching("log/*/id=*")]
+        return State(upto, sorted((int(n), unquote(batch[3:])) for n, batch in found))
+
+    def _sums(self, state: State) -> DataFrame:
+        """The deltas that make up the totals of a state."""
+        folders = [f"upto/{state.upto:012d}/sums"] if state.upto else []
+        folders += [f"log/{n:012d}/id={quote(batch, safe='')}" for n, batch in state.log if n > state.upto]
+        if not folders:
+            return self.spark.createDataFrame([], SUMS)
+        return self.spark.read.schema(SUMS).parquet(*[f"{self.path}/{f}" for f in folders])
+
+    def _names(self, state: State) -> DataFrame:
+        """Ids of the batches that the last compaction sums."""
+        if not state.upto:
+            return self.spark.createDataFrame([], "name string")
+        return self.spark.read.schema("name string").parquet(f"{self.path}/upto/{state.upto:012d}/names")
 
-    def _named(self, kind: str) -> list[str]:
-        if not self._files.exists(self._at(self.path)):
-            return []
-        names = [f.getPath().getName() for f in self._files.listStatus(self._at(self.path))]
-        return sorted(n for n in names if n.startswith(f"{kind}="))
+    def _committed(self, state: State, batch_id: str) -> bool:
+        return any(batch == batch_id for _, batch in state.log) or not self._names(state).filter(F.col("name") == batch_id).isEmpty()
 
     def _publish(self, parts: dict[str, DataFrame], name: str) -> bool:
         """Writes tables into a new folder and gives it its name; False if the name is taken."""
-        fresh = uuid.uuid4().hex
+        fresh = f"new/{uuid.uuid4().hex}"
         for part, rows in parts.items():
-            rows.coalesce(1).write.parquet(f"{self.path}/_new/{fresh}/{part}")
-        done = self._at(f"{self.path}/{name}")
-        if not self._files.exists(done) and self._files.rename(self._at(f"{self.path}/_new/{fresh}"), done):
-            inside = self._at(f"{self.path}/{name}/{fresh}")  # a rename onto a folder moves into it
-            if not self._files.exists(inside):
-                return True
-            self._files.delete(inside, True)
-        self._files.delete(self._at(f"{self.path}/_new/{fresh}"), True)
-        return False
-
-    def _state(self) -> tuple[str | None, list[str]]:
-        """The last compaction, and the batches that it doesn't hold."""
-        last = (self._named("upto") or [None])[-1]
-        held = {r["name"] for r in self.spark.read.parquet(f"{self.path}/{last}/names").collect()} if last else set()
-        return last, [n for n in self._named("batch") if n not in held]
-
-    def _name(self, batch_id: str) -> str:
-        return f"batch={quote(batch_id, safe='')}"
+            rows.coalesce(1).write.parquet(f"{self.path}/{fresh}/{part}")
+        return self.folder.claim(fresh, name)
 
     def commit(self, batch_id: str, changes: DataFrame) -> bool:
         """Adds a batch; False if it was committed before. A batch that would make a total negative is an error."""
-        name = self._name(batch_id)
-        last, _ = self._state()
-        held = last and not self.spark.read.parquet(f"{self.path}/{last}/names").filter(F.col("name") == name).isEmpty()
-        if held or self._files.exists(self._at(f"{self.path}/{name}")):
+        state = self._state()
+        if self._committed(state, batch_id):
             return False
         sums = staged(deltas(changes), "deltas")
-        after = self.totals().unionByName(sums).groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        wrong = after.filter("docs < 0 or tokens < 0").take(1)
-        if wrong:
-            raise ValueError(f"batch {batch_id} takes away what isn't there: {wrong[0].asDict()}")
-        return self._publish({"sums": sums}, name)
-
-    def compact(self) -> bool:
-        """Sums all committed batches into one folder; totals and commits then read that in their place."""
-        last, batches = self._state()
-        if not batches:
+        while True:
+            both = self._sums(state).withColumn("fresh", F.lit(False)).unionByName(sums.withColumn("fresh", F.lit(True))).groupBy(*KEYS)
+            after = both.agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"), F.bool_or("fresh").alias("fresh"))
+            wrong = after.filter("fresh and (docs < 0 or tokens < 0)").drop("fresh").take(1)
+            if wrong:
+                raise ValueError(f"batch {batch_id} takes away what isn't there: {wrong[0].asDict()}")
+            self.folder.make("log")
+            if self._publish({f"id={quote(batch_id, safe='')}": sums}, f"log/{state.last + 1:012d}"):
+                return True
+            state = self._state()  # another batch took the number
+            if self._committed(state, batch_id):
+                return False
+
+    def compact(self, grace_ms: int = GRACE_MS) -> bool:
+        """Sums the log into one folder, which totals and commits then read in its place; False if there is nothing new.
+
+        What an earlier compaction replaced is deleted once it is older than the grace.
+        """
+        state = self._state()
+        if state.last == state.upto:
+            return False
+        fresh = [(batch,) for n, batch in state.log if n > state.upto]
+        names = self._names(state).union(self.spark.createDataFrame(fresh, "name string"))
+        self.folder.make("upto")
+        if not self._publish({"sums": self._total(self._sums(state)), "names": names}, f"upto/{state.last:012d}"):
             return False
-        number = int(last.split("=")[1]) + 1 if last else 1
-        names = self.spark.createDataFrame([(n,) for n in self._named("batch")], "name string")
-        if last:
-            names = names.union(self.spark.read.parquet(f"{self.path}/{last}/names")).distinct()
-        return self._publish({"sums": self.totals(), "names": names}, f"upto={number:012d}")
+        entries = [(int(name), f"{kind}/{name}", changed) for kind in ("log", "upto") for name, changed in self.folder.entries(kind)]
+        now = max(changed for _, _, changed in entries)  # by the clock of the store
+        for n, name, changed in entries:
+            if (n <= state.upto if name.startswith("log") else n < state.upto) and now - changed >= grace_ms:
+                self.folder.delete(name)
+        return True
+
+    def _total(self, sums: DataFrame) -> DataFrame:
+        totals = sums.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+        return totals.filter("docs <> 0 or tokens <> 0")
 
     def totals(self) -> DataFrame:
         """source, lang, version, docs and tokens over all committed batches."""
-        last, batches = self._state()
-        folders = [f"{self.path}/{n}/sums" for n in [*([last] if last else []), *batches]]
-        if not folders:
-            return self.spark.createDataFrame([], SUMS)
-        sums = self.spark.read.schema(SUMS).parquet(*folders).groupBy(*KEYS)
-        return sums.agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).filter("docs <> 0 or tokens <> 0")
+        return self._total(self._sums(self._state()))
 
 
 def new_rollup(spark: SparkSession) -> Rollup:
