@@ -32,12 +32,12 @@ def after_pointer(rows: DataFrame, keys: list[str], order: str, pointer: Column)
     return rows.withColumn("last_", last).filter((F.col(order) > pointer) & ~F.col("last_")).drop("last_")
 
 
-def compaction_chunk(rows: DataFrame, keys: list[str], order: str, pointer: Column, size: int) -> DataFrame:
+def compaction_chunk(rows: DataFrame, keys: list[str], order: str, pointer: Column, size: int, name: str = "nth") -> DataFrame:
     """The first ``size`` rows past the pointer, of keys that have more than that past it."""
     past = rows.filter(F.col(order) > pointer)
     w = W.partitionBy(*keys)
-    past = past.withColumn("n_", F.count("*").over(w)).withColumn("nth", F.row_number().over(w.orderBy(order)))
-    return past.filter((F.col("n_") > size) & (F.col("nth") <= size)).drop("n_")
+    past = past.withColumn("n_", F.count("*").over(w)).withColumn(name, F.row_number().over(w.orderBy(order)))
+    return past.filter((F.col("n_") > size) & (F.col(name) <= size)).drop("n_")
 
 
 def transitions(rows: DataFrame, keys: list[str], order: list[str], state: Column) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyloom.plans import catalog, details, ingest, lookup, matching, resolution, rules, text, timeline, vectors, windows
+from tallyloom.plans import catalog, details, documents, ingest, lookup, matching, resolution, rules, text, timeline, vectors, windows
 from tallyloom.plans.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "catalog", "details", "ingest", "lookup", "matching", "resolution", "rules", "text", "timeline", "vectors", "windows"]
+__all__ = ["ORACLES", "QUERIES", "catalog", "details", "documents", "ingest", "lookup", "matching", "resolution", "rules", "text", "timeline", "vectors", "windows"]
