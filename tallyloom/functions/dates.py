@@ -91,6 +91,20 @@ def expiry_by_post(posted: Column, month: Column, day: Column) -> Column:
     return last_moment(year_by_half(posted, month, day, 1))
 
 
+def announced_expiry(title: Column, body: Column, posted: Column, month_word: str = "월", day_word: str = "일") -> Column:
+    """The end of the day after a title's "~", or else of the last day that the body names; no year is written.
+
+    The year is the post's, or the next where the month lies more than one before the post's. A day past its month's
+    end runs into the next month; null where no day of 1 to 31 in a month of 1 to 12 is named.
+    """
+    day = rf"(\d{{1,2}})\s*{month_word}\s*(\d{{1,2}})\s*{day_word}"
+    named = lambda i: F.coalesce(F.nullif(F.regexp_extract(title, rf"~\s*{day}", i), F.lit("")), F.try_element_at(F.regexp_extract_all(body, F.lit(day), i), F.lit(-1)))
+    month, nth = named(1).try_cast("int"), named(2).try_cast("int")
+    year = F.year(posted) + F.when(month < F.month(posted) - 1, 1).otherwise(0)
+    first = F.when(month.between(1, 12) & nth.between(1, 31), F.make_date(year, month, F.lit(1)))
+    return last_moment(F.date_add(first, nth - 1))
+
+
 def mentioned_dates(text: Column) -> Column:
     """Distinct real dates in yyyy-mm-dd, yyyy.mm.dd or yyyy/mm/dd form, sorted."""
     found = F.regexp_extract_all(text, F.lit(r"(?<!\d)(20\d\d[-./]\d{1,2}[-./]\d{1,2})(?!\d)"), 1)
@@ -110,7 +124,8 @@ def time_known(announced: Column) -> Column:
 
 
 def local_time(utc: Column, zone: str = "Asia/Seoul") -> Column:
-    return F.from_utc_timestamp(utc, zone)
+    """A UTC moment (without zone) as the clock of a zone shows it."""
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
 
 
 def human_date(moment: Column) -> Column:

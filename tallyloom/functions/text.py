@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from html.entities import name2codepoint
 
 import pandas as pd
 from pyspark.sql import Column
@@ -75,12 +76,31 @@ def is_code_token(token: Column, denied: list[str]) -> Column:
     return token.rlike("^[A-Za-z0-9]{4,30}$") & (letters > 0) & (upper >= 0.6 * letters) & ((F.length(token) >= 6) | token.rlike("[0-9]")) & ~F.upper(token).isin(denied)
 
 
+#: Names of characters in HTML, as the standard library has them.
+ENTITIES = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
+_ENTITY = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+
+
+def decoded(text: Column) -> Column:
+    """Text with numbered and named characters of HTML in place of their codes, each code read once; unknown ones stay."""
+    names = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+
+    def character(code: Column) -> Column:
+        hexadecimal = F.regexp_extract(code, r"^&#[xX]([0-9A-Fa-f]+);$", 1)
+        number = F.when(hexadecimal != "", F.conv(hexadecimal, 16, 10)).otherwise(F.regexp_extract(code, r"^&#([0-9]+);$", 1)).try_cast("int")
+        real = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+        named = F.element_at(names, F.regexp_extract(code, r"^&(.*);$", 1))
+        return F.coalesce(F.when(real, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")), named, code)
+
+    codes, parts = F.regexp_extract_all(text, F.lit(_ENTITY), 0), F.split(text, _ENTITY, -1)
+    joined = F.concat(parts[0], F.array_join(F.zip_with(F.transform(codes, character), F.slice(parts, F.lit(2), F.size(codes)), lambda a, b: F.concat(a, b)), ""))
+    return F.when(F.size(codes) > 0, joined).otherwise(text)
+
+
 def html_text(html: Column) -> Column:
-    """Visible text: scripts and styles dropped, tags blanked, common entities decoded, white space collapsed."""
+    """Visible text: scripts and styles dropped, tags blanked, characters decoded, white space collapsed."""
     bare = F.regexp_replace(html, r"(?is)<script\b.*?</script>|<style\b.*?</style>", " ")
-    bare = F.regexp_replace(bare, r"(?s)<[^>]*>", " ")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        bare = F.replace(bare, F.lit(entity), F.lit(char))
+    bare = decoded(F.regexp_replace(bare, r"(?s)<[^>]*>", " "))
     return F.trim(F.regexp_replace(bare, r"[\s\x{a0}]+", " "))
 
 
@@ -94,8 +114,13 @@ def absolute_url(url: Column, base: str) -> Column:
     return F.when(url.rlike("^[a-zA-Z]+://"), url).when(F.startswith(url, F.lit("//")), F.concat(F.lit(base.split("//")[0]), url)).when(F.startswith(url, F.lit("/")), F.concat(F.lit(root), url)).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), url))
 
 
+# Fixed value: how the video site's addresses begin.
+VIDEO = r"(?:youtube(?:-nocookie)?\.com/(?:watch\?v=|embed/)|youtu\.be/)([A-Za-z0-9_-]{6,})"
+
+
 def video_id(url: Column) -> Column:
-    return F.nullif(F.regexp_extract(url, r"(?:v=|youtu\.be/|/shorts/|/embed/)([A-Za-z0-9_-]{11})", 1), F.lit(""))
+    """The id in an address of the video site, of six characters or more."""
+    return F.nullif(F.regexp_extract(url, VIDEO, 1), F.lit(""))
 
 
 # What agents of each class hold, tested in this order.
@@ -255,6 +280,26 @@ def reward_text(rewards: Column, most: int = 6) -> Column:
     return F.array_join(F.transform(F.slice(rewards, 1, most), one), ", ")
 
 
+def reward_line(rewards: Column, most: int = 6) -> Column:
+    """Rewards in JSON (a string, or a list of strings and of objects with name and count or amount) as one line.
+
+    The first six that aren't empty are joined; counts of 0 are left out; null where nothing is left.
+    """
+    value = F.try_parse_json(rewards)
+    got = lambda v, path: F.trim(F.try_variant_get(v, path, "string"))
+    kind = lambda v: F.regexp_extract(F.schema_of_variant(v), r"^(\w+)", 1)
+    given = lambda c: F.when(~F.coalesce(c, F.lit("")).isin("", "0", "false"), c)
+
+    def line(one: Column) -> Column:
+        name, count = given(got(one, "$.name")), given(F.coalesce(got(one, "$.count"), got(one, "$.amount")))
+        named = F.when(count.isNotNull(), F.concat(name, F.lit(" x"), count)).otherwise(name)
+        return F.when(kind(one) == "STRING", given(got(one, "$"))).when(kind(one) == "OBJECT", named)
+
+    lines = F.slice(F.array_compact(F.transform(F.try_variant_get(value, "$", "array<variant>"), line)), 1, most)
+    text = F.nullif(got(value, "$"), F.lit(""))
+    return F.when(kind(value) == "STRING", text).when(F.size(lines) > 0, F.array_join(lines, ", "))
+
+
 def summary_line(parts: dict[str, Column]) -> Column:
     """Labels with the values that are there, parted by dots."""
     return F.concat_ws(" · ", *[F.when(v.isNotNull() & (v.cast("string") != ""), F.concat(F.lit(f"{k} "), v.cast("string"))) for k, v in parts.items()])

@@ -114,6 +114,19 @@ def merge_topics(old: Column, new: Column) -> Column:
     return F.when(old.isNotNull() & new.isNotNull(), F.array_sort(F.array_union(old, new)))
 
 
+def merge_subscriptions(old: DataFrame, new: DataFrame, keys: list[str], topics: str) -> DataFrame:
+    """All subscriptions after new requests, with asked_: whether there was one. A null set stands for all topics.
+
+    One that is new gets what it asks for. One that was there keeps all topics if it had them, gets all if it asks for
+    them, and else adds to its own; without a request it stays as it was.
+    """
+    before = old.select(*keys, F.col(topics).alias("old_"), F.lit(True).alias("had_"))
+    asked = new.select(*keys, F.col(topics).alias("new_"), F.lit(True).alias("asked_"))
+    both = before.join(asked, keys, "full")
+    after = F.when(F.col("had_").isNull(), F.array_sort("new_")).when(F.col("asked_").isNull(), F.array_sort("old_")).otherwise(merge_topics(F.col("old_"), F.col("new_")))
+    return both.select(*keys, after.alias(topics), F.coalesce("asked_", F.lit(False)).alias("asked_"))
+
+
 def merge_maps(left: Column, right: Column) -> Column:
     """Entries of both; the right one's value wins."""
     return F.map_from_entries(F.concat(F.map_entries(F.map_filter(left, lambda k, _: ~F.array_contains(F.map_keys(right), k))), F.map_entries(right)))

@@ -102,3 +102,12 @@ def similar_pairs(rows: DataFrame, block: list[str], key: str, tokens: str, simi
     pairs = word_pairs(one, other, block, "one_", "other_", tokens, least).filter("one_ < other_")
     sides = pairs.join(one.select("one_", F.col(tokens).alias("x_")), "one_").join(other.select("other_", F.col(tokens).alias("y_")), "other_")
     return sides.filter(similar("x_", "y_")).select(F.col("one_").alias("a"), F.col("other_").alias("b"))
+
+
+def open_work(rows: DataFrame, block: str, key: str, done: str, budget: int) -> DataFrame:
+    """The rows to do next under a budget: open ones of blocks of two or more, of blocks with most done first, then by key.
+
+    What a run does counts as done in the next one, so runs go on where the budget ended.
+    """
+    sizes = rows.groupBy(block).agg(F.count("*").alias("size_"), F.count_if(done).alias("done_")).filter("size_ > 1")
+    return rows.filter(~F.col(done)).join(sizes, block).orderBy(F.desc("done_"), key).limit(budget).drop("size_", "done_")

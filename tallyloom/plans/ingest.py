@@ -164,9 +164,24 @@ def retention(spark, d):
     return kept.groupBy("event_type").agg(F.count("*").alias("kept"))
 
 
-@query("topic_merge", "SELECT user_id, event_id % 20 AS slot, CASE WHEN bool_or(event_type = 'error') THEN NULL ELSE string_agg(DISTINCT event_type, ',' ORDER BY event_type) END AS topics FROM events GROUP BY user_id, event_id % 20")
+@query(
+    "topic_merge",
+    """
+WITH s AS (SELECT user_id, event_id % 20 AS slot, event_id % 2 = 0 AS before, bool_or(event_type = 'error') AS every, list_sort(list_distinct(list(event_type))) AS topics FROM events WHERE event_id % 7 <> user_id % 3 GROUP BY ALL),
+o AS (SELECT * FROM s WHERE before), n AS (SELECT * FROM s WHERE NOT before)
+SELECT coalesce(n.user_id, o.user_id) AS user_id, coalesce(n.slot, o.slot) AS slot,
+       CASE WHEN coalesce(o.every, false) OR coalesce(n.every, false) THEN NULL ELSE array_to_string(list_sort(list_distinct(list_concat(coalesce(o.topics, []), coalesce(n.topics, [])))), ',') END AS topics
+FROM o FULL JOIN n ON n.user_id = o.user_id AND n.slot = o.slot + 1
+""",
+)
 def topic_merge(spark, d):
-    """Topics of each subscriber over all requests: "all" absorbs, else the union."""
-    topics = table(spark, d, "events").groupBy("user_id", (F.col("event_id") % 20).alias("slot")).agg(F.array_sort(F.collect_set("event_type")).alias("t"), F.bool_or(F.col("event_type") == "error").alias("all"))
-    merged = F.when(F.col("all"), F.lit(None).cast("array<string>")).otherwise(I.merge_topics(F.col("t"), F.col("t")))
-    return topics.select("user_id", "slot", F.array_join(merged, ",").alias("topics"))
+    """Subscriptions as they were and new requests: all topics stay all, asking for all is granted, else the union."""
+    events = table(spark, d, "events").filter("event_id % 7 <> user_id % 3")
+    groups = events.groupBy("user_id", (F.col("event_id") % 20).alias("slot"), (F.col("event_id") % 2 == 0).alias("before"))
+    sets = groups.agg(F.bool_or(F.col("event_type") == "error").alias("every"), F.array_sort(F.collect_set("event_type")).alias("t"))
+    sets = sets.withColumn("topics", F.when(~F.col("every"), F.col("t"))).drop("t", "every")
+    old = sets.filter("before").select("user_id", (F.col("slot") + 1).alias("slot"), "topics")
+    new = sets.filter("not before").select("user_id", "slot", "topics")
+    merged = I.merge_subscriptions(old, new, ["user_id", "slot"], "topics")
+    only_old = F.col("slot") - F.when(F.col("asked_"), 0).otherwise(1)
+    return merged.select("user_id", only_old.alias("slot"), F.array_join("topics", ",").alias("topics"))

@@ -271,6 +271,20 @@ def popular_order(spark, d):
     )
 
 
+@query(
+    "names_collated",
+    """
+WITH n AS (SELECT p_partkey, p_size, CASE p_partkey % 7 WHEN 0 THEN '가' WHEN 1 THEN 'É' WHEN 2 THEN 'e' WHEN 3 THEN 'Z' WHEN 4 THEN 'ä' WHEN 5 THEN '나' ELSE 'z' END || p_name AS name FROM part)
+SELECT p_partkey, name, rank() OVER (PARTITION BY p_size ORDER BY name COLLATE ko) AS place FROM n
+""",
+)
+def names_collated(spark, d):
+    """Names in a Korean reader's order: Hangul first, accents beside their letters, whatever their case."""
+    name = F.concat(F.expr("case p_partkey % 7 when 0 then '가' when 1 then 'É' when 2 then 'e' when 3 then 'Z' when 4 then 'ä' when 5 then '나' else 'z' end"), "p_name")
+    place = F.rank().over(W.partitionBy("p_size").orderBy(F.collate("name", "ko")))
+    return table(spark, d, "part").select("p_partkey", "p_size", name.alias("name")).select("p_partkey", "name", place.cast("long").alias("place"))
+
+
 @query(
     "mine_first",
     """

@@ -118,10 +118,20 @@ def merge_canonical(spark, d):
 
 @query(
     "hash_priority",
-    "WITH b AS (SELECT p_partkey, p_brand, p_size % 2 = 0 AS done, count(*) OVER (PARTITION BY p_brand) AS block FROM part) SELECT p_partkey, p_brand, block FROM b WHERE NOT done ORDER BY block DESC, p_brand, p_partkey LIMIT 300",
+    """
+WITH p AS (SELECT p_partkey, p_brand || p_type AS block, p_size % 3 = 0 AS done FROM part),
+a AS (SELECT p_partkey, count(*) FILTER (done) OVER w AS n, count(*) OVER w AS size, done FROM p WINDOW w AS (PARTITION BY block)),
+one AS (SELECT p_partkey FROM a WHERE NOT done AND size > 1 ORDER BY n DESC, p_partkey LIMIT 300),
+q AS (SELECT p_partkey, block, done OR p_partkey IN (FROM one) AS done FROM p),
+b AS (SELECT p_partkey, count(*) FILTER (done) OVER w AS n, count(*) OVER w AS size, done FROM q WINDOW w AS (PARTITION BY block)),
+two AS (SELECT p_partkey FROM b WHERE NOT done AND size > 1 ORDER BY n DESC, p_partkey LIMIT 300)
+SELECT 1 AS run, p_partkey FROM one UNION ALL SELECT 2, p_partkey FROM two
+""",
 )
 def hash_priority(spark, d):
-    """Open work under a budget, fullest blocks first (the budget is the feature)."""
-    part = table(spark, d, "part")
-    blocks = part.groupBy("p_brand").agg(F.count("*").alias("block"))
-    return part.filter("p_size % 2 <> 0").join(blocks, "p_brand").select("p_partkey", "p_brand", "block").orderBy(F.desc("block"), "p_brand", "p_partkey").limit(300)
+    """Open work of two runs under a budget, the nearly complete blocks first (the budget is the feature)."""
+    parts = table(spark, d, "part").select("p_partkey", F.concat("p_brand", "p_type").alias("block"), (F.col("p_size") % 3 == 0).alias("done"))
+    one = R.open_work(parts, "block", "p_partkey", "done", 300).select("p_partkey")
+    after = parts.join(one.withColumn("now_", F.lit(True)), "p_partkey", "left").withColumn("done", F.col("done") | F.coalesce("now_", F.lit(False))).drop("now_")
+    two = R.open_work(after, "block", "p_partkey", "done", 300).select("p_partkey")
+    return one.select(F.lit(1).alias("run"), "p_partkey").union(two.select(F.lit(2), "p_partkey"))

@@ -201,7 +201,7 @@ def event_moments(announced, posted, m, dd):
     return {
         "trusted": text(D.trusted_announcement(announced, F.array(F.lit("2024-03-05").cast("date")))),
         "known": D.time_known(announced),
-        "local": text(announced + F.expr("interval 9 hours")),
+        "local": text(D.local_time(announced.cast("timestamp_ntz"))),
         "expires": text(D.expiry_by_post(posted, m, dd)),
         "ends": D.range_end(posted, F.make_date(F.lit(2024), m, dd)),
         "scope": D.scope_at(posted, F.lit("2024-01-10").cast("date")),
@@ -251,11 +251,11 @@ def artist_names(title, name, own):
     "url_forms",
     "events",
     "event_id",
-    {"url": "CASE event_id % 6 WHEN 0 THEN 'https://www.video.example/watch?v=abcdefgh' || (100 + event_id % 900) WHEN 1 THEN '//cdn.example/a.png' WHEN 2 THEN '/img/' || event_id WHEN 3 THEN 'p/q?r=1' WHEN 4 THEN 'https://youtu.be/ABCDEFGHIJK' ELSE 'HTTP://WWW.Host' || (event_id % 5) || '.Example:80/x' END"},
+    {"url": "CASE event_id % 6 WHEN 0 THEN 'https://www.youtube.com/watch?v=abcdefgh' || (event_id % 900) WHEN 1 THEN '//cdn.example/a.png' WHEN 2 THEN '/img/' || event_id WHEN 3 THEN 'p/q?r=1' WHEN 4 THEN 'https://youtu.be/ABCDEFGHIJK' ELSE 'HTTP://WWW.Host' || (event_id % 5) || '.Example:80/x' END"},
     {
-        "video": "CASE event_id % 6 WHEN 0 THEN 'abcdefgh' || (100 + event_id % 900) WHEN 4 THEN 'ABCDEFGHIJK' END",
+        "video": "CASE event_id % 6 WHEN 0 THEN 'abcdefgh' || (event_id % 900) WHEN 4 THEN 'ABCDEFGHIJK' END",
         "absolute": "CASE event_id % 6 WHEN 1 THEN 'https:' || url WHEN 2 THEN 'https://shop.example' || url WHEN 3 THEN 'https://shop.example/list/' || url ELSE url END",
-        "host": "CASE event_id % 6 WHEN 0 THEN 'video.example' WHEN 4 THEN 'youtu.be' WHEN 5 THEN 'host' || (event_id % 5) || '.example' ELSE '' END",
+        "host": "CASE event_id % 6 WHEN 0 THEN 'youtube.com' WHEN 4 THEN 'youtu.be' WHEN 5 THEN 'host' || (event_id % 5) || '.example' ELSE '' END",
     },
 )
 def url_forms(url):
@@ -300,6 +300,37 @@ def reward_texts(n):
     return {"rewards": T.reward_text(rewards)}
 
 
+@rule(
+    "reward_shapes",
+    "events",
+    "event_id",
+    {"rewards": """CASE event_id % 8 WHEN 0 THEN '" 100 gems "' WHEN 1 THEN '["a' || event_id || '","", " b "]' WHEN 2 THEN '[{"name":"gem","count":' || (event_id % 3) || '},{"name":"gold","amount":"7"},{"count":2},5]' WHEN 3 THEN '[]' WHEN 4 THEN '{"name":"x"}' WHEN 5 THEN '["1","2","3","4","5","6","7"]' WHEN 6 THEN 'broken' END"""},
+    {"line": "CASE event_id % 8 WHEN 0 THEN '100 gems' WHEN 1 THEN 'a' || event_id || ', b' WHEN 2 THEN 'gem' || CASE WHEN event_id % 3 > 0 THEN ' x' || (event_id % 3) ELSE '' END || ', gold x7' WHEN 5 THEN '1, 2, 3, 4, 5, 6' END"},
+)
+def reward_shapes(rewards):
+    """Rewards given as a text, a list, or a list of names and counts, as one line."""
+    return {"line": T.reward_line(rewards)}
+
+
+@rule(
+    "announced_expiries",
+    "events",
+    "event_id",
+    {
+        "title": "CASE event_id % 3 WHEN 0 THEN '쿠폰 ~ ' || (1 + event_id % 13) || '월 ' || (1 + event_id % 31) || '일까지' ELSE '쿠폰 ' || (1 + event_id % 12) || '월' END",
+        "body": "CASE event_id % 3 WHEN 1 THEN '1월 1일 시작, ' || (1 + event_id % 12) || ' 월 ' || (event_id % 33) || '일 종료' ELSE '없음' END",
+        "posted": "CAST(ts AS DATE) + 60",
+    },
+    {
+        "expires": """strftime(CASE WHEN event_id % 3 = 0 AND event_id % 13 < 12 THEN make_date(year(posted) + CASE WHEN 1 + event_id % 13 < month(posted) - 1 THEN 1 ELSE 0 END, (1 + event_id % 13)::INT, 1) + (event_id % 31)::INT
+WHEN event_id % 3 = 1 AND event_id % 33 BETWEEN 1 AND 31 THEN make_date(year(posted) + CASE WHEN 1 + event_id % 12 < month(posted) - 1 THEN 1 ELSE 0 END, (1 + event_id % 12)::INT, 1) + (event_id % 33 - 1)::INT END, '%Y-%m-%d 23:59:59')"""
+    },
+)
+def announced_expiries(title, body, posted):
+    """Ends of coupons that a title names, or else the last day in the body, in years that aren't written."""
+    return {"expires": F.date_format(D.announced_expiry(title, body, posted), "yyyy-MM-dd HH:mm:ss")}
+
+
 @rule(
     "requests",
     "events",

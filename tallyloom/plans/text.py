@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text as T
+from tallyloom.operators.ranks import running_totals
 from tallyloom.plans.base import query
 from tallyloom.sources.tables import table
 
@@ -78,7 +79,7 @@ def artist_overlap(spark, d):
     "html_text",
     r"""
 WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script>|<style\b.*?</style>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g') AS t FROM pages),
-b AS (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[\s\x{a0}]+', ' ', 'g')) AS t FROM a)
+b AS (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(t, '&middot;', '·'), '&copy;', '©'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '[\s\x{a0}]+', ' ', 'g')) AS t FROM a)
 SELECT page_id, length(t) AS chars, md5(t) AS digest FROM b
 """,
 )
@@ -99,10 +100,15 @@ def url_host(spark, d):
     "SELECT c_mktsegment, left(string_agg(c_name, ' / ' ORDER BY c_custkey), 20000) AS body FROM customer GROUP BY 1",
 )
 def text_concat_cap(spark, d):
-    """Texts of a group in order, joined and cut to a length (the cut is the feature)."""
-    names = F.array_sort(F.collect_list(F.struct("c_custkey", "c_name")))
-    body = F.left(F.array_join(F.transform(names, lambda s: s["c_name"]), " / "), F.lit(20000))
-    return table(spark, d, "customer").groupBy("c_mktsegment").agg(body.alias("body"))
+    """Texts of a group in order, joined and cut to a length (the cut is the feature).
+
+    Where each text would begin is known from running lengths, so only what lies before the cut is gathered.
+    """
+    names = table(spark, d, "customer").select("c_mktsegment", "c_custkey", "c_name")
+    begin = running_totals(names, ["c_mktsegment"], [("c_custkey", False)], F.length("c_name") + 3, "begin_").filter("begin_ < 20000")
+    listed = F.array_sort(F.collect_list(F.struct("c_custkey", "c_name")))
+    body = F.left(F.array_join(F.transform(listed, lambda s: s["c_name"]), " / "), F.lit(20000))
+    return begin.groupBy("c_mktsegment").agg(body.alias("body"))
 
 
 @query("keyword_filter", "SELECT doc_id FROM documents WHERE (contains(lower(text), 'license') OR contains(lower(text), 'token')) AND NOT contains(lower(text), 'apache')")

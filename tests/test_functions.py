@@ -100,3 +100,25 @@ def test_more_dates(spark):
     assert one(spark, D.trusted_announcement(ts("2024-05-01 10:00:00"), days)) is None and one(spark, D.trusted_announcement(ts("9999-01-01 00:00:00"), days)) is None
     assert not one(spark, D.time_known(ts("2024-05-02 12:00:00"))) and one(spark, D.time_known(ts("2024-05-02 12:30:00")))
     assert one(spark, D.human_date(ts("2025-08-14 20:00:00"))) == "Aug 14 (Thu) 8:00 PM"
+
+
+def test_characters_of_html_are_decoded_once(spark):
+    import html
+
+    from tallyloom.functions import text as T
+
+    texts = ["a&amp;lt;b &lt;&gt;", "&#44032;&#xAC00;&#X1F600;&eacute;&nbsp;|&apos;&copy", "&bogus; &#0; &#xD800; &#99999999; &", "", "&amp;", "&hearts;x&hearts;"]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(T.decoded(F.col("t"))).collect()]
+    assert got[:2] == ["a&lt;b <>", "가가😀é\xa0|'&copy"] and got[2] == texts[2] and got[3:] == [html.unescape(t) for t in texts[3:]]
+    page = spark.createDataFrame([("<p>x&#33;<script>1&lt;2</script>&hellip;<b>y</b></p>",), (None,)], "t string").select(T.html_text(F.col("t"))).collect()
+    assert [r[0] for r in page] == ["x! … y", None]
+
+
+def test_subscriptions_keep_all_and_add(spark):
+    from tallyloom.operators import ingest as I
+
+    schema = "u int, t array<string>"
+    old = spark.createDataFrame([(1, ["a"]), (2, None), (3, ["b"]), (4, ["c"])], schema)
+    new = spark.createDataFrame([(1, ["b", "a"]), (2, ["a"]), (3, None), (5, ["z"]), (6, None)], schema)
+    got = {r["u"]: (r["t"], r["asked_"]) for r in I.merge_subscriptions(old, new, ["u"], "t").collect()}
+    assert got == {1: (["a", "b"], True), 2: (None, True), 3: (None, True), 4: (["c"], False), 5: (["z"], True), 6: (None, True)}
