@@ -12,7 +12,7 @@
    or not, and the sums by phrase follow, combined before they are shuffled.
 4. Phrases look up the counts of their parts, in one join, and the greatest count of a longer phrase around them.
 
-Words are 64-bit hashes with their language's in them on the way, and texts again in the result (two words among those of
+Words are 64-bit hashes, seeded with their language's, on the way, and texts again in the result (two words among those of
 a corpus share a hash with a probability of 3e-7 for 2e7 words of which 3e5 are frequent). Counts are 64 bits wide, products decimals.
 
 Defined cases: a null text has no words; a null language is ``und``, together with rows that say so; very long texts are
@@ -46,6 +46,8 @@ HOT_PARTS = 4096
 SLICE = 3_000_000
 #: Parts that a language's phrases are ranked in first.
 RANK_PARTS = 64
+#: Spark's seed: a word's number in tasks is xxhash64(lang, word) as Spark computes it.
+SEED = 42
 #: Ends a piece of text; what is left between spaces and tabs are words.
 ENDS = b".,;:!?\n\v\f\r"
 
@@ -107,9 +109,9 @@ class Slice:
         keys, self.words = _numbered(of * several + codes)
         self.lang, self.word = keys // several, keys % several
         self.langs, self.vocabulary = coded.dictionary.to_pylist(), vocabulary
-        hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, vocabulary), np.uint64, len(vocabulary))
-        spoken = np.fromiter((xxhash.xxh3_64_intdigest(x, seed=1) for x in self.langs), np.uint64, len(self.langs))
-        self.hashes = mixed(hashes[self.word] ^ spoken[self.lang]) if len(keys) else np.empty(0, np.uint64)
+        spoken = [xxhash.xxh64_intdigest(x, seed=SEED) for x in self.langs]
+        word, lang = map(vocabulary.__getitem__, self.word.tolist()), map(spoken.__getitem__, self.lang.tolist())
+        self.hashes = np.fromiter(map(xxhash.xxh64_intdigest, word, lang), np.uint64, len(keys))
 
     def pairs(self) -> np.ndarray:
         """Whether a word and the next one lie in one piece."""
@@ -129,7 +131,7 @@ def _word_counts(batches):
         counts = np.bincount(s.words, minlength=len(s.hashes))
         words = pa.array(s.vocabulary, pa.binary()).cast(pa.string()).take(pa.array(s.word))
         langs = pa.array(s.langs, pa.string()).take(pa.array(s.lang))
-        yield pa.RecordBatch.from_arrays([langs, words, pa.array(s.hashes.view(np.int64)), pa.array(counts)], ["lang", "word", "id", "n"])
+        yield pa.RecordBatch.from_arrays([langs, words, pa.array(counts)], ["lang", "word", "n"])
 
 
 def _pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -272,8 +274,8 @@ def frequent_phrases(docs: DataFrame, least: int = MIN_COUNT, longest: int = LON
     phrase of two words to longest with n >= least)."""
     spark = docs.sparkSession
     texts = docs.filter("text is not null").select("text", F.col("lang").cast("string").alias("lang"))
-    counted = texts.mapInArrow(_word_counts, "lang string, word string, id long, n long")
-    sums = counted.groupBy("lang", "word", "id").agg(F.sum("n").alias("n"))
+    counted = texts.mapInArrow(_word_counts, "lang string, word string, n long")
+    sums = counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).withColumn("id", F.xxhash64("lang", "word"))
     # words that are not frequent are one row of their language
     frequent = lambda c: F.when(F.col("n") >= least, F.col(c)).alias(c)
     words = staged(sums.select("lang", frequent("word"), frequent("id"), "n").groupBy("lang", "word", "id").agg(F.sum("n").alias("n")), "words")

@@ -76,6 +76,14 @@ def test_cut_keeps_texts_and_pieces_apart():
     assert [pieces[i] == pieces[i - 1] for i in range(1, 7)] == [True, False, False, False, False, True]
 
 
+def test_words_have_sparks_numbers(spark):
+    texts, langs = ["a é\tlonger-than-thirty-two-bytes-of-word-here b", "a b", "x"], ["en", "fr", None]
+    s = P.Slice(pa.array(texts), pa.array(langs))
+    rows = [(s.langs[x], s.vocabulary[w].decode(), h) for x, w, h in zip(s.lang, s.word, s.hashes.view(np.int64).tolist(), strict=True)]
+    df = spark.createDataFrame(rows, "lang string, word string, id long")
+    assert df.filter("id = xxhash64(lang, word)").count() == len(rows) == 7
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert P.collocations(docs).count() == 0
