@@ -11,6 +11,7 @@ from tallyloom.operators import lookup as L
 from tallyloom.operators import matching as M
 from tallyloom.operators import resolve as R
 from tallyloom.operators.lineage import fresh_folder
+from tallyloom.operators.ranks import positions
 from tallyloom.plans.base import query
 from tallyloom.sources import readers, sinks
 from tallyloom.sources.tables import table
@@ -260,15 +261,19 @@ FROM part
 def popular_order(spark, d):
     """Ranks within a brand: by rate and views, by status with ended ones newest first, and by name whatever its case."""
     status = F.col("p_size") % 3
-    ended = status == 0
-    name = F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name"))
-    rank = lambda *order: F.row_number().over(W.partitionBy("p_brand").orderBy(*order, "p_partkey"))
-    return table(spark, d, "part").select(
+    parts = table(spark, d, "part").select(
         "p_partkey",
-        rank(F.desc("p_size"), F.desc("p_retailprice")).alias("popular"),
-        rank(F.when(status == 1, 0).when(status == 2, 1).otherwise(2), F.when(ended, -F.col("p_retailprice")).otherwise(F.col("p_retailprice"))).alias("by_status"),
-        rank(F.collate(name, "UTF8_LCASE")).alias("by_name"),
+        "p_brand",
+        "p_size",
+        "p_retailprice",
+        F.when(status == 1, 0).when(status == 2, 1).otherwise(2).alias("status"),
+        F.when(status == 0, -F.col("p_retailprice")).otherwise(F.col("p_retailprice")).alias("by_price"),
+        F.lower("p_name").alias("low"),
     )
+    last = ("p_partkey", False)
+    placed = positions(parts, ["p_brand"], [("p_size", True), ("p_retailprice", True), last], "popular")
+    placed = positions(placed, ["p_brand"], [("status", False), ("by_price", False), last], "by_status")
+    return positions(placed, ["p_brand"], [("low", False), last], "by_name").select("p_partkey", "popular", "by_status", "by_name")
 
 
 @query(
