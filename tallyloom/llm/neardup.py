@@ -15,8 +15,9 @@ closely. Steps:
    connected is not confirmed again, so the links between different texts are all kept up to connection.
 4. the components of the confirmed links.
 
-With 24 bands of 6 samples a pair of similarity 0.85 misses all bands with probability (1 - 0.85^6)^24 = 1.2e-5; the
-sketch passes pairs estimated at 0.68, over 5 standard deviations under 0.85.
+Bands follow from the threshold: at 0.85 there are 24 of 6 samples, which a pair misses with probability (1 - 0.85^6)^24 =
+1.2e-5; at 0.8, 28 of 5 (1.5e-5). The sketch passes pairs estimated up to 5 standard deviations under the threshold: 0.68 at
+0.85, 0.61 at 0.8.
 
 Defined cases: a null text or one without words has the empty set and is linked with nothing; a text shorter than a
 shingle is one shingle; repeated rows have one set and one component; different texts that share a doc_id are one
@@ -40,11 +41,10 @@ from tallyloom.llm.staging import staged
 from tallyloom.llm.textcols import boxed, unboxed
 from tallyloom.llm.words import mixed, shingle_set, slices
 
-BANDS, ROWS = 24, 6
-SAMPLES = BANDS * ROWS
+#: MinHash samples, which bands share out, and the probability to miss that a pair at the threshold may have.
+SAMPLES = 144
+MISSED = 2e-5
 SKETCH_BITS = 512
-#: Pairs whose sketches estimate less are not confirmed.
-SKETCH_FLOOR = 0.68
 #: Classes in a block: two blocks with their full sets are what a task holds.
 BLOCK = 1024
 #: Blocks of a group up to which all of its pairs of blocks are compared; in a larger one, which band hits between texts
@@ -59,7 +59,22 @@ _ADDS = _SEEDS[:, 1]
 _BIT_SHIFT = np.uint64(64 - int(np.log2(SKETCH_BITS)))
 
 
-def max_differing_bits(floor: float = SKETCH_FLOOR) -> int:
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, samples in a band): the longest bands of all samples with which a pair at percent is missed seldom enough."""
+    for rows in range(SAMPLES, 1, -1):
+        bands = SAMPLES // rows
+        if (1 - (percent / 100) ** rows) ** bands <= MISSED:
+            return bands, rows
+    return SAMPLES, 1
+
+
+def sketch_floor(percent: int) -> float:
+    """The similarity that the sketch of a pair at percent estimates but for 5 standard deviations: of the samples, and of the bits."""
+    s = percent / 100
+    return s - 5 * ((s * (1 - s) / SAMPLES) + 0.0165**2) ** 0.5
+
+
+def max_differing_bits(floor: float) -> int:
     """Bits that the XOR of two odd sketches has at most, on average, at similarities of floor or more."""
     differing = 2 * SAMPLES * (1 - floor)
     return int(np.ceil(SKETCH_BITS * (1 - np.exp(-2 * differing / SKETCH_BITS)) / 2))
@@ -97,7 +112,9 @@ def sketches(samples: np.ndarray) -> np.ndarray:
     return np.packbits(parity.astype(np.uint8), axis=1)
 
 
-def _signatures(shingle: int):
+def _signatures(shingle: int, percent: int):
+    bands_, rows_ = banding(percent)
+
     def run(batches):
         for pdf in slices(batches):
             sets = [shingle_set(t, shingle) for t in pdf["text"]]
@@ -110,9 +127,9 @@ def _signatures(shingle: int):
             bands, sketch = [None] * len(sets), [None] * len(sets)
             if full:
                 samples = minhashes([sets[i] for i in full])
-                folded = samples.reshape(BANDS, ROWS, -1)
-                keys = np.arange(BANDS, dtype=np.uint64)[:, None] * np.ones(len(full), np.uint64)
-                for r in range(ROWS):
+                folded = samples[: bands_ * rows_].reshape(bands_, rows_, -1)
+                keys = np.arange(bands_, dtype=np.uint64)[:, None] * np.ones(len(full), np.uint64)
+                for r in range(rows_):
                     keys = mixed(keys * np.uint64(0x9E3779B97F4A7C15) + folded[:, r])
                 packed = sketches(samples)
                 for at, i in enumerate(full):
@@ -137,7 +154,7 @@ def confirm_links(nodes: np.ndarray, block: np.ndarray, sketch: np.ndarray, sets
     sizes = np.array([len(s) for s in sets])
     root = np.arange(count)
     links = []
-    most = max_differing_bits()
+    most = max_differing_bits(sketch_floor(percent))
     for a in range(count - 1):
         rest = np.arange(a + 1, count)
         fine = (np.bitwise_count(sketch[rest] ^ sketch[a]).sum(1) <= most) & (root[rest] != root[a])
@@ -172,7 +189,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     """doc_id, n_shingles, component_id (least doc_id of the component) and kept, a row for each row of docs."""
     slim = docs.select("doc_id", F.xxhash64(F.col("text")).alias("text_key"), "text")
     schema = "doc_id long, text_key long, n_shingles long, set_a long, set_b long, bands array<long>, sketch binary"
-    signed = staged(slim.mapInPandas(_signatures(shingle), schema), "signatures")
+    signed = staged(slim.mapInPandas(_signatures(shingle, percent), schema), "signatures")
 
     first = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("of"), "text_key", "bands", "sketch"))
     classes = signed.filter("n_shingles > 0").groupBy("set_a", "set_b").agg(first.alias("f"), F.min("doc_id").alias("doc_id"))

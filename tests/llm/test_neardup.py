@@ -87,8 +87,7 @@ def test_odd_sketches_estimate_high_similarities():
     assert abs(N.estimated_similarity(N.max_differing_bits(0.68)) - 0.68) < 0.02
 
 
-def test_bands_hold_pairs_at_the_threshold():
-    assert (1 - 0.85**N.ROWS) ** N.BANDS < 2e-5 and (1 - 0.8**N.ROWS) ** N.BANDS < 1e-3
+def test_shingles_repeat_once():
     assert len(shingle_set("a b c a b c", 3)) == 3
 
 
@@ -124,3 +123,30 @@ def test_chained_groups_dealt_by_band_give_the_same(spark, documents, monkeypatc
     monkeypatch.setattr(N, "BLOCK", 7)
     monkeypatch.setattr(N, "CHAINED", 1)
     assert whole == {tuple(r) for r in N.near_duplicates(documents(rows)).collect()} and len({r[2] for r in whole}) < 60
+
+
+def test_other_thresholds_lose_nothing(spark, documents):
+    """As the pipeline runs it (five words, 0.8), and lower."""
+    rows = made_rows()
+    for shingle, percent in ((5, 80), (3, 60)):
+        got = N.near_duplicates(documents(rows), shingle=shingle, percent=percent).collect()
+        assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(brute(rows, shingle, percent))
+
+
+def test_bands_and_sketches_follow_the_threshold():
+    assert [N.banding(p) for p in (60, 80, 85, 95)] == [(48, 3), (28, 5), (24, 6), (13, 11)]
+    for percent in (60, 80, 85, 95):
+        bands, rows = N.banding(percent)
+        assert bands * rows <= N.SAMPLES and (1 - (percent / 100) ** rows) ** bands <= N.MISSED
+    # pairs at the threshold: the share whose sketches differ in too many bits
+    rng = np.random.default_rng(9)
+    for percent in (80, 85):
+        most, wrong = N.max_differing_bits(N.sketch_floor(percent)), 0
+        for _ in range(300):
+            n = 1000
+            common = int(2 * n * percent / (100 + percent))
+            both = rng.integers(1, 2**63, 2 * n - common, dtype=np.int64).astype(np.uint64)
+            a, b = np.sort(both[:n]), np.sort(both[n - common :])
+            packed = N.sketches(N.minhashes([a, b])).view(np.uint64)
+            wrong += int(np.bitwise_count(packed[0] ^ packed[1]).sum()) > most
+        assert wrong == 0
