@@ -10,6 +10,7 @@ from tallyloom.operators import ingest as I
 from tallyloom.operators import lookup as L
 from tallyloom.operators import matching as M
 from tallyloom.operators import resolve as R
+from tallyloom.operators import windows as O
 from tallyloom.operators.lineage import fresh_folder
 from tallyloom.operators.ranks import positions
 from tallyloom.plans.base import query
@@ -536,3 +537,28 @@ def source_chain(spark, d):
     suppliers = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))
     main = readers.first_that_reads([lambda: suppliers.filter("id < 0"), lambda: suppliers.filter("id % 2 = 0")])
     return readers.union_sources({"main": main, "fans": suppliers.filter("id % 3 = 0")}, {"main": 1, "fans": 2})
+
+
+@query(
+    "sources_by_spec",
+    """
+WITH a AS (SELECT s_suppkey AS id, 'main' AS source, 1 AS priority FROM supplier WHERE s_suppkey % 4 = 0 UNION ALL SELECT s_suppkey, 'fans', 3 FROM supplier WHERE s_suppkey % 3 = 0 UNION ALL SELECT c_custkey, 'buyers', 5 FROM customer WHERE c_acctbal < 0)
+SELECT id, source, priority FROM a QUALIFY row_number() OVER (PARTITION BY id ORDER BY priority) = 1
+""",
+)
+def sources_by_spec(spark, d):
+    """What each source has by the best of them: one fails while it is read, one is empty, one has no driver."""
+    suppliers, customers = table(spark, d, "supplier"), table(spark, d, "customer")
+    registry = {
+        "suppliers": lambda every, broken=False: suppliers.filter(F.col("s_suppkey") % every == 0).select((F.raise_error(F.lit("down")).cast("long") if broken else F.col("s_suppkey")).alias("id")),
+        "customers": lambda below: customers.filter(F.col("c_acctbal") < below).select(F.col("c_custkey").alias("id")),
+    }
+    specs = [
+        {"driver": "suppliers", "source": "fans", "every": 3},
+        {"driver": "nobody", "source": "gone"},
+        {"driver": "suppliers", "source": "main", "main": True, "every": 4},
+        {"driver": "customers", "source": "buyers", "below": 0},
+        {"driver": "suppliers", "source": "down", "main": True, "every": 2, "broken": True},
+    ]
+    rows, _ = readers.run_sources(registry, specs)
+    return O.top_per(rows, ["id"], [F.asc("priority")], 1).select("id", "source", "priority")

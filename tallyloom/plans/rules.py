@@ -12,8 +12,9 @@ from tallyloom.functions import predicates as P
 from tallyloom.functions import text as T
 from tallyloom.functions import vectors as V
 from tallyloom.operators import ingest as I
-from tallyloom.plans.base import rule
+from tallyloom.plans.base import query, rule
 from tallyloom.sources import readers as R
+from tallyloom.sources.tables import table
 
 _ACCESSORIES = ["case", "stand", "poster"]
 _DENIED = ["COUPON", "HTTPSABCD1"]
@@ -463,3 +464,45 @@ def page_parts(html):
         "first_link": F.get(links, F.lit(0)),
         "title": F.trim(F.regexp_extract(html, "(?is)<title>(.*?)</title>", 1)),
     }
+
+
+@query(
+    "page_links",
+    """
+WITH l AS (SELECT page_id, regexp_extract_all(html, 'href="(/[^"]*)"', 1) AS links FROM pages)
+SELECT page_id, len(list_distinct(links))::BIGINT AS n, links[1] AS first, array_to_string(list_sort(list_distinct(links)), ' ') AS links FROM l
+""",
+)
+def page_links(spark, d):
+    """Links within the site of real pages, each once."""
+    links = T.links_in_order(F.col("html"), '(/[^"]*)')
+    found = table(spark, d, "pages").select("page_id", links.alias("links"))
+    return found.select("page_id", F.size("links").cast("long").alias("n"), F.get("links", F.lit(0)).alias("first"), F.array_join(F.array_sort("links"), " ").alias("links"))
+
+
+@query(
+    "page_headings",
+    r"""
+WITH e AS (SELECT page_id, regexp_extract_all(html, '(?is)<h1\b[^>]*>(.*?)</h1\s*>', 1) AS h, regexp_extract_all(html, '(?is)<p\b[^>]*>(.*?)</p\s*>', 1) AS p FROM pages)
+SELECT page_id, len(h)::BIGINT AS headings, len(p)::BIGINT AS paragraphs, trim(regexp_replace(regexp_replace(h[1], '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS heading FROM e
+""",
+)
+def page_headings(spark, d):
+    """Headings and paragraphs of real pages."""
+    texts = lambda tag: R.element_texts(F.col("html"), tag)
+    found = table(spark, d, "pages").select("page_id", texts("h1").alias("h"), texts("p").alias("p"))
+    return found.select("page_id", F.size("h").cast("long").alias("headings"), F.size("p").cast("long").alias("paragraphs"), F.get("h", F.lit(0)).alias("heading"))
+
+
+@query(
+    "document_codes",
+    rf"""
+WITH t AS (SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z0-9]+'))) AS tok FROM documents)
+SELECT doc_id, count(*) AS n, min(tok) AS first, max(tok) AS last FROM t WHERE {_is_code("tok")} GROUP BY 1
+""",
+)
+def document_codes(spark, d):
+    """Tokens of real documents that look like redeem codes."""
+    tokens = F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]+"), 0))
+    found = table(spark, d, "documents").select("doc_id", F.explode(tokens).alias("tok")).filter(T.is_code_token(F.col("tok"), _DENIED))
+    return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("tok").alias("first"), F.max("tok").alias("last"))

@@ -5,12 +5,15 @@ Fetching is not done here; every reader starts from files or from a column of pa
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.operators.lineage import checkpointed
+
 
 def read_json_list(spark: SparkSession, path: str, schema: str, required: list[str]) -> tuple[DataFrame, DataFrame]:
     """Rows of JSON files of objects, and the rejected ones: those that don't parse or lack a required field."""
@@ -143,3 +146,30 @@ def union_sources(sources: dict[str, DataFrame], priority: dict[str, int]) -> Da
         tagged = rows.withColumn("source", F.lit(name)).withColumn("priority", F.lit(priority.get(name, 99)))
         out = tagged if out is None else out.unionByName(tagged, allowMissingColumns=True)
     return out
+
+
+def run_sources(registry: dict[str, Callable[..., DataFrame]], specs: list[dict], keep: Callable[[DataFrame], DataFrame] = checkpointed) -> tuple[DataFrame | None, list[dict]]:
+    """(rows of all sources with source and priority, a report of each) as specs say.
+
+    A spec names its driver in the registry, a label and whether the source is a main one; what else it has are the driver's
+    arguments. Main sources come first, and within either kind the order of the specs is the priority. Each source is read
+    through by itself (keep), so that one that fails, whether at once or while its rows are read, costs no other; an unknown
+    driver and an empty source are reported too. None if no source has rows.
+    """
+    out, report = None, []
+    ordered = sorted(specs, key=lambda s: not s.get("main", False))
+    for priority, spec in enumerate(ordered, 1):
+        label, outcome, rows = spec.get("source", spec["driver"]), "read", None
+        try:
+            driver = registry[spec["driver"]]
+            rows = keep(driver(**{k: v for k, v in spec.items() if k not in ("driver", "source", "main")}))
+            outcome = "empty" if rows.isEmpty() else "read"
+        except KeyError as missing:
+            outcome = f"no driver {missing}" if spec["driver"] not in registry else f"failed: {missing!r}"
+        except Exception as failed:  # noqa: BLE001  one source's failure is its own
+            outcome = f"failed: {type(failed).__name__}"
+        report.append({"source": label, "priority": priority, "outcome": outcome})
+        if outcome == "read":
+            tagged = rows.withColumns({"source": F.lit(label), "priority": F.lit(priority)})
+            out = tagged if out is None else out.unionByName(tagged, allowMissingColumns=True)
+    return out, report

@@ -206,3 +206,17 @@ def test_streamed_restocks_are_those_of_the_batch(spark, tmp_path):
     q.stop()
     batch = W.transitions(spark.createDataFrame(turns, schema), ["offer"], ["seq"], F.col("available")).select("offer", "seq")
     assert rows(spark.table("restocked")) == rows(batch) and batch.count() > 20
+
+
+def test_sources_fail_by_themselves(spark):
+    bad = lambda: spark.range(3).select(F.raise_error(F.lit("down")).cast("long").alias("id"))
+
+    def refuses(**_):
+        raise OSError("no route")
+
+    registry = {"range": lambda n: spark.range(n), "bad": bad, "refuses": refuses}
+    specs = [{"driver": "range", "source": "b", "n": 2}, {"driver": "bad"}, {"driver": "range", "source": "a", "main": True, "n": 1}, {"driver": "range", "source": "none", "n": 0}, {"driver": "?"}, {"driver": "refuses", "x": 1}]
+    got, report = S.run_sources(registry, specs)
+    assert rows(got) == {(0, "a", 1), (0, "b", 2), (1, "b", 2)}
+    assert [(r["source"], r["outcome"].split(":")[0]) for r in report] == [("a", "read"), ("b", "read"), ("bad", "failed"), ("none", "empty"), ("?", "no driver '?'"), ("refuses", "failed")]
+    assert S.run_sources(registry, specs[4:])[0] is None
