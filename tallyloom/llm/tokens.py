@@ -26,9 +26,9 @@ from tallyloom.llm.words import forget
 TOKENIZER = "word_bpe_49k.json"
 #: Words and stems that a worker remembers in each of two generations. When the younger is full, it becomes the older,
 #: and what is met again moves up, so common words stay; between tasks only the younger stays. This changes no result.
-REMEMBERED, STEMS = 140_000, 120_000
+REMEMBERED, STEMS = 80_000, 70_000
 #: Bytes of the texts that are cut and coded together, at least one text's, and stems in one call's text.
-BYTES, CALL = 3_000_000, 1024
+BYTES, CALL = 1_500_000, 1024
 #: What may follow a stem's letters and be apart from them: no white space, letter, digit or apostrophe.
 TAIL = ".,;:!?#*%$&|<>()[]{}\"/=+~-"
 #: The last letter of the scripts (Latin, Greek, Cyrillic) whose letters and cases don't differ between Unicode's versions.
