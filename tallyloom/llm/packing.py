@@ -151,13 +151,13 @@ class Packer:
         return rows
 
 
-def _packed(path: str, limits: Limits, end_id: int, chunk: int):
+def _packed(path: str, limits: Limits, end_id: int, chunk: int, memory: float):
     def run(batches):
         from pyspark import TaskContext
 
         first = TaskContext.get().partitionId() * SEQUENCES_PER_TASK
         packer = Packer(limits, first)
-        tokenizer = word_tokenizer(path)
+        tokenizer = word_tokenizer(path, memory)
         end = np.array([end_id], "<u4").tobytes()
         held: dict[int, tuple] = {}  # example -> doc_id, ids; of those that still have a piece to come
         count = size = 0
@@ -191,12 +191,13 @@ def _packed(path: str, limits: Limits, end_id: int, chunk: int):
     return run
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, limits: Limits = Limits(), end_id: int = 2, chunk: int = CHUNK, loss_from: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str | None = None, limits: Limits = Limits(), end_id: int = 2, chunk: int = CHUNK, loss_from: str | None = None, memory: float = 1.0) -> DataFrame:
     """Pieces: doc_id, example_id (one for each row), start, length, ids (little-endian unsigned 32-bit), doc_tokens,
     sequence_id, offset and loss_tokens.
 
-    loss_from: the column with the first loss-bearing token of each example, if not all are.
+    loss_from: the column with the first loss-bearing token of each example, if not all are. memory: share of the words that a worker
+    remembers otherwise, where other work needs the room; it changes no result.
     """
     first_loss = F.col(loss_from).cast("long") if loss_from else F.lit(0).cast("long")
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text"), first_loss.alias("loss_from"))
-    return rows.mapInArrow(_packed(path or tokenizer_path(), limits, end_id, chunk), SCHEMA)
+    return rows.mapInArrow(_packed(path or tokenizer_path(), limits, end_id, chunk, memory), SCHEMA)

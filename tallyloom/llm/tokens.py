@@ -26,7 +26,7 @@ from tallyloom.llm.words import forget
 TOKENIZER = "word_bpe_49k.json"
 #: Words and stems that a worker remembers in each of two generations. When the younger is full, it becomes the older,
 #: and what is met again moves up, so common words stay; between tasks only the younger stays. This changes no result.
-REMEMBERED, STEMS = 80_000, 70_000
+REMEMBERED, STEMS = 140_000, 120_000
 #: Bytes of the texts that are cut and coded together, at least one text's, and stems in one call's text.
 BYTES, CALL = 1_500_000, 1024
 #: What may follow a stem's letters and be apart from them: no white space, letter, digit or apostrophe.
@@ -85,14 +85,14 @@ def _stem_tokenizer(path: str):
 class WordTokenizer:
     """Ids as little-endian unsigned 32-bit numbers in bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: float = 1.0):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.path = path
         self._tokenizer = Tokenizer.from_file(path)
         self._stem_tokenizer = _stem_tokenizer(path)
-        self._words, self._stems = Memory(REMEMBERED), Memory(STEMS)
+        self._words, self._stems = Memory(int(REMEMBERED * memory)), Memory(int(STEMS * memory))
         self._tails: dict[str, bytes] = {"": b""}
 
     def _whole(self, words: list[str]) -> list[bytes]:
@@ -179,11 +179,11 @@ def _parts(texts: pa.Array) -> Iterator[pa.Array]:
             yield texts[lo:hi]
 
 
-_TOKENIZERS: dict[str, WordTokenizer] = {}
+_TOKENIZERS: dict[tuple, WordTokenizer] = {}
 
 
-def word_tokenizer(path: str) -> WordTokenizer:
-    """One for each worker and path, kept between tasks."""
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordTokenizer(path)
-    return _TOKENIZERS[path]
+def word_tokenizer(path: str, memory: float = 1.0) -> WordTokenizer:
+    """One for each worker, path and share of the memory of words, kept between tasks."""
+    if (path, memory) not in _TOKENIZERS:
+        _TOKENIZERS[path, memory] = WordTokenizer(path, memory)
+    return _TOKENIZERS[path, memory]
