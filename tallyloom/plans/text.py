@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text as T
+from tallyloom.operators import matching as M
 from tallyloom.operators.ranks import running_totals
 from tallyloom.plans.base import query
 from tallyloom.sources.tables import table
@@ -65,14 +66,9 @@ SELECT a.p_partkey AS id, count(*) AS twins FROM b a JOIN b c ON a.p_size = c.p_
 """,
 )
 def artist_overlap(spark, d):
-    """Same day (here: size), another source (here: brand), a token in common.
-
-    Tokens are exploded, so the join's key is day and token; pairs that share several count once.
-    """
-    rows = table(spark, d, "part").select("p_partkey", "p_brand", "p_size", F.explode(T.artist_tokens(F.col("p_name"), ["old", "new"])).alias("token"))
-    other = rows.select(F.col("p_partkey").alias("other"), F.col("p_brand").alias("b2"), "p_size", "token")
-    pairs = rows.join(other, ["p_size", "token"]).filter("p_brand <> b2").select("p_partkey", "other").distinct()
-    return pairs.groupBy(F.col("p_partkey").alias("id")).agg(F.count("*").alias("twins"))
+    """How many rows have the same day (here: size), another source (here: brand) and a token in common."""
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_brand", "p_size", T.artist_tokens(F.col("p_name"), ["old", "new"]).alias("toks"))
+    return M.twins(rows, "id", "p_size", "p_brand", "toks")
 
 
 @query(
