@@ -10,9 +10,11 @@ interval that ends before it starts holds no day and meets nothing.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.operators.joins import measured_join
+from tallyloom.operators.lineage import checkpointed
 
 #: log2 of the days of the line, which has day 0 (1970-01-01) in the middle: all dates of Spark.
 LEVELS = 23
@@ -39,12 +41,16 @@ def forebears(ranges: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(ranges, lambda r: F.filter(F.transform(F.sequence(F.lit(1), F.lit(LEVELS)), lambda j: F.call_function("shiftright", r, j)), lambda x: x > 0))))
 
 
-def _placed(rows: DataFrame, starts: str, ends: str) -> DataFrame:
-    """Rows with first_ and last_ (places on the line) and cover_; those without a day are left out."""
+def _days(rows: DataFrame, starts: str, ends: str) -> DataFrame:
+    """Rows with first_ and last_ (places on the line); those without a day are left out."""
     first = F.coalesce(_day(F.col(starts)), F.lit(0).cast("long"))
     last = F.coalesce(_day(F.col(ends)), F.lit(2 * _MIDDLE - 1).cast("long"))
-    placed = rows.withColumns({"first_": first, "last_": last}).filter("first_ <= last_")
-    return placed.withColumn("cover_", cover(F.col("first_"), F.col("last_")))
+    return rows.withColumns({"first_": first, "last_": last}).filter("first_ <= last_")
+
+
+def _placed(rows: DataFrame, starts: str, ends: str) -> DataFrame:
+    """Rows with first_, last_ and cover_."""
+    return _days(rows, starts, ends).withColumn("cover_", cover(F.col("first_"), F.col("last_")))
 
 
 def met_elsewhere(rows: DataFrame, key: str, kind: str, source: str, starts: str, ends: str) -> DataFrame:
@@ -63,6 +69,28 @@ def met_elsewhere(rows: DataFrame, key: str, kind: str, source: str, starts: str
     return rows.join(met.select(key).distinct(), key, "left_semi")
 
 
+def meeting_sums(left: DataFrame, left_span: tuple[str, str], right: DataFrame, right_span: tuple[str, str], least: Column, on: list[str] | None = None) -> DataFrame:
+    """left's rows that meet any of right, with ``met`` (how many) and ``least`` (the least value of a column among them).
+
+    An interval meets another if it holds the other's first day or starts within its later days. The first are found at
+    the ranges above that day, each of which is in an interval's cover or not; the second at the ranges that cover the
+    later days, which each start lies in or not. Either way one range counts an interval, so ranges' sums are all that is
+    joined, and no pair is made. Equal intervals of either side are summed up, or looked up, once.
+    """
+    on = on or []
+    spans = [*on, "first_", "last_"]
+    up = lambda day: F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), lambda j: F.call_function("shiftright", day + (1 << LEVELS), j))
+    tagged = lambda holds, starts: F.inline(F.concat(F.transform(holds, lambda r: F.struct(r.alias("range_"), F.lit(True).alias("holds_"))), F.transform(starts, lambda r: F.struct(r.alias("range_"), F.lit(False).alias("holds_")))))
+    b = _days(right, *right_span).groupBy(*spans).agg(F.count("*").alias("n_"), F.min(least).alias("m_"))
+    b = b.select(*on, "n_", "m_", tagged(cover(F.col("first_"), F.col("last_")), up(F.col("first_"))))
+    b = checkpointed(b.groupBy(*on, "range_", "holds_").agg(F.sum("n_").alias("n_"), F.min("m_").alias("m_")))
+    a = _days(left, *left_span)
+    asked = a.select(*spans).distinct()
+    asked = asked.select(*spans, tagged(up(F.col("first_")), cover(F.col("first_") + 1, F.col("last_"))))
+    found = measured_join(asked, b, [*on, "range_", "holds_"]).groupBy(*spans).agg(F.sum("n_").alias("met"), F.min("m_").alias("least"))
+    return a.join(found.hint("merge"), spans).select(*[F.col(c) for c in left.columns], "met", "least")
+
+
 def meeting_pairs(left: DataFrame, left_span: tuple[str, str], right: DataFrame, right_span: tuple[str, str], on: list[str] | None = None) -> DataFrame:
     """All columns of left and right (names must differ, but for those of ``on``) for each pair whose intervals meet, once.
 

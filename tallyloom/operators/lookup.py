@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.operators.intervals import meeting_pairs
+from tallyloom.operators.intervals import meeting_sums
 
 
 def tiered_lookup(left: DataFrame, left_id: str, masters: DataFrame, master_id: str, tiers: list[tuple[Column, Column, bool]]) -> DataFrame:
@@ -31,14 +31,14 @@ def overlapping(rows: DataFrame, starts: str, ends: str, first: Column, last: Co
 def season_match(rows: DataFrame, seasons: DataFrame, row_id: str) -> DataFrame:
     """rows (number, starts, ends, name) with the season of the same number, or else the first that overlaps, by name first.
 
-    Intervals meet by the dyadic ranges that make them up, so the join has equalities and long intervals few keys.
+    Intervals meet by the sums of dyadic ranges, so neither long intervals nor many seasons make pairs.
     """
     by_number = rows.join(seasons.filter("number is not null").groupBy("number").agg(F.min("season").alias("by_number")), "number", "left")
     open_ = by_number.filter("by_number is null").select(row_id, "starts", "ends", "name")
-    spans = seasons.select(F.col("season").alias("by_span"), F.col("starts").alias("s_starts"), F.col("ends").alias("s_ends"), F.col("name").alias("s_name"))
-    found = meeting_pairs(open_, ("starts", "ends"), spans, ("s_starts", "s_ends"))
-    first = F.struct((~F.coalesce(F.col("name") == F.col("s_name"), F.lit(False))).alias("other"), "s_starts", "by_span")
-    found = found.groupBy(row_id).agg(F.min(first)["by_span"].alias("by_span"))
+    spans = seasons.select(F.col("season").alias("by_span"), F.col("starts").alias("s_starts"), F.col("ends").alias("s_ends"), "name")
+    first = lambda on: meeting_sums(open_, ("starts", "ends"), spans, ("s_starts", "s_ends"), F.struct("s_starts", "by_span"), on)
+    found = first(["name"]).select(row_id, F.lit(0).alias("other"), "least").unionByName(first([]).select(row_id, F.lit(1).alias("other"), "least"))
+    found = found.groupBy(row_id).agg(F.min(F.struct("other", "least"))["least"]["by_span"].alias("by_span"))
     return by_number.join(found, row_id, "left").select(row_id, F.coalesce("by_number", "by_span").alias("season"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import dates as D
 from tallyloom.operators import lookup as L
-from tallyloom.operators.intervals import meeting_pairs, met_elsewhere
+from tallyloom.operators.intervals import meeting_sums, met_elsewhere
 from tallyloom.plans.base import query
 from tallyloom.sources.tables import table
 
@@ -51,8 +51,8 @@ def raids_of_seasons(spark, d):
     opens = F.expr("date_add(date'1995-01-01', cast(c_custkey * 37 % 1500 as int))")
     seasons = table(spark, d, "customer").select("c_custkey", opens.alias("opens"), F.expr("case when c_custkey % 11 <> 0 then date_add(date_add(date'1995-01-01', cast(c_custkey * 37 % 1500 as int)), cast((c_custkey % 5) * (c_custkey % 90) as int)) end").alias("closes"))
     raids = _spans(spark, d).filter("o_orderstatus = 'P'").select("o_orderkey", "starts", "ends")
-    pairs = meeting_pairs(seasons, ("opens", "closes"), raids, ("starts", "ends"))
-    return pairs.groupBy("c_custkey").agg(F.count("*").alias("n"), F.min("o_orderkey").alias("first"))
+    sums = meeting_sums(seasons, ("opens", "closes"), raids, ("starts", "ends"), F.col("o_orderkey"))
+    return sums.groupBy("c_custkey").agg(F.sum("met").alias("n"), F.min("least").alias("first"))
 
 
 @query(

@@ -19,3 +19,23 @@ def test_twins_of_a_hot_token_are_counted_not_paired(spark):
     odd = spark.createDataFrame([(HOT, "s0", 1, ["t1", "x"]), (HOT + 1, None, 1, ["hot"]), (HOT + 2, "s9", 2, ["hot"]), (HOT + 3, "s0", None, ["hot"]), (HOT + 4, "s1", 1, [])], "id long, src string, day int, toks array<string>")
     got = {r["id"]: r["twins"] for r in M.twins(rows.union(odd), "id", "day", "src", "toks").collect()}
     assert len(got) == HOT + 1 and got[0] == 2 * HOT // 3 and got[1] == 2 * HOT // 3 + 1 and got[HOT] == HOT // 3
+
+
+def test_sums_of_meeting_intervals_against_all_pairs(spark):
+    rng = random.Random(5)
+    day = lambda n: None if n is None else dt.date(2000, 1, 1) + dt.timedelta(n)
+    span = lambda: (rng.choice([None, *range(60)]), rng.choice([None, *range(60)]))
+    a, b = [(i, *span()) for i in range(80)], [(100 + i, *span()) for i in range(80)]
+    fine = lambda r: (r[1] if r[1] is not None else -(10**6)) <= (r[2] if r[2] is not None else 10**6)
+    low, high = (lambda r: -(10**6) if r[1] is None else r[1]), (lambda r: 10**6 if r[2] is None else r[2])
+    want = {}
+    for x in a:
+        met = [y[0] for y in b if fine(x) and fine(y) and low(y) <= high(x) and low(x) <= high(y)]
+        if met:
+            want[x[0]] = (len(met), min(met))
+    frame = lambda rows, k, s, e: spark.createDataFrame([(i, day(p), day(q)) for i, p, q in rows], f"{k} int, {s} date, {e} date")
+    got = V.meeting_sums(frame(a, "id", "p", "q"), ("p", "q"), frame(b, "other", "r", "s"), ("r", "s"), F.col("other"))
+    assert {r["id"]: (r["met"], r["least"]) for r in got.collect()} == want
+    many = spark.range(HOT).selectExpr("id", "date'2000-01-01' AS p", "date'2000-03-01' AS q")
+    got = V.meeting_sums(many, ("p", "q"), many, ("p", "q"), F.col("id")).select("met", "least").distinct().collect()
+    assert [tuple(r) for r in got] == [(HOT, 0)]
