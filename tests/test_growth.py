@@ -39,3 +39,10 @@ def test_sums_of_meeting_intervals_against_all_pairs(spark):
     many = spark.range(HOT).selectExpr("id", "date'2000-01-01' AS p", "date'2000-03-01' AS q")
     got = V.meeting_sums(many, ("p", "q"), many, ("p", "q"), F.col("id")).select("met", "least").distinct().collect()
     assert [tuple(r) for r in got] == [(HOT, 0)]
+
+
+def test_rows_with_the_same_words_are_one_class(spark):
+    rows = spark.range(HOT).selectExpr("id", "1 AS b", "array('a', 'b', 'c') AS toks")
+    products = spark.range(HOT).selectExpr("id AS product", "1 AS b", "array('a', 'b', if(id % 2 = 0, 'x1', 'c')) AS toks")
+    got = M.fuzzy_best(rows, products, ["b"], "id", "product", "toks", 2).groupBy("product", "shared").count().collect()
+    assert [tuple(r) for r in got] == [(1, 3, HOT)]
