@@ -27,13 +27,13 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every neighbour above a node is hung on the least of the node and its neighbours."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return both.join(least.hint("merge"), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its neighbours below are hung on the least of these."""
     least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    below = edges.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    below = edges.join(least.hint("merge"), "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return below.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 

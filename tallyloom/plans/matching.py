@@ -137,9 +137,7 @@ def image_groups(spark, d):
         toks.alias("toks"),
         base.bitwiseXOR(flips).alias("bits"),
     )
-    pairs = M.hashed_pairs(items, ["p_brand", "scale", "acc", "variant"], "id", "bits", 3)
-    sides = pairs.join(items.select(F.col("id").alias("a"), F.col("toks").alias("x_")), "a").join(items.select(F.col("id").alias("b"), F.col("toks").alias("y_")), "b")
-    return R.clusters(sides.filter(~T.tokens_conflict(_RIGID)("x_", "y_")).select("a", "b"))
+    return M.hashed_clusters(items, ["p_brand", "scale", "acc", "variant"], "id", "bits", "toks", 3, _RIGID)
 
 
 _SAID = "CASE event_id % 5 WHEN 0 THEN 'Guide for nation_' || (event_id % 31) WHEN 1 THEN 'weekly RAID notes' WHEN 2 THEN 'NATION_' || (event_id % 25) || ' and Nation_3 party' ELSE 'chat ' || event_id END"

@@ -46,3 +46,24 @@ def test_rows_with_the_same_words_are_one_class(spark):
     products = spark.range(HOT).selectExpr("id AS product", "1 AS b", "array('a', 'b', if(id % 2 = 0, 'x1', 'c')) AS toks")
     got = M.fuzzy_best(rows, products, ["b"], "id", "product", "toks", 2).groupBy("product", "shared").count().collect()
     assert [tuple(r) for r in got] == [(1, 3, HOT)]
+
+
+def test_clusters_of_hashes_against_all_pairs(spark):
+    rng = random.Random(2)
+    centres = [rng.getrandbits(63) for _ in range(6)]
+    rows = [(i, rng.choice("xy"), rng.choice(centres) ^ (1 << rng.randrange(63)) ^ (1 << rng.randrange(63)), rng.choice([["a", "b"], ["a", "c"], ["a"]])) for i in range(150)]
+    from tallyloom.functions.text import conflicting_words
+
+    reach = {r[0]: r[0] for r in rows}
+    linked = set()
+    pairs = [(r[0], q[0]) for r in rows for q in rows if r[0] < q[0] and r[1] == q[1] and (r[2] ^ q[2]).bit_count() <= 3 and not conflicting_words(r[3], q[3])]
+    for _ in rows:
+        for a, b in pairs:
+            linked |= {a, b}
+            reach[a] = reach[b] = min(reach[a], reach[b])
+    df = spark.createDataFrame(rows, "id long, b string, bits long, toks array<string>")
+    for dealt in (1024, 4):
+        got = {r["node"]: r["cluster"] for r in M.hashed_clusters(df, ["b"], "id", "bits", "toks", 3, dealt=dealt).collect()}
+        assert got == {k: reach[k] for k in linked}
+    hot = spark.range(HOT).selectExpr("id", "1 AS b", "7L AS bits", "array('a') AS toks")
+    assert [tuple(r) for r in M.hashed_clusters(hot, ["b"], "id", "bits", "toks", 3).groupBy("cluster").count().collect()] == [(0, HOT)]
