@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from tallyloom.functions import predicates as P
 from tallyloom.functions import text as T
 from tallyloom.operators import lookup as L
+from tallyloom.operators.joins import measured_join
+from tallyloom.operators.lineage import checkpointed
 from tallyloom.plans.base import query
 from tallyloom.sources.tables import table
 
@@ -97,9 +99,10 @@ def substitutes_attached(spark, d):
     """Lists of substitutes attached to the rows of their group."""
     part = table(spark, d, "part")
     entry = F.array_sort(F.collect_list(F.struct((-F.col("p_retailprice")).alias("p"), "p_partkey")))
-    groups = part.groupBy("p_brand", "p_type").agg(entry.alias("l"), F.count("*").alias("n"))
-    joined = part.select("p_partkey", "p_brand", "p_type").join(groups, ["p_brand", "p_type"])
-    return joined.select("p_partkey", "n", F.array_join(F.transform("l", lambda e: e["p_partkey"].cast("string")), ",").alias("substitutes"))
+    listed = F.array_join(F.transform(entry, lambda e: e["p_partkey"].cast("string")), ",")  # made once for a group, not for each row
+    groups = checkpointed(part.groupBy("p_brand", "p_type").agg(listed.alias("substitutes"), F.count("*").alias("n")))
+    joined = measured_join(part.select("p_partkey", "p_brand", "p_type"), groups, ["p_brand", "p_type"])
+    return joined.select("p_partkey", "n", "substitutes")
 
 
 _AGENTS = "CASE user_id % 5 WHEN 0 THEN 'Googlebot/2.1' WHEN 1 THEN 'iPad; CPU OS' WHEN 2 THEN 'Android Mobile' ELSE 'Windows NT' END"

@@ -67,3 +67,8 @@ def test_clusters_of_hashes_against_all_pairs(spark):
         assert got == {k: reach[k] for k in linked}
     hot = spark.range(HOT).selectExpr("id", "1 AS b", "7L AS bits", "array('a') AS toks")
     assert [tuple(r) for r in M.hashed_clusters(hot, ["b"], "id", "bits", "toks", 3).groupBy("cluster").count().collect()] == [(0, HOT)]
+
+
+def test_lists_of_groups_are_made_once(spark):
+    plan = QUERIES["substitutes_attached"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_join" not in plan and "transform" not in plan  # rows take their group's list as it is
