@@ -146,11 +146,12 @@ def attach_duplicates(old: DataFrame, new: DataFrame, same: list[str], key: str,
     """old with empty links filled from duplicates in new, and the rows of new that duplicate nothing.
 
     A duplicate has the same values in ``same`` (a day) and a token in common; tokens are exploded into the join's key.
-    The least key that shares a token is the one that keeps the duplicate's links.
+    The least key that shares a token is the one that keeps the duplicate's links, so of the old rows with a token only the
+    least key is joined: a new row has no more matches than tokens.
     """
-    mine = old.select(F.col(key).alias("old_key"), *same, F.explode(tokens).alias("token_"))
+    mine = old.select(F.col(key).alias("old_key"), *same, F.explode(tokens).alias("token_")).groupBy(*same, "token_").agg(F.min("old_key").alias("old_key"))
     other = new.select(F.col(key).alias("new_key"), links, *same, F.explode(tokens).alias("token_"))
-    pairs = mine.join(other, [*same, "token_"]).groupBy("new_key").agg(F.min("old_key").alias(key), F.first(links).alias("links_"))
+    pairs = mine.join(other, [*same, "token_"]).groupBy("new_key").agg(F.min("old_key").alias(key), F.min(links).alias("links_"))
     best = pairs.groupBy(key).agg(F.min_by("links_", "new_key").alias("links_"))
     filled = old.join(best, key, "left").withColumn(links, F.when(F.col(links).isNull() | (F.size(links) == 0), F.coalesce("links_", links)).otherwise(F.col(links))).drop("links_")
     return filled, new.join(pairs.select(F.col("new_key").alias(key)), key, "left_anti")

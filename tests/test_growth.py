@@ -72,3 +72,10 @@ def test_clusters_of_hashes_against_all_pairs(spark):
 def test_lists_of_groups_are_made_once(spark):
     plan = QUERIES["substitutes_attached"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "array_join" not in plan and "transform" not in plan  # rows take their group's list as it is
+
+
+def test_duplicates_of_a_hot_token_make_no_pairs(spark):
+    old = spark.range(HOT).selectExpr("id", "1 AS day", "array('hot') AS toks", "cast(array() AS array<string>) AS links")
+    new = spark.range(HOT, 2 * HOT).selectExpr("id", "1 AS day", "array('hot', 'x') AS toks", "array('l' || id) AS links")
+    filled, fresh = I.attach_duplicates(old, new, ["day"], "id", "toks", "links")
+    assert fresh.count() == 0 and [tuple(r) for r in filled.filter("size(links) > 0").select("id", "links").collect()] == [(0, [f"l{HOT}"])]
