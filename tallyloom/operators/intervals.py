@@ -56,17 +56,25 @@ def _placed(rows: DataFrame, starts: str, ends: str) -> DataFrame:
 def met_elsewhere(rows: DataFrame, key: str, kind: str, source: str, starts: str, ends: str) -> DataFrame:
     """Rows that another source's row of the same kind meets; repeated rows stay as often as they are there.
 
-    Of the other side only the least and the greatest source of each kind and range matter, so no pair is made.
+    Those that a row meets are the ones that start by its end less the ones that end before its start. Both are running
+    sums over days by kind, of which the own source's share is taken away, so no pair is made and each row asks two days
+    of a table of kinds, sources and days.
     """
-    placed = _placed(rows.select(key, kind, source, starts, ends).distinct(), starts, ends)
-    own = placed.select(key, kind, source, F.explode("cover_").alias("range_"), F.lit(True).alias("low_"))
-    above = placed.select(key, kind, source, F.explode(forebears(F.col("cover_"))).alias("range_"), F.lit(False).alias("low_"))
-    every = own.union(above)
-    least, most = F.min(source), F.max(source)
-    sums = every.groupBy(kind, "range_").agg(F.min(F.when(F.col("low_"), F.col(source))).alias("a_"), F.max(F.when(F.col("low_"), F.col(source))).alias("b_"), least.alias("c_"), most.alias("d_"))
-    other = lambda low, high: (F.col(low) != F.col(source)) | (F.col(high) != F.col(source))
-    met = measured_join(every, sums, [kind, "range_"]).filter(F.when(F.col("low_"), other("c_", "d_")).otherwise(other("a_", "b_")))
-    return rows.join(met.select(key).distinct(), key, "left_semi")
+    placed = checkpointed(_days(rows, starts, ends).filter(F.col(kind).isNotNull() & F.col(source).isNotNull()))
+    event = lambda day, opened, closed: F.struct(day.alias("day_"), F.lit(opened).alias("o_"), F.lit(closed).alias("c_"))
+    first, last = F.col("first_"), F.col("last_")
+    events = placed.select(kind, source, F.inline(F.array(event(first, 1, 0), event(last, 0, 0), event(last + 1, 0, 1))))
+    own = events.groupBy(kind, source, "day_").agg(F.sum("o_").alias("o_"), F.sum("c_").alias("c_"))
+    every = own.groupBy(kind, "day_").agg(F.sum("o_").alias("all_o_"), F.sum("c_").alias("all_c_"))
+    # a window holds a row for each day that occurs, so the calendar bounds it
+    upto = lambda c, *by: F.sum(c).over(W.partitionBy(*by).orderBy("day_").rowsBetween(W.unboundedPreceding, W.currentRow))
+    own = own.withColumns({"o_": upto("o_", kind, source), "c_": upto("c_", kind, source)})
+    every = every.withColumns({"all_o_": upto("all_o_", kind), "all_c_": upto("all_c_", kind)})
+    sums = own.join(every, [kind, "day_"]).select(kind, source, "day_", (F.col("all_o_") - F.col("o_")).alias("opened_"), (F.col("all_c_") - F.col("c_")).alias("closed_"))
+    sums = checkpointed(sums)
+    out = measured_join(placed, sums.select(kind, source, F.col("day_").alias("last_"), "opened_"), [kind, source, "last_"])
+    out = measured_join(out, sums.select(kind, source, F.col("day_").alias("first_"), "closed_"), [kind, source, "first_"])
+    return out.filter("opened_ > closed_").select(*rows.columns)
 
 
 def meeting_sums(left: DataFrame, left_span: tuple[str, str], right: DataFrame, right_span: tuple[str, str], least: Column, on: list[str] | None = None) -> DataFrame:

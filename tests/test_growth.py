@@ -79,3 +79,11 @@ def test_duplicates_of_a_hot_token_make_no_pairs(spark):
     new = spark.range(HOT, 2 * HOT).selectExpr("id", "1 AS day", "array('hot', 'x') AS toks", "array('l' || id) AS links")
     filled, fresh = I.attach_duplicates(old, new, ["day"], "id", "toks", "links")
     assert fresh.count() == 0 and [tuple(r) for r in filled.filter("size(links) > 0").select("id", "links").collect()] == [(0, [f"l{HOT}"])]
+
+
+def test_rows_met_elsewhere_are_neither_exploded_nor_paired(spark):
+    rows = spark.range(HOT).selectExpr("id", "'k' AS kind", "if(id = 5, 't', 's') AS src", "date_add(date'2000-01-01', int(id % 400)) AS p", "date_add(date'2000-01-01', int(id % 400 + 50)) AS q")
+    got = V.met_elsewhere(rows, "id", "kind", "src", "p", "q")
+    want = {i for i in range(HOT) if i == 5 or (i % 400 <= 55)}
+    assert {r["id"] for r in got.collect()} == want
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
