@@ -53,6 +53,12 @@ def week_pieces(rows: DataFrame, starts: str, ends: str) -> DataFrame:
     return weeks.withColumn("piece_start", F.greatest("week", starts)).withColumn("piece_end", F.least(F.date_add("week", 6), F.col(ends)))
 
 
+def pieces_of_weeks(starts: Column, ends: Column, *extra: Column) -> Column:
+    """The pieces of week_pieces of one row, as an array of structs."""
+    weeks = F.sequence(F.date_sub(starts, F.dayofweek(starts) - 1), ends, F.expr("interval 7 days"))
+    return F.transform(weeks, lambda w: F.struct(w.alias("week"), F.greatest(w, starts).alias("piece_start"), F.least(F.date_add(w, 6), ends).alias("piece_end"), *extra))
+
+
 def restocked_first(rows: DataFrame, product: str, shop: str, order: str, there: str) -> DataFrame:
     """Rows where a shop's stock comes up (there: 0 or 1) while no shop had the product just before."""
     last = F.lag(there).over(W.partitionBy(product, shop).orderBy(order))

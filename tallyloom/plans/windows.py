@@ -130,14 +130,16 @@ SELECT week, id, greatest(week, starts) AS piece_start, least(week + 6, ends) AS
 """
 
 
-def _pieces(spark, d, several=None):
+def _intervals(spark, d):
     orders = table(spark, d, "orders")
     lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").alias("shipped"))
     spans = orders.join(lines, F.col("l_orderkey") == F.col("o_orderkey"))
     starts, ends = F.to_date("o_orderdate"), F.greatest(F.to_date("shipped"), F.to_date("o_orderdate"))
-    spans = spans.select(F.col("o_orderkey").alias("id"), starts.alias("starts"), ends.alias("ends"))
-    extra = [] if several is None else [several.alias("several")]
-    return O.week_pieces(spans, "starts", "ends").select("week", "id", "piece_start", "piece_end", *extra)
+    return spans.select(F.col("o_orderkey").alias("id"), starts.alias("starts"), ends.alias("ends"))
+
+
+def _pieces(spark, d):
+    return O.week_pieces(_intervals(spark, d), "starts", "ends").select("week", "id", "piece_start", "piece_end")
 
 
 @query("week_split", _PIECES)
@@ -149,7 +151,8 @@ def week_split(spark, d):
 @query("lane_packing")
 def lane_packing(spark, d):
     """Lanes of the pieces of each week; the greedy choice has no SQL form."""
-    return week_lanes(_pieces(spark, d, F.col("starts") < F.col("ends")))
+    several = F.col("starts") < F.col("ends")
+    return week_lanes(_intervals(spark, d), O.pieces_of_weeks(F.col("starts"), F.col("ends"), several.alias("several")))
 
 
 @query(

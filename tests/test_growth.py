@@ -87,3 +87,14 @@ def test_rows_met_elsewhere_are_neither_exploded_nor_paired(spark):
     want = {i for i in range(HOT) if i == 5 or (i % 400 <= 55)}
     assert {r["id"] for r in got.collect()} == want
     assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_lanes_without_a_shuffle_of_pieces(spark, monkeypatch):
+    monkeypatch.setattr(L, "RANGE_BITS", 3)
+    first = dt.date(2024, 1, 7)
+    pieces = [(first, i, first, first + dt.timedelta(i % 7), True) for i in range(200)]
+    df = spark.createDataFrame(pieces, "week date, id long, piece_start date, piece_end date, several boolean").repartition(3)
+    lanes = L.week_lanes(df)
+    assert sorted(r["lane"] for r in lanes.filter("piece_end > '2024-01-12'").collect()) == list(range(28))
+    plan = lanes._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Window") < plan.index("Generate") and "Exchange" not in plan[plan.index("Window") : plan.index("Generate")]
