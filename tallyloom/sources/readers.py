@@ -5,6 +5,7 @@ Fetching is not done here; every reader starts from files or from a column of pa
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from html.parser import HTMLParser
 
@@ -88,6 +89,32 @@ def element_texts(html: Column, tag: str, css: str | None = None) -> Column:
     return F.transform(elements(html, tag, css), lambda e: F.trim(F.regexp_replace(F.regexp_replace(e, "<[^>]*>", " "), r"\s+", " ")))
 
 
+#: Bodies whose tags are plain, without characters in codes, comments or what a parser reads by other rules.
+_PLAIN = re.compile(r"""(?:[^<&]+|</?(?:table|thead|tbody|tfoot|tr|td|th|b|i|p|a|ul|li|div|span)(?:\x20[a-z]+="[^"<>&]*")*>)*""")
+_CELL_TAGS = re.compile(r"<[^>]*>|[^<]+")
+
+
+def _plain_rows(body: str) -> list[list[str]]:
+    """What _Tables makes of a plain body."""
+    rows, row, cell = [], None, None
+    for part in _CELL_TAGS.findall(body):
+        if part[0] != "<":
+            if cell is not None:
+                cell.append(part)
+        elif part.startswith(("<td>", "<th>", "<td ", "<th ")):
+            cell = [] if row is not None else cell
+        elif part in ("</td>", "</th>"):
+            if cell is not None and row is not None:
+                row.append(" ".join("".join(cell).split()))
+            cell = None
+        elif part.startswith(("<tr>", "<tr ")):
+            row = []
+        elif part == "</tr>" and row:
+            rows.append(row)
+            row = None
+    return rows
+
+
 class _Tables(HTMLParser):
     def __init__(self):
         super().__init__()
@@ -104,8 +131,9 @@ class _Tables(HTMLParser):
             self.cell.append(data)
 
     def handle_endtag(self, tag):
-        if tag in ("td", "th") and self.cell is not None:
-            self.row.append(" ".join("".join(self.cell).split()))
+        if tag in ("td", "th"):
+            if self.cell is not None and self.row is not None:  # a row that ends within a cell leaves it without a row
+                self.row.append(" ".join("".join(self.cell).split()))
             self.cell = None
         elif tag == "tr" and self.row:
             self.rows.append(self.row)
@@ -118,11 +146,16 @@ def table_rows(pages: DataFrame, html: str, roles: dict[str, list[str]]) -> Data
     @F.pandas_udf("array<map<string,string>>")
     def parse(bodies: pd.Series) -> pd.Series:
         def one(body):
-            parser, header, out = _Tables(), None, []
-            parser.feed(body or "")
-            for cells in parser.rows:
-                named = {i: r for i, c in enumerate(cells) for r, words in roles.items() if any(w in c.lower() for w in words)}
+            header, out = None, []
+            if _PLAIN.fullmatch(body or ""):
+                found = _plain_rows(body or "")
+            else:
+                parser = _Tables()
+                parser.feed(body)
+                found = parser.rows
+            for cells in found:
                 if header is None:
+                    named = {i: r for i, c in enumerate(cells) for r, words in roles.items() if any(w in c.lower() for w in words)}
                     header = named or None
                 else:
                     out.append({r: cells[i] for i, r in header.items() if i < len(cells)})

@@ -98,3 +98,17 @@ def test_lanes_without_a_shuffle_of_pieces(spark, monkeypatch):
     assert sorted(r["lane"] for r in lanes.filter("piece_end > '2024-01-12'").collect()) == list(range(28))
     plan = lanes._jdf.queryExecution().executedPlan().toString()
     assert plan.index("Window") < plan.index("Generate") and "Exchange" not in plan[plan.index("Window") : plan.index("Generate")]
+
+
+def test_plain_tables_are_read_as_the_parser_reads_them():
+    from tallyloom.sources import readers
+
+    rng = random.Random(4)
+    parts = ["<tr>", "</tr>", "<td>", "</td>", "<th>", "</th>", '<td class="x">', "</table>", "<table>", "<b>", "</b>", " a ", "b\nc", "text"]
+    for _ in range(3000):
+        body = "".join(rng.choice(parts) for _ in range(rng.randrange(14)))
+        slow = readers._Tables()
+        slow.feed(body)
+        slow.close()
+        assert readers._PLAIN.fullmatch(body) and readers._plain_rows(body) == slow.rows, body
+    assert not any(readers._PLAIN.fullmatch(b) for b in ("a &amp; b", "<!-- x -->", "<script>", "a < b", "<TD>", "<td a='b'>", "<td", "<textarea>"))
