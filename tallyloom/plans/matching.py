@@ -186,10 +186,11 @@ SELECT doc_id, count(*) AS n, min(item_id) AS first, sum(item_id)::BIGINT AS tot
 def texts_naming(spark, d):
     """The names of a large dictionary (every word of the benchmark) that documents contain."""
     words = table(spark, d, "benchmark").select("item_id", F.explode(F.split(F.lower("text"), " ")).alias("name")).filter(F.length("name") >= 2)
-    names = words.groupBy("name").agg(F.min("item_id").alias("item_id")).select("name", F.struct("item_id", "name").alias("item"))
-    found = M.names_in_texts(table(spark, d, "documents"), "doc_id", "text", names.withColumn("item", F.to_json("item")), "item", "name")
-    item = F.get_json_object("item", "$.item_id").cast("long")
-    return found.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(item).alias("first"), F.sum(item).alias("total"))
+    names = words.groupBy("name").agg(F.min("item_id").alias("item_id"))
+    found = M.names_of_texts(table(spark, d, "documents"), "doc_id", "text", names, "item_id", "name")
+    total = F.aggregate("ids", F.lit(0).cast("long"), lambda a, item: a + item)
+    found = found.select("doc_id", F.size("ids").cast("long").alias("n"), F.array_min("ids").cast("long").alias("first"), total.alias("total"))
+    return found.groupBy("doc_id").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.sum("total").alias("total"))
 
 
 @query(

@@ -108,6 +108,15 @@ def test_an_interval_of_any_length_has_few_keys(spark):
     assert [r[0] for r in placed][::3] == [1, 1] and max(r[0] for r in placed) <= 2 * I.LEVELS and max(r[1] for r in placed) <= 4 * I.LEVELS
 
 
+def test_names_of_texts_with_and_without_spaces(spark):
+    """Each text is one row with the ids of its distinct names; two names of one id count twice, and names may span words."""
+    names = spark.createDataFrame([(1, "ab"), (1, "b\nc"), (2, "B C"), (3, "\u00a0x"), (4, " a"), (5, "zz")], "name_id long, name string")
+    texts = [(1, "xab ab\tq"), (2, "AB\nCd b c"), (3, "q\u00a0x"), (4, " a"), (4, "ab"), (5, "y"), (6, None), (None, "bb c")]
+    found = M.names_of_texts(spark.createDataFrame(texts, "id long, t string"), "id", "t", names, "name_id", "name")
+    want = [(1, [1, 4]), (2, [1, 1, 2]), (3, [3]), (4, [1]), (4, [4]), (None, [2])]
+    assert sorted(((r["id"], sorted(r["ids"])) for r in found.collect()), key=repr) == sorted(want, key=repr)
+
+
 def test_names_in_texts_against_contains(spark):
     rng = random.Random(4)
     names = [(i, "".join(rng.choice("abé") for _ in range(rng.randrange(1, 5)))) for i in range(60)] + [(100, "AB"), (101, ""), (102, None), (103, "ab")]
