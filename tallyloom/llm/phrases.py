@@ -1,17 +1,19 @@
 """Collocations by contiguous pattern growth: phrases of a few words that recur, scored by how tightly their parts bind.
 
-1. Words of every language are counted. Pairs of neighbouring words are counted too, as buckets of a fixed number; both
-   give filters of fixed size (a bit for each bucket with enough occurrences), which may let rare ones through but
-   lose no frequent one.
+1. Words of every language are counted; the most frequent ones get numbers by frequency. Pairs of neighbouring words are
+   counted too, as buckets of a fixed number; both give filters of fixed size (a bit for each bucket with enough
+   occurrences), which may let rare ones through but lose no frequent one.
 2. Projection: every occurrence of a pair that may be frequent is a pointer; what goes with it are the words that follow,
-   as long as each pair on the way may be frequent, up to the longest phrase. Equal pointers of a slice of texts are one
-   row with a number.
-3. One unit of work for each prefix of two words: its pointers meet, sorted by what follows, and it is grown to the right
-   depth-first: each extension that is frequent is a phrase, and its own pointers are extended in turn. A prefix in
-   a bucket with more than a HOT_PARTS-th of all words is dealt out by what follows; its parts give their counts, frequent
-   or not, and the sums by phrase follow, combined before they are shuffled.
+   as long as each pair on the way may be frequent, up to the longest phrase. Equal pointers of a task are one with a number.
+3. Prefixes of two words are dealt to units of work. There a prefix's pointers meet, sorted by what follows, and it is
+   grown to the right depth-first: each extension that is frequent is a phrase, and its own pointers are extended in turn.
+   A prefix in a bucket with more than a HOT_PARTS-th of all words is dealt out by what follows; its parts give their counts,
+   frequent or not, and the sums by phrase follow, combined before they are shuffled.
 4. Phrases look up the counts of their parts, in one join, and the greatest count of a longer phrase around them.
 
+Buckets and pointers are shuffled as packed columns, sorted, a row for each task and unit, so that a corpus whose pairs are
+all frequent needs a few bytes for each word.
+
 Words are 64-bit hashes, seeded with their language's, on the way, and texts again in the result (two words among those of
 a corpus share a hash with a probability of 3e-7 for 2e7 words of which 3e5 are frequent). Counts are 64 bits wide, products decimals.
 
@@ -44,6 +46,12 @@ WORD_BITS, PAIR_BITS = 26, 28
 #: Prefixes of a bucket with more than this part of all words are dealt out; there are fewer of these buckets than that.
 HOT_PARTS = 4096
 SLICE = 3_000_000
+#: The most frequent words, which have numbers by frequency; the others keep their hashes (16 MB of hashes at most).
+NUMBERED = 2_000_000
+#: Pointers that a task gathers before it packs them (of pairs four times as many); a unit of work has no more of them, about.
+GATHERED = 1_000_000
+#: log2 of the buckets that are counted together.
+CHUNK_BITS = 17
 #: Parts that a language's phrases are ranked in first.
 RANK_PARTS = 64
 #: Spark's seed: a word's number in tasks is xxhash64(lang, word) as Spark computes it.
@@ -158,41 +166,112 @@ def bucket_filter(buckets: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of unsigned numbers in one: the bytes of equal weight of a column lie together, compressed."""
+    planes = np.stack([c.astype(np.uint64) for c in columns])[..., None].view(np.uint8)
+    return pa.compress(np.ascontiguousarray(planes.transpose(0, 2, 1)), "zstd", asbytes=True)
+
+
+def unpacked(data: bytes, rows: int, columns: int) -> np.ndarray:
+    """The columns that were packed, one a row of the result."""
+    planes = np.frombuffer(pa.decompress(data, rows * columns * 8, "zstd"), np.uint8).reshape(columns, 8, rows)
+    return np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.uint64)[..., 0]
+
+
+def _packed_rows(keys: np.ndarray, *columns: np.ndarray) -> pa.RecordBatch:
+    """One row (to, size, data) for each of the keys, which are sorted: how many rows it has, and these packed."""
+    bounds = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])).tolist()
+    data = [packed(*(c[lo:hi] for c in columns)) for lo, hi in zip(bounds[:-1], bounds[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(keys[bounds[:-1]].astype(np.int64)), pa.array(np.diff(bounds)), pa.array(data, pa.binary())], ["to", "size", "data"])
+
+
+PACKED = "to long, size long, data binary"
+
+
+def _gathered(parts, most: int):
+    """Arrays of one or two dimensions joined along the last, as soon as they have so many entries, and what is left."""
+    held, size = [], 0
+    for part in parts:
+        held.append(part)
+        size += part.shape[-1]
+        if size >= most:
+            yield np.concatenate(held, axis=-1)
+            held, size = [], 0
+    if size:
+        yield np.concatenate(held, axis=-1)
+
+
 def _pair_buckets(words, bits: int):
-    def run(batches):
-        known = words.value
+    """Buckets of pairs by chunks, packed: the place in the chunk less the one before, and a number."""
+
+    def found(batches, known):
         for s in _slices(batches):
             near = s.pairs()
             fine = _has(known, _bits(s.hashes, WORD_BITS))[s.words]
             at = np.flatnonzero(near[:-1] & fine[:-1] & fine[1:]) if len(near) else np.empty(0, np.int64)
-            buckets = _bits(_pair_hash(s.hashes[s.words[at]], s.hashes[s.words[at + 1]]), bits)
-            found, counts = np.unique(buckets, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(counts)], ["bucket", "n"])
+            yield _bits(_pair_hash(s.hashes[s.words[at]], s.hashes[s.words[at + 1]]), bits)
+
+    def run(batches):
+        for buckets in _gathered(found(batches, words.value), 4 * GATHERED):
+            buckets, counts = np.unique(buckets, return_counts=True)
+            chunks = buckets >> CHUNK_BITS
+            steps = np.diff(buckets, prepend=0)
+            first = np.append(True, chunks[1:] != chunks[:-1])
+            steps[first] = buckets[first] & (2**CHUNK_BITS - 1)
+            yield _packed_rows(chunks, steps, counts)
 
     return run
 
 
+def _counted(least: int):
+    """The buckets of a chunk with enough occurrences, and their numbers."""
+
+    def of_chunk(table: pa.Table) -> pa.Table:
+        sums = np.zeros(2**CHUNK_BITS, np.int64)
+        for size, data in zip(table["size"].to_pylist(), table["data"].to_pylist(), strict=True):
+            steps, counts = unpacked(data, size, 2).astype(np.int64)
+            sums[np.cumsum(steps)] += counts  # every place once
+        at = np.flatnonzero(sums >= least)
+        return pa.table({"bucket": at + (table["to"][0].as_py() << CHUNK_BITS), "n": sums[at]})
+
+    return of_chunk
+
+
 def _same(*columns: np.ndarray) -> np.ndarray:
     """Whether each row but the first equals the one before."""
     return np.logical_and.reduce([c[1:] == c[:-1] for c in columns])
 
 
-def _projected(pairs, hot, bits: int, longest: int):
-    """Pointers of the pairs that may be frequent: the pair, the words that follow (0 where the way ends), and a number.
+def numbered(words: DataFrame) -> np.ndarray:
+    """Hashes of the most frequent words by number, from 1 on; NUMBERED at most, gathered on the driver."""
+    power = F.floor(F.log2("n")).alias("power")
+    sizes = {r["power"]: r["count"] for r in words.filter("id is not null").groupBy(power).count().collect()}  # under 64 rows
+    from_ = min((p for p in sizes if sum(c for q, c in sizes.items() if q >= p) <= NUMBERED), default=64)
+    top = words.filter(F.col("id").isNotNull() & (F.floor(F.log2("n")) >= from_)).select("id", "n").toArrow()
+    ids, n = (top[c].to_numpy().astype(np.int64) for c in ("id", "n"))
+    return np.append(np.uint64(0), ids[np.lexsort((ids, -n))].view(np.uint64))
+
+
+def _projected(pairs, hot, spelt, bits: int, longest: int, units: int):
+    """Pointers of the pairs that may be frequent, packed for their units of work: the pair, the words that follow (0 where the
+    way ends), a number, and whether the pair is dealt out, as those of hot buckets are, by what follows.
 
-    part is -1, or for pairs of hot buckets the part that what follows is dealt to.
+    Words are numbers by frequency, or hashes where they have none.
     """
-    names = [f"w{k}" for k in range(1, longest + 1)]
 
-    def run(batches):
-        known, often = pairs.value, hot.value
+    def found(batches):
+        known, often, hashes = pairs.value, hot.value, spelt.value
+        order = np.argsort(hashes)
+        ranked = hashes[order]
         for s in _slices(batches):
+            at = np.searchsorted(ranked[:-1], s.hashes)
+            values = np.append(np.uint64(0), np.where(ranked[at] == s.hashes, order[at].astype(np.uint64), s.hashes))
             near = s.pairs()
             at = np.flatnonzero(near)
-            hashes = s.hashes[s.words]
+            own = s.hashes[s.words]
             good, dealt = np.zeros(len(near) + longest, bool), np.zeros(len(near), bool)
             if len(at):
-                buckets = _bits(_pair_hash(hashes[at], hashes[at + 1]), bits)
+                buckets = _bits(_pair_hash(own[at], own[at + 1]), bits)
                 good[at] = _has(known, buckets)
                 dealt[at] = np.isin(buckets, often)
             at = np.flatnonzero(good)
@@ -201,32 +280,37 @@ def _projected(pairs, hot, bits: int, longest: int):
             for k in range(2, longest):
                 on = on & good[at + k - 1]
                 columns.append(np.where(on, ids[at + k], 0))
-            order = np.lexsort(columns[::-1])
-            columns = [c[order] for c in columns]
-            starts = np.flatnonzero(np.append(True, ~_same(*columns))) if len(at) else at
-            counts = np.diff(np.append(starts, len(at)))
-            values = np.append(np.uint64(0), s.hashes)
-            columns = [values[c[starts]] for c in columns]
-            follows = mixed(sum((c * (_MUL + np.uint64(2 * k)) for k, c in enumerate(columns[2:])), np.zeros(len(starts), np.uint64)))
-            part = np.where(dealt[at[order[starts]]], (follows >> np.uint64(58)).astype(np.int32), -1).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c.view(np.int64)) for c in columns), pa.array(counts), pa.array(part)], [*names, "n", "part"])
+            yield np.stack([*(values[c] for c in columns), dealt[at].astype(np.uint64)])
+
+    def run(batches):
+        for rows in _gathered(found(batches), GATHERED):
+            follows = mixed(sum((c * (_MUL + np.uint64(2 * k)) for k, c in enumerate(rows[2:-1])), np.zeros(rows.shape[1], np.uint64)))
+            part = np.where(rows[-1] == 1, (follows >> np.uint64(58)) + np.uint64(1), np.uint64(0))
+            unit = mixed(_pair_hash(rows[0], rows[1]) + part) % np.uint64(units)
+            order = np.lexsort([*rows[-2::-1], unit])
+            rows, unit = rows[:, order], unit[order]
+            starts = np.flatnonzero(np.append(True, ~_same(unit, *rows)))
+            yield _packed_rows(unit[starts], *rows[:, starts], np.diff(np.append(starts, len(order))))
 
     return run
 
 
-def _grown(longest: int, least: int):
-    """Phrases of the prefixes of a partition sorted by words: the prefix, and depth-first every extension that is frequent."""
+def _grown(spelt, longest: int, least: int):
+    """Phrases of the prefixes of a unit of work: the prefix, and depth-first every extension that is frequent."""
     names = [f"w{k}" for k in range(1, longest + 1)]
 
-    def of_prefixes(rows: list[np.ndarray], n: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
-        total = np.concatenate([[0], np.cumsum(n)])
-        new, groups = np.ones(len(n), bool), []
-        new[1:] = ~_same(rows[0], rows[1], part)
-        groups.append(np.append(np.flatnonzero(new), len(n)))
+    def of_unit(table: pa.Table) -> pa.Table:
+        packs = zip(table["size"].to_pylist(), table["data"].to_pylist(), strict=True)
+        rows = np.concatenate([unpacked(data, size, longest + 2) for size, data in packs], axis=1)
+        rows = rows[:, np.lexsort(rows[longest - 1 :: -1])]
+        total = np.concatenate([[0], np.cumsum(rows[-1].astype(np.int64))])
+        new, groups = np.ones(rows.shape[1], bool), []
+        new[1:] = ~_same(rows[0], rows[1])
+        groups.append(np.append(np.flatnonzero(new), len(new)))
         for k in range(2, longest):
             new = new.copy()
             new[1:] |= ~_same(rows[k])
-            groups.append(np.append(np.flatnonzero(new), len(n)))
+            groups.append(np.append(np.flatnonzero(new), len(new)))
         found: list[tuple[int, int, int]] = []
 
         def extend(depth: int, low: int, high: int, floor: int) -> None:
@@ -244,29 +328,16 @@ def _grown(longest: int, least: int):
                     extend(depth + 1, x, y, floor)
 
         counts = total[groups[0][1:]] - total[groups[0][:-1]]
-        dealt = part[groups[0][:-1]] >= 0
+        dealt = rows[-2][groups[0][:-1]] == 1
         for g in np.flatnonzero(dealt | (counts >= least)).tolist():
             extend(2, int(groups[0][g]), int(groups[0][g + 1]), 1 if dealt[g] else least)
         at, depth, count = (np.array(c, np.int64) for c in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 3
-        words = [np.where(depth > k, rows[k][at], 0) for k in range(longest)]
-        return pa.RecordBatch.from_arrays([*(pa.array(w) for w in words), pa.array(count)], [*names, "n"])
+        hashes = spelt.value
+        words = [np.where(depth > k, rows[k][at], np.uint64(0)) for k in range(longest)]
+        words = [np.where(w < len(hashes), hashes[np.minimum(w, np.uint64(len(hashes) - 1))], w).view(np.int64) for w in words]
+        return pa.table([*(pa.array(w) for w in words), pa.array(count)], [*names, "n"])
 
-    def run(batches):
-        held = None
-        for batch in batches:
-            now = [c.to_numpy(zero_copy_only=False) for c in (batch.column(x) for x in [*names, "n", "part"])]
-            now = now if held is None else [np.concatenate(c) for c in zip(held, now, strict=True)]
-            if not len(now[0]):
-                continue
-            same = (now[0] == now[0][-1]) & (now[1] == now[1][-1]) & (now[-1] == now[-1][-1])
-            last = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0  # the last prefix may go on
-            held = [c[last:] for c in now]
-            if last:
-                yield of_prefixes([c[:last] for c in now[:longest]], now[longest][:last], now[-1][:last])
-        if held is not None and len(held[0]):
-            yield of_prefixes(held[:longest], held[longest], held[-1])
-
-    return run
+    return of_unit
 
 
 def frequent_phrases(docs: DataFrame, least: int = MIN_COUNT, longest: int = LONGEST) -> tuple[DataFrame, DataFrame]:
@@ -283,8 +354,8 @@ def frequent_phrases(docs: DataFrame, least: int = MIN_COUNT, longest: int = LON
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).head()["n"]
     bucket = F.shiftrightunsigned("id", 64 - WORD_BITS).alias("bucket")
     some = spark.sparkContext.broadcast(bucket_filter(words.filter("id is not null").select(bucket), WORD_BITS))
-    pairs = texts.mapInArrow(_pair_buckets(some, PAIR_BITS), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    pairs = staged(pairs.filter(F.col("n") >= least), "pairs")
+    pairs = texts.mapInArrow(_pair_buckets(some, PAIR_BITS), PACKED).groupBy("to").applyInArrow(_counted(least), "bucket long, n long")
+    pairs = staged(pairs, "pairs")
     forget_shuffles(spark)
     near = spark.sparkContext.broadcast(bucket_filter(pairs.select("bucket"), PAIR_BITS))
     hot = pairs.filter(F.col("n") > max(least, total // HOT_PARTS)).select("bucket").collect()  # under HOT_PARTS rows
@@ -292,9 +363,10 @@ def frequent_phrases(docs: DataFrame, least: int = MIN_COUNT, longest: int = LON
 
     names = [f"w{k}" for k in range(1, longest + 1)]
     columns = ", ".join(f"{x} long" for x in names)
-    pointers = texts.mapInArrow(_projected(near, hot, PAIR_BITS, longest), f"{columns}, n long, part int")
-    dealt = pointers.repartition("w1", "w2", "part").sortWithinPartitions("w1", "w2", "part", *names[2:])
-    found = dealt.mapInArrow(_grown(longest, least), f"{columns}, n long")
+    spelt = spark.sparkContext.broadcast(numbered(words))
+    units = total // GATHERED + 64
+    pointers = texts.mapInArrow(_projected(near, hot, spelt, PAIR_BITS, longest, units), PACKED)
+    found = pointers.groupBy("to").applyInArrow(_grown(spelt, longest, least), f"{columns}, n long")
     phrases = found.groupBy(*names).agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     ids = F.filter(F.array(*names), lambda w: w != 0)
     phrases = staged(phrases.select(ids.alias("ids"), "n"), "phrases")

@@ -88,3 +88,40 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert P.collocations(docs).count() == 0
     assert P.collocations(spark.createDataFrame([(None, None)] * 2, "text string, lang string")).count() == 0
+
+
+def shuffled(spark):
+    """Bytes that the stages so far have shuffled."""
+    sc, jvm = spark.sparkContext, spark.sparkContext._jvm
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    none = jvm.java.util.ArrayList()
+    stages = sc._jsc.sc().statusStore().stageList(none, False, False, sc._gateway.new_array(jvm.double, 0), none)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_a_word_whose_pairs_are_all_frequent_shuffles_few_bytes(spark):
+    """Every word of a corpus is a pointer with three more words; a row for each would take some twenty bytes."""
+    rng = np.random.default_rng(8)
+    rows = [(" ".join(f"w{x}" for x in rng.integers(0, 70, 200)), "en") for _ in range(1500)]
+    docs = spark.createDataFrame(rows, "text string, lang string")
+    before = shuffled(spark)
+    _, phrases = P.frequent_phrases(docs)
+    assert phrases.filter("size(ids) = 2").count() > 4000
+    assert shuffled(spark) - before < 10 * 1500 * 200
+
+
+def test_packed_columns_come_back():
+    rng = np.random.default_rng(4)
+    columns = [rng.integers(0, 2**63, 500, np.uint64), np.arange(500), np.zeros(500, bool)]
+    assert all((a == b).all() for a, b in zip(P.unpacked(P.packed(*columns), 500, 3), columns, strict=True))
+    assert len(P.packed(*columns)) < 500 * 10
+
+
+@pytest.mark.parametrize("most", [0, 20])
+def test_words_without_numbers_keep_their_hashes(spark, monkeypatch, most):
+    """With room for few numbers, or none, the others are told apart by hash; small units of work change nothing either."""
+    monkeypatch.setattr(P, "NUMBERED", most)
+    monkeypatch.setattr(P, "GATHERED", 50)
+    rows = corpus(5)
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    assert sorted(tuple(r) for r in P.collocations(docs).collect()) == by_hand(rows)
