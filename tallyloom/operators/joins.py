@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of a table that may be sent to every executor; a larger one is joined by a shuffle.
 ROWS, BYTES = 500_000, 64_000_000
+#: Bytes of distinct long values that a task's rows are to have, about: a column's dictionary in Parquet holds 1 MB, and beyond it each row has its value written out.
+VALUE_BYTES = 250_000
 
 
 def is_small(table: DataFrame, rows: int = ROWS, size: int = BYTES) -> bool:
@@ -19,3 +21,15 @@ def is_small(table: DataFrame, rows: int = ROWS, size: int = BYTES) -> bool:
 def measured_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
     """left join right; right is measured first and broadcast only if it has few rows and bytes."""
     return left.join(F.broadcast(right) if is_small(right) else right, on, how)
+
+
+def attached(left: DataFrame, right: DataFrame, on: list[str], key: str, long: str) -> DataFrame:
+    """left join right, whose rows each give many rows of left one long text (column long).
+
+    Rows that get the same text lie in few tasks, and a task's rows have few texts, so that a file holds each once and not
+    once a row. key spreads the rows of one text over ranges.
+    """
+    parts = int((right.agg(F.sum(F.octet_length(long))).head()[0] or 0) // VALUE_BYTES) + 1
+    if is_small(right):
+        return left.repartitionByRange(parts, *on, key).join(F.broadcast(right), on)
+    return left.repartition(parts, *on).join(right.repartition(parts, *on).hint("merge"), on)

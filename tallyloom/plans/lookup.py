@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyloom.functions import predicates as P
 from tallyloom.functions import text as T
 from tallyloom.operators import lookup as L
-from tallyloom.operators.joins import measured_join
+from tallyloom.operators.joins import attached
 from tallyloom.operators.lineage import checkpointed
 from tallyloom.plans.base import query
 from tallyloom.sources.tables import table
@@ -101,7 +101,7 @@ def substitutes_attached(spark, d):
     entry = F.array_sort(F.collect_list(F.struct((-F.col("p_retailprice")).alias("p"), "p_partkey")))
     listed = F.array_join(F.transform(entry, lambda e: e["p_partkey"].cast("string")), ",")  # made once for a group, not for each row
     groups = checkpointed(part.groupBy("p_brand", "p_type").agg(listed.alias("substitutes"), F.count("*").alias("n")))
-    joined = measured_join(part.select("p_partkey", "p_brand", "p_type"), groups, ["p_brand", "p_type"])
+    joined = attached(part.select("p_partkey", "p_brand", "p_type"), groups, ["p_brand", "p_type"], "p_partkey", "substitutes")
     return joined.select("p_partkey", "n", "substitutes")
 
 

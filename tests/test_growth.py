@@ -3,10 +3,12 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.operators import ingest as I
 from tallyloom.operators import intervals as V
+from tallyloom.operators import joins as J
 from tallyloom.operators import lanes as L
 from tallyloom.operators import matching as M
 from tallyloom.plans.registry import QUERIES
@@ -74,6 +76,23 @@ def test_lists_of_groups_are_made_once(spark):
     assert "array_join" not in plan and "transform" not in plan  # rows take their group's list as it is
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_lists_of_groups_are_written_once_a_file(spark, tmp_path, monkeypatch, small):
+    """Rows of 8,000 groups in no order: their lists, 1.4 MB in all, are 35 MB if each row has its own."""
+    if not small:
+        monkeypatch.setattr(J, "is_small", lambda *_: False)
+    part = spark.range(200_000).selectExpr("id * 7919 % 200000 AS p_partkey", "'b' || id % 8000 AS p_brand", "'t' AS p_type", "double(id % 3) AS p_retailprice")
+    part.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    QUERIES["substitutes_attached"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    assert sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet")) < 5_000_000
+    want = {}
+    for i in range(200_000):
+        want.setdefault(i % 8000, []).append((-(i % 3), i * 7919 % 200_000))
+    want = {k: (ids, ",".join(map(str, ids))) for ids in ([k for _, k in sorted(v)] for v in want.values()) for k in ids}
+    got = {r["p_partkey"]: (r["n"], r["substitutes"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {k: (len(ids), text) for k, (ids, text) in want.items()}
+
+
 def test_duplicates_of_a_hot_token_make_no_pairs(spark):
     old = spark.range(HOT).selectExpr("id", "1 AS day", "array('hot') AS toks", "cast(array() AS array<string>) AS links")
     new = spark.range(HOT, 2 * HOT).selectExpr("id", "1 AS day", "array('hot', 'x') AS toks", "array('l' || id) AS links")
